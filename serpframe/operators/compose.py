@@ -32,7 +32,7 @@ def compose_queries(df: DataFrame, columns: Sequence[str] | None = None,
     return (df.select(F.col(id_col), cells.alias("_cells"))
             .filter(F.size("_cells") > 0)
             .select(id_col,
-                    T.compose_query(F.element_at("_cells", 1),
+                    T.compose_query(F.try_element_at("_cells", F.lit(1)),
                                     F.slice("_cells", 2, F.greatest(F.size("_cells") - 1, F.lit(0))))
                     .alias("original_input")))
 

@@ -65,6 +65,24 @@ select doc_id,
  case doc_id % 2 when 1 then substr(text, 1, 70) else null end as description,
  case doc_id % 4 when 0 then '1' when 1 then 'nan' when 2 then '-2.9' else '1e2' end as position
 from documents""",
+    "v_raw_flat": """
+select doc_id, sq_term, query, search_term, sq_page, url, link, result_url, snippet, description, position,
+ doc_id % 4 < 2 as in_organic,
+ case when doc_id % 5 = 0 then null else concat('t', cast(doc_id as varchar(20))) end as title,
+ concat('rt', cast(doc_id as varchar(20))) as result_title,
+ case when doc_id % 3 = 0 then concat(coalesce(snippet, description), ' and more.') else null end as og,
+ doc_id % 2 = 0 as paa_in_main,
+ concat('q', cast(doc_id as varchar(20)), '?') as paa_question, description as paa_answer, link as paa_url,
+ case when doc_id % 3 = 0 then concat('r', cast(doc_id as varchar(20))) else null end as rs_item,
+ case when doc_id % 2 = 0 then concat('rq', cast(doc_id as varchar(20))) else null end as rq_item,
+ doc_id % 4 = 0 as ad_in_main,
+ case doc_id % 4 when 3 then null else position end as ad_position,
+ concat('ad', cast(doc_id as varchar(20))) as ad_title, url as ad_url, link as ad_link,
+ case doc_id % 3 when 0 then '' else 'adv' end as ad_advertiser, 'src' as ad_source,
+ description as ad_description, snippet as ad_snippet,
+ case doc_id % 5 when 1 then concat('{"text":"', cast(doc_id as varchar(20)), '"}') when 3 then '{}' else null end as ai_main,
+ case doc_id % 5 when 2 then concat('{"alt":', cast(doc_id as varchar(20)), '}') when 3 then '[1]' else null end as ai_alt
+from v_raw""",
     "v_requests": """
 select event_id as request_id, ts, user_id as request_key,
  case when event_type = 'error' then 0 else 1 end as ok
@@ -114,8 +132,13 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
         df.createOrReplaceTempView(name)
 
 
+DEPENDS = {"v_raw_flat": ("v_raw",)}
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view as a DataFrame over the tables of ``sf_dir``."""
+    for dep in DEPENDS.get(name, ()):
+        view(spark, sf_dir, dep).createOrReplaceTempView(dep)
     register_tables(spark, sf_dir, _tables_of(name))
     return spark.sql(VIEWS[name])
 
@@ -127,5 +150,13 @@ def _tables_of(name: str) -> tuple[str, ...]:
 
 def with_views(sql: str, *names: str) -> str:
     """Prefix an oracle query with the fixture views it reads, as CTEs."""
+    full = []
+    for n in names:
+        for dep in DEPENDS.get(n, ()):
+            if dep not in full:
+                full.append(dep)
+        if n not in full:
+            full.append(n)
+    names = tuple(full)
     ctes = ",\n".join(f"{n} as ({VIEWS[n]}\n)" for n in names)
     return f"with {ctes}\n{sql}"
