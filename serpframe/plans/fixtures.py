@@ -148,7 +148,7 @@ def _tables_of(name: str) -> tuple[str, ...]:
     return tuple(t for t in TABLES if f"from {t}" in sql)
 
 
-def with_views(sql: str, *names: str) -> str:
+def with_views(sql: str, *names: str, recursive: bool = False) -> str:
     """Prefix an oracle query with the fixture views it reads, as CTEs."""
     full = []
     for n in names:
@@ -159,4 +159,4 @@ def with_views(sql: str, *names: str) -> str:
             full.append(n)
     names = tuple(full)
     ctes = ",\n".join(f"{n} as ({VIEWS[n]}\n)" for n in names)
-    return f"with {ctes}\n{sql}"
+    return f"with {'recursive ' if recursive else ''}{ctes}\n{sql}"

@@ -138,14 +138,16 @@ def q_split_query(spark, sf):
                     .alias("chunk_idx", "chunk"))
 
 
-@register("final_subqueries", with_views(
-    f"""select input_row_id, final_query, cast(sub_idx as integer) as sub_idx, {D.apply_site_filters(D.clean_query('p'), SITES)} as sub_query
+FINAL_SUBQUERIES_SQL = f"""select input_row_id, final_query, cast(sub_idx as integer) as sub_idx, {D.apply_site_filters(D.clean_query('p'), SITES)} as sub_query
 from (select input_row_id, final_query, unnest(range(0, len(parts))) as sub_idx, unnest(parts) as p
       from (select input_row_id, final_query,
               case when length(final_query) > 256 or len({D.tokens('final_query')}) > 14
                    then {_duck_split(D.tokens('final_query'))} else [final_query] end as parts
             from (select input_row_id, {D.apply_site_filters(D.clean_query('original_input'), SITES)} as final_query
-                  from v_queries)))""", "v_queries"))
+                  from v_queries)))"""
+
+
+@register("final_subqueries", with_views(FINAL_SUBQUERIES_SQL, "v_queries"))
 def q_final_subqueries(spark, sf):
     return compose.final_subqueries(view(spark, sf, "v_queries"), OPTS)
 
