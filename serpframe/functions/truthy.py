@@ -34,3 +34,14 @@ def first_nonempty(*cols) -> Column:
     for c in reversed(cs[:-1]):
         out = F.when(F.size(c) > 0, c).otherwise(out)
     return out
+
+
+def let(value, fn) -> Column:
+    """Evaluate ``value`` once and pass it to ``fn`` as a bound variable.
+
+    Column functions that use their input several times would otherwise
+    copy the whole input expression into every use, and nested functions
+    multiply the copies. Binding through a one-element ``transform`` keeps
+    the expression tree linear in the nesting depth.
+    """
+    return F.try_element_at(F.transform(F.array(_col(value)), fn), F.lit(1))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from serpframe.functions.followers import extract_followers
 from serpframe.functions.numbers import coerce_int
 from serpframe.functions.snippets import pick_longer, replace_snippet
+from serpframe.functions.text import strip
 from serpframe.functions.truthy import _col, first_nonempty, first_str
 from serpframe.schemas import RAW_AD, RAW_ORGANIC, RAW_PAA
 
@@ -36,33 +37,50 @@ def _empty(dtype) -> Column:
     return F.array().cast(f"array<{dtype.simpleString()}>")
 
 
-def normalize_organic_result(o: Column) -> Column:
-    """One raw result to the unified result (aliases, best snippet, followers)."""
-    url = first_str(o["url"], o["link"], o["resultUrl"])
-    snippet0 = first_str(o["snippet"], o["description"], o["resultSnippet"])
-    meta = first_nonempty(o["metatags"], o["meta"], F.create_map().cast(_EMPTY_MAP))
-    best = pick_longer(F.try_element_at(meta, F.lit("og:description")),
-                       F.try_element_at(meta, F.lit("twitter:description")))
-    snippet = replace_snippet(snippet0, best)
-    linkedin = F.coalesce(F.lower(url).contains("linkedin.com"), F.lit(False))
-    info = F.when(linkedin, F.coalesce(extract_followers(best), extract_followers(F.nullif(snippet, F.lit("")))))
-    return F.struct(
-        coerce_int(first_str(o["position"], o["rank"])).alias("position"),
-        first_str(o["title"], o["resultTitle"]).alias("title"),
-        url.alias("url"),
-        first_str(o["displayedUrl"], o["visibleUrl"]).alias("displayedUrl"),
-        snippet.alias("snippet"),
-        first_nonempty(o["siteLinks"], F.array().cast("array<map<string,string>>")).alias("siteLinks"),
-        F.when(F.size(meta) > 0, meta).alias("metatags"),
-        info["followersText"].alias("connectionsText"),
-        info["followersCount"].alias("connectionsCount"),
-    )
+def _with(x: Column, names: list[str], **new) -> Column:
+    """The struct ``x`` (fields ``names``) with fields added."""
+    return F.struct(*[x[n].alias(n) for n in names], *[c.alias(k) for k, c in new.items()])
 
 
 def normalize_organic(raw) -> Column:
+    """Raw results to unified results: aliases, best snippet, followers.
+
+    Staged ``transform`` passes keep each intermediate value a struct field,
+    so nothing is recomputed inside the lambdas (no common-subexpression
+    elimination happens there).
+    """
     r = _col(raw)
     recs = first_nonempty(r["organicResults"], r["searchResults"], _empty(RAW_ORGANIC))
-    return F.transform(recs, normalize_organic_result)
+    a_names = ["position", "title", "url", "displayedUrl", "snippet0", "siteLinks", "meta"]
+    a = F.transform(recs, lambda o: F.struct(
+        coerce_int(first_str(o["position"], o["rank"])).alias("position"),
+        first_str(o["title"], o["resultTitle"]).alias("title"),
+        first_str(o["url"], o["link"], o["resultUrl"]).alias("url"),
+        first_str(o["displayedUrl"], o["visibleUrl"]).alias("displayedUrl"),
+        first_str(o["snippet"], o["description"], o["resultSnippet"]).alias("snippet0"),
+        first_nonempty(o["siteLinks"], F.array().cast("array<map<string,string>>")).alias("siteLinks"),
+        first_nonempty(o["metatags"], o["meta"], F.create_map().cast(_EMPTY_MAP)).alias("meta")))
+    b = F.transform(a, lambda x: _with(x, a_names,
+                                       og=F.nullif(strip(F.try_element_at(x["meta"], F.lit("og:description"))), F.lit("")),
+                                       tw=F.nullif(strip(F.try_element_at(x["meta"], F.lit("twitter:description"))),
+                                                   F.lit(""))))
+    b_names = a_names + ["og", "tw"]
+    c = F.transform(b, lambda x: _with(x, a_names, best=pick_longer(x["og"], x["tw"])))
+    c_names = a_names + ["best"]
+    d = F.transform(c, lambda x: _with(x, c_names, snippet=replace_snippet(x["snippet0"], x["best"]),
+                                       linkedin=F.coalesce(F.lower(x["url"]).contains("linkedin.com"), F.lit(False))))
+    e = F.transform(d, lambda x: _with(x, c_names + ["snippet", "linkedin"],
+                                       fb=F.when(x["linkedin"], extract_followers(x["best"]))))
+    return F.transform(e, lambda x: _finish(x))
+
+
+def _finish(x: Column) -> Column:
+    info = F.when(x["linkedin"], F.coalesce(x["fb"], extract_followers(F.nullif(x["snippet"], F.lit("")))))
+    return F.struct(
+        x["position"].alias("position"), x["title"].alias("title"), x["url"].alias("url"),
+        x["displayedUrl"].alias("displayedUrl"), x["snippet"].alias("snippet"), x["siteLinks"].alias("siteLinks"),
+        F.when(F.size(x["meta"]) > 0, x["meta"]).alias("metatags"),
+        info["followersText"].alias("connectionsText"), info["followersCount"].alias("connectionsCount"))
 
 
 def follower_counts(raw) -> Column:
