@@ -107,11 +107,13 @@ ERROR_BODY = StructType([StructField("error", StructType([
     ]))),
 ]))])
 
-# Structured log line: seven fixed keys, extras kept as JSON text.
+# Structured log line: seven fixed keys plus the context keys the pipeline
+# reads; any other key is dropped by the explicit schema.
 LOG_EVENT = StructType([
     StructField("timestamp", S), StructField("level", S), StructField("logger", S),
-    StructField("message", S), StructField("action", S), StructField("status", S),
-    StructField("query_id", S),
+    StructField("module", S), StructField("function", S), StructField("line", L),
+    StructField("message", S), StructField("query_id", S), StructField("keyword", S),
+    StructField("action", S), StructField("status", S),
 ])
 
 AUDIT_ROW = StructType([
