@@ -125,6 +125,8 @@ def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     session-zone (UTC) timestamp so day boundaries and epoch seconds agree
     with the DuckDB oracle.
     """
+    # the fixtures' day boundaries and epoch seconds are defined in UTC
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     for name in names:
         df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         if name == "events":
