@@ -220,7 +220,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
                                                F.ceil(F.col("shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     found = written(groups.join(plan, "component"), "groups")
     cand = docs.join(found.withColumnRenamed("id", "doc_id"), "doc_id")
-    cand = written(cand.select("doc_id", "component", "blocks", "text"), "candidates")
+    part = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
+    cand = written(cand.select("doc_id", "component", "blocks", part.alias("part"), "text"), "candidates")
 
     small = cand.where("blocks = 1").select("component", "doc_id", "text")
     linked = small.groupBy("component").applyInArrow(_whole_group(words, percent, miss), "a long, b long")
@@ -248,7 +249,9 @@ def _whole_group(words: int, percent: int, miss: float):
 
 def _large_groups(large: DataFrame, words: int, percent: int, miss: float) -> DataFrame:
     """Links of groups of several blocks: to the smallest member first, then block by block."""
-    hub = large.where("doc_id = component").groupBy("component").agg(F.min("text").alias("hub_text"))
+    each_part = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part")
+    hub = large.where("doc_id = component").groupBy("component", "blocks").agg(F.min("text").alias("hub_text")) \
+        .select("component", each_part, "hub_text")
 
     def to_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,24 +265,23 @@ def _large_groups(large: DataFrame, words: int, percent: int, miss: float) -> Da
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 links.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("component"), batch.column("blocks"), pa.array(links, pa.bool_()),
-                 batch.column("text")], names=["doc_id", "component", "blocks", "linked", "text"])
+                [*[batch.column(c) for c in ("doc_id", "component", "blocks", "part")], pa.array(links, pa.bool_()),
+                 batch.column("text")], names=["doc_id", "component", "blocks", "part", "linked", "text"])
 
-    tested = written(large.join(hub, "component").select("doc_id", "component", "blocks", "text", "hub_text")
-                     .mapInArrow(to_hub, "doc_id long, component long, blocks int, linked boolean, text string"),
+    tested = written(large.join(hub, ["component", "part"])
+                     .select("doc_id", "component", "blocks", "part", "text", "hub_text")
+                     .mapInArrow(to_hub, "doc_id long, component long, blocks int, part int, linked boolean, text string"),
                      "to-hub")
-    rest = tested.where("not linked").groupBy("component") \
-        .agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_ROWS)).cast("int").alias("ask_blocks"))
-    open_ = tested.join(rest, "component")
-    spot = F.xxhash64("doc_id")
+    rest = tested.where("not linked").groupBy("component", "blocks") \
+        .agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("ask_blocks")) \
+        .select("component", each_part, "ask_blocks")
+    open_ = tested.join(rest, ["component", "part"])
     asks = open_.where("not linked").select(
-        "component", F.pmod(spot, F.col("ask_blocks")).cast("int").alias("ask"),
-        F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.lit(True).alias("asks"),
-        "doc_id", "linked", "text")
+        "component", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.col("ask_blocks")).cast("int").alias("ask"), each_part,
+        F.lit(True).alias("asks"), "doc_id", "linked", "text")
     parts = open_.select(
-        "component", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("ask"),
-        F.pmod(spot, F.col("blocks")).cast("int").alias("part"), F.lit(False).alias("asks"),
-        "doc_id", "linked", "text")
+        "component", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("ask"), "part",
+        F.lit(False).alias("asks"), "doc_id", "linked", "text")
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("doc_id").to_numpy()
