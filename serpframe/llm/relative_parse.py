@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from serpframe.llm import textblocks as tb
@@ -79,16 +79,21 @@ def _survey(window: int):
     return run
 
 
+def _hashed(w: tb.Words, window: int, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the windows of a chunk."""
+    at = np.arange(len(low))
+    return tb.range_hash(w.hashes(), at, at + window), tb.range_hash(w.hashes(1), at, at + window, 1)
+
+
 def _windows(window: int):
-    """(h1, h2, doc_id, sha, at) of the windows whose anchor is indexed."""
+    """(h1, h2, doc_id, nth, at): each row's distinct windows whose anchor is indexed, at their first place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             indexed = batch.column("anchors")
             off = np.asarray(indexed.offsets)
             values = np.asarray(indexed.values).view(np.uint64)
             for w in tb.chunks(batch.column("text")):
-                h = w.hashes()
-                low, ok = window_anchors(w, h, window)
+                low, ok = window_anchors(w, w.hashes(), window)
                 hit = np.zeros(len(low), bool)
                 for r in range(w.hi - w.lo):
                     a, b = w.first[r], min(w.first[r + 1], len(low))
@@ -97,13 +102,18 @@ def _windows(window: int):
                 at = np.flatnonzero(hit & ok)
                 if not len(at):
                     continue
+                h1, h2 = (h[at] for h in _hashed(w, window, low))
+                order = np.lexsort((at, h2, h1, w.row[at]))
+                at, h1, h2 = at[order], h1[order], h2[order]
                 row = w.row[at]
+                new = np.ones(len(at), bool)
+                new[1:] = (row[1:] != row[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                at, h1, h2, row = at[new], h1[new], h2[new], row[new]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(tb.signed(tb.range_hash(h, at, at + window))),
-                     pa.array(tb.signed(tb.range_hash(w.hashes(1), at, at + window, 1))),
-                     batch.column("doc_id").take(pa.array(row + w.lo)), batch.column("sha").take(pa.array(row + w.lo)),
+                    [pa.array(tb.signed(h1)), pa.array(tb.signed(h2)),
+                     batch.column("doc_id").take(pa.array(row + w.lo)), batch.column("nth").take(pa.array(row + w.lo)),
                      pa.array((at - w.first[row]).astype(np.int32))],
-                    names=["h1", "h2", "doc_id", "sha", "at"])
+                    names=["h1", "h2", "doc_id", "nth", "at"])
     return run
 
 
@@ -122,30 +132,45 @@ def factors(at: np.ndarray, ref: np.ndarray, window: int) -> list[tuple[int, int
     return [(int(at[a]), int(at[b] - at[a]) + window, int(ref[a])) for a, b in zip(lo, hi)]
 
 
+def _everywhere(w: tb.Words, window: int, row: int, at: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of a row's windows that are found, from the first place of each."""
+    low, ok = window_anchors(w, w.hashes(), window)
+    lo, hi = w.first[row], min(w.first[row + 1], len(low))
+    h1, h2 = (h[lo:hi][ok[lo:hi]] for h in _hashed(w, window, low))
+    _, code = np.unique(np.stack([h1, h2], 1), axis=0, return_inverse=True)
+    code = code.ravel()
+    refs = np.full(code.max() + 1, -1, np.int64)
+    known = np.zeros(code.max() + 1, bool)
+    refs[code[at]], known[code[at]] = ref, True
+    places = np.flatnonzero(known[code])
+    return places, refs[code[places]]
+
+
 def _parse(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             hits, refs = batch.column("at"), batch.column("ref")
-            for i, text in enumerate(tb.texts(batch.column("text"))):
-                words = text.split()
-                at, ref = np.asarray(hits[i].values), np.asarray(refs[i].values)
-                order = np.argsort(at, kind="stable")
-                found = factors(at[order], ref[order], window)
-                gone = np.zeros(len(words) + 1, np.int32)
-                for start, length, _ in found:
-                    gone[start] += 1
-                    gone[start + length] -= 1
-                keep = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
-                out.append((len(words) - len(keep), digest([words[k] for k in keep]),
-                            [{"start": s, "length": n, "ref": r} for s, n, r in found]))
+            whole = tb.texts(batch.column("text"))
+            for w in tb.chunks(batch.column("text")):
+                for r in range(w.hi - w.lo):
+                    words = next(whole).split()
+                    at, ref = _everywhere(w, window, r, np.asarray(hits[w.lo + r].values), np.asarray(refs[w.lo + r].values))
+                    found = factors(at, ref, window)
+                    gone = np.zeros(len(words) + 1, np.int32)
+                    for start, length, _ in found:
+                        gone[start] += 1
+                        gone[start + length] -= 1
+                    keep = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
+                    out.append((len(words) - len(keep), digest([words[k] for k in keep]),
+                                [{"start": s, "length": n, "ref": r_} for s, n, r_ in found]))
             cols = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("sha"), pa.array(cols[0], pa.int64()),
+                [batch.column("doc_id"), batch.column("nth"), pa.array(cols[0], pa.int64()),
                  pa.array(cols[1], pa.string()),
                  pa.array(cols[2], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()),
                                                        ("ref", pa.int64())])))],
-                names=["doc_id", "sha", "n_removed", "kept_sha256", "factors"])
+                names=["doc_id", "nth", "n_removed", "kept_sha256", "factors"])
     return run
 
 
@@ -166,36 +191,37 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     firsts = survey.where(f"n_words >= {window} and doc_id is not null").groupBy("sha") \
         .agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
     copies = firsts.where("copies > 1").select("sha", "first")
-    state = survey.select("doc_id", "n_words", "sha", "anchors").join(copies, "sha", "left")
-    state = written(state.withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False)))
-                    .drop("first"), "state")
-
-    lone = state.where("not copy and doc_id is not null").select("doc_id", "sha", F.explode("anchors").alias("anchor"))
+    state = survey.join(copies, "sha", "left")
+    state = state.withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("first")
+    # texts that share a doc_id are told apart by their order
+    nth = F.when(F.col("doc_id").isNull(), 0).otherwise(F.dense_rank().over(
+        Window.partitionBy(F.coalesce("doc_id", F.xxhash64("sha"))).orderBy("sha")))
+    state = written(state.withColumn("nth", nth.cast("int")), "state")
+
+    lone = state.where("not copy and doc_id is not null").select("doc_id", "nth", "sha", F.explode("anchors").alias("anchor"))
     index = lone.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    asked = lone.join(index.select("anchor"), "anchor").groupBy("doc_id", "sha") \
-        .agg(F.collect_set("anchor").alias("anchors"))
+    asked = lone.join(index.select("anchor"), "anchor").groupBy("doc_id", "nth") \
+        .agg(F.first("sha").alias("sha"), F.collect_set("anchor").alias("anchors"))
     # rows of one doc_id with different texts meet each other here and part again by sha
-    pairs = docs.where("doc_id is not null").join(asked, "doc_id")
-    own = pairs.mapInArrow(_same_words, "doc_id long, sha string, anchors array<long>, text string")
-    blocks = written(own, "blocks")
-    windows = written(blocks.mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, sha string, at int"),
-                      "windows")
+    pairs = docs.where("doc_id is not null").join(asked, "doc_id").select("doc_id", "nth", "sha", "anchors", "text")
+    blocks = written(pairs.mapInArrow(_same_words, "doc_id long, nth int, anchors array<long>, text string"), "blocks")
+    windows = written(blocks.mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, nth int, at int"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")) \
         .where("ref < last").select("h1", "h2", "ref")
-    hits = windows.join(first, ["h1", "h2"]).where("ref < doc_id") \
-        .select("doc_id", "sha", F.struct("at", "ref").alias("hit")).distinct() \
-        .groupBy("doc_id", "sha").agg(F.collect_list("hit.at").alias("at"), F.collect_list("hit.ref").alias("ref"))
-    parsed = blocks.select("doc_id", "sha", "text").dropDuplicates(["doc_id", "sha"]) \
-        .join(hits, ["doc_id", "sha"]) \
-        .mapInArrow(_parse(window), "doc_id long, sha string, n_removed long, kept_sha256 string, "
-                                    "factors array<struct<start: int, length: int, ref: long>>")
-    whole = state.where("copy").select("doc_id", "sha", "n_words").distinct() \
+    hits = windows.join(first, ["h1", "h2"]).where("ref < doc_id").groupBy("doc_id", "nth") \
+        .agg(F.collect_set(F.struct("at", "ref")).alias("hits"))
+    hits = hits.select("doc_id", "nth", F.col("hits.at").alias("at"), F.col("hits.ref").alias("ref"))
+    parsed = blocks.select("doc_id", "nth", "text").join(hits, ["doc_id", "nth"]) \
+        .mapInArrow(_parse(window), "doc_id long, nth int, n_removed long, kept_sha256 string, "
+                                    "factors array<struct<start: int, length: int, ref: long>>") \
+        .dropDuplicates(["doc_id", "nth"])
+    whole = state.where("copy").select("doc_id", "nth", "sha", "n_words").distinct() \
         .join(copies, "sha").select(
-            "doc_id", "sha", F.col("n_words").alias("n_removed"), F.lit(digest([])).alias("kept_sha256"),
+            "doc_id", "nth", F.col("n_words").alias("n_removed"), F.lit(digest([])).alias("kept_sha256"),
             F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("length"),
                              F.col("first").alias("ref"))).alias("factors"))
     gone = parsed.unionByName(whole)
-    return state.drop("anchors", "copy").join(gone, ["doc_id", "sha"], "left").select(
+    return state.drop("anchors", "copy").join(gone, ["doc_id", "nth"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"), "factors")
 
@@ -205,4 +231,4 @@ def _same_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sha = batch.column("sha").to_pylist()
         same = [digest(t.split()) == s for t, s in zip(tb.texts(batch.column("text")), sha)]
-        yield batch.select(["doc_id", "sha", "anchors", "text"]).filter(pa.array(same, pa.bool_()))
+        yield batch.select(["doc_id", "nth", "anchors", "text"]).filter(pa.array(same, pa.bool_()))
