@@ -1,22 +1,48 @@
-"""Corpus pipeline over ``documents``: each stage applies one operator of ``serpframe.llm``."""
+"""Corpus pipeline over ``documents``: each stage applies one operator of ``serpframe.llm``.
+
+A stage gets what its predecessor kept and returns the columns of documents;
+the last returns them with the copies that the mix takes.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serpframe.llm import near_dups
+from serpframe.llm import decontaminate, language_id, mixing, near_dups, pii
 from serpframe.llm.tables import read_table, written
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is rejected go (no letters, or too uncertain); a null lang is filled in."""
+    out = language_id.predict(docs, language_id.train(docs)).where("accepted")
+    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays: the smallest doc_id."""
-    kept = near_dups.near_duplicates(docs).where("kept").select("doc_id")
-    return docs.join(kept.where("doc_id is not null").distinct(), "doc_id", "left_semi") \
+    """One document of each near-duplicate group stays, the smallest doc_id; rows that repeat it go."""
+    kept = near_dups.near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns) \
         .unionByName(docs.where("doc_id is null"))
 
 
-STAGES = [("near_dedup", near_dedup)]
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced in the texts."""
+    return pii.redacted(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with size, source_size, target, copies and taken."""
+    return mixing.mix(docs).where("copies > 0")
+
+
+STAGES = [("language_id", identify_language), ("near_dedup", near_dedup), ("decontamination", decontaminated),
+          ("pii", redact), ("mixing", mix)]
 
 # The language model and the trained redactor cannot be written in SQL; tests compare with brute force.
 ORACLE_SQL = None

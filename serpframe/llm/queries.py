@@ -5,8 +5,59 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serpframe.llm import near_dups, relative_parse
+from serpframe.llm import (decontaminate, language_id, lattice, licenses, mixing, near_dups, pii, relative_parse,
+                           token_counts, toxicity)
 from serpframe.llm.tables import read_table
+from serpframe.session import scratch_path
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inserted, then exact copies of a smaller doc_id deleted, the second batch committed twice."""
+    docs = read_table(spark, sf_dir, "documents")
+    rollup = token_counts.Rollup(spark, scratch_path(spark, "token-rollup"), token_counts.Tokenizer())
+    rollup.commit(1, docs.withColumn("kind", F.lit("insert")))
+    keyed = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    first = keyed.groupBy("sha").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    copies = keyed.join(first, "sha").where("doc_id > first").withColumn("kind", F.lit("delete")) \
+        .withColumn("text", F.lit(None).cast("string"))
+    for _ in range(2):
+        rollup.commit(2, copies)
+    return rollup.totals()
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(read_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = toxicity.score(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")), threshold=0.3)
+    return out.select("doc_id", language_id.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    out = mixing.mix(docs, weights=(5, 2, 1), share=1.5)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = language_id.predict(docs.select("doc_id", "text"), language_id.train(docs))
+    return out.select("doc_id", language_id.is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score",
+                      "accepted")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(read_table(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,13 +70,48 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
+    "op2_license_scan": op2_license_scan,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_lattice": op4_lattice,
+    "op5_toxicity": op5_toxicity,
+    "op6_mixing": op6_mixing,
+    "op7_language_id": op7_language_id,
+    "op8_pii": op8_pii,
     "op9_minhash": op9_minhash,
+    "op10_decontamination": op10_decontamination,
 }
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
 ORACLES = {
+    "op6_mixing": r"""
+with d as (
+  select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
+         (('0x' || substr(md5(coalesce(doc_id::varchar, 'null')), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 u
+  from documents),
+s as (select source, sum(size)::bigint source_size from d group by source),
+w as (select *, case (row_number() over (order by source nulls last) - 1) % 3 when 0 then 5 when 1 then 2 else 1 end weight,
+             2 * source_size cap, sum(source_size) over () * 1.5::double total from s),
+l as (select *, (total - coalesce(sum(cap) over (o rows between unbounded preceding and 1 preceding), 0))
+                / sum(weight) over (o rows between current row and unbounded following) lev
+      from w window o as (order by cap / weight, source nulls last)),
+a as (select *, first_value(case when lev * weight <= cap then lev end ignore nulls)
+                over (order by cap / weight, source nulls last rows between unbounded preceding and current row) lvl from l),
+t as (select source, source_size, case when lvl is null then cap::double else least(cap::double, lvl * weight) end target from a),
+r as (select d.*, source_size, target, case when source_size > 0 then target / source_size else 0.0 end rate
+      from d join t on d.source is not distinct from t.source),
+f as (select *, floor(rate) whole, rate - floor(rate) p, target - floor(rate) * source_size need from r),
+k as (select *, case when p > 0 then u / (1 - u) / (p / (1 - p)) end rank from f),
+c as (select *, sum(size) over (partition by source order by rank) upto from k),
+n as (select source, max(case when upto < need then rank end) low, max(case when upto < need then upto end) low_to,
+             min(case when upto >= need then rank end) high, min(case when upto >= need then upto end) high_to
+      from c where p > 0 group by source)
+select doc_id, size, source_size, target,
+       ((whole + case when p <= 0 then 0
+                      when rank <= case when high_to - need < need - coalesce(low_to, 0) then high else coalesce(low, -1.0) end
+                      then 1 else 0 end) * size)::bigint taken
+from c left join n on c.source is not distinct from n.source""",
     "op3_substring_dedup": rf"""
 with d as (select doc_id, {_WORDS.format('text')} w from documents),
 p as (select doc_id, unnest(range(1, len(w) - 48)) i, w from d where len(w) >= 50),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +64,21 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def appended(df: DataFrame, column: str, fields: str, fn: Callable[[pa.Array], list[pa.Array]]) -> DataFrame:
+    """``df`` with new columns that ``fn`` makes from Arrow batches of ``column``; no shuffle.
+
+    ``fields`` is the DDL of the new columns; they take the place of columns
+    of the same name.
+    """
+    names = [f.split()[0] for f in fields.split(",")]
+    df = df.drop(*[n for n in names if n != column])
+    old = df.schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch.column(old.index(column)))], names=[*old, *names])
+
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{ddl}, {fields}")

@@ -22,6 +22,9 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Between words that consist of letters and digits: every other ASCII byte.
+PUNCT = np.zeros(256, bool)
+PUNCT[:128] = [not chr(c).isalnum() for c in range(128)]
 
 _M64 = (1 << 64) - 1
 _BASES = (0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1)
@@ -116,14 +119,14 @@ class Words:
         return range_hash(hashes, at, at + k, which), self.row[:n] == self.row[k - 1:]
 
 
-def chunks(col: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES) -> Iterator[Words]:
-    """Words of a string column, a chunk of whole rows at a time."""
+def chunks(col: pa.Array, lower: bool = False, limit: int = CHUNK_BYTES, space=SPACE) -> Iterator[Words]:
+    """Words of a string column, a chunk of whole rows at a time; ``space``: the bytes between words."""
     data, off = string_buffers(col)
     lo, n = 0, len(off) - 1
     while lo < n:
         hi = int(np.searchsorted(off, off[lo] + limit, side="right")) - 1
         hi = min(n, max(hi, lo + 1))
-        yield Words(data, off, lo, hi, lower)
+        yield Words(data, off, lo, hi, lower, space)
         lo = hi
 
 
