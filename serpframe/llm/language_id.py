@@ -142,8 +142,8 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: i
     model.temperature = min(np.geomspace(0.1, 4, 30), key=loss)
     p = model.probabilities(logits)
     right = p.max(1)[p.argmax(1) == y[cal]]
-    # at most max_reject of what is predicted rightly goes, and never what is likelier than not
-    model.reject_below = float(min(0.5, np.quantile(right, max_reject) * 0.9)) if len(right) else 0.0
+    # at most max_reject of what is predicted rightly goes, and only what is hardly better than a guess
+    model.reject_below = float(min(1.25 / len(langs), np.quantile(right, max_reject) * 0.9)) if len(right) else 0.0
     return model
 
 
