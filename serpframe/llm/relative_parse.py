@@ -79,9 +79,9 @@ def _survey(window: int):
     return run
 
 
-def _hashed(w: tb.Words, window: int, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit hashes of the windows of a chunk."""
-    at = np.arange(len(low))
+def _hashed(w: tb.Words, window: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit hashes of the first ``n`` windows of a chunk."""
+    at = np.arange(n)
     return tb.range_hash(w.hashes(), at, at + window), tb.range_hash(w.hashes(1), at, at + window, 1)
 
 
@@ -102,7 +102,7 @@ def _windows(window: int):
                 at = np.flatnonzero(hit & ok)
                 if not len(at):
                     continue
-                h1, h2 = (h[at] for h in _hashed(w, window, low))
+                h1, h2 = (h[at] for h in _hashed(w, window, len(low)))
                 order = np.lexsort((at, h2, h1, w.row[at]))
                 at, h1, h2 = at[order], h1[order], h2[order]
                 row = w.row[at]
@@ -132,15 +132,15 @@ def factors(at: np.ndarray, ref: np.ndarray, window: int) -> list[tuple[int, int
     return [(int(at[a]), int(at[b] - at[a]) + window, int(ref[a])) for a, b in zip(lo, hi)]
 
 
-def _everywhere(w: tb.Words, window: int, row: int, at: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _everywhere(h1: np.ndarray, h2: np.ndarray, at: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All places of a row's windows that are found, from the first place of each."""
-    low, ok = window_anchors(w, w.hashes(), window)
-    lo, hi = w.first[row], min(w.first[row + 1], len(low))
-    h1, h2 = (h[lo:hi][ok[lo:hi]] for h in _hashed(w, window, low))
-    _, code = np.unique(np.stack([h1, h2], 1), axis=0, return_inverse=True)
-    code = code.ravel()
-    refs = np.full(code.max() + 1, -1, np.int64)
-    known = np.zeros(code.max() + 1, bool)
+    order = np.lexsort((h2, h1))
+    new = np.ones(len(h1), bool)
+    new[1:] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
+    code = np.empty(len(h1), np.int64)
+    code[order] = np.cumsum(new) - 1
+    refs = np.zeros(len(h1), np.int64)
+    known = np.zeros(len(h1), bool)
     refs[code[at]], known[code[at]] = ref, True
     places = np.flatnonzero(known[code])
     return places, refs[code[places]]
@@ -153,9 +153,13 @@ def _parse(window: int):
             hits, refs = batch.column("at"), batch.column("ref")
             whole = tb.texts(batch.column("text"))
             for w in tb.chunks(batch.column("text")):
+                n = max(0, len(w.start) - window + 1)
+                h1, h2 = _hashed(w, window, n)
                 for r in range(w.hi - w.lo):
                     words = next(whole).split()
-                    at, ref = _everywhere(w, window, r, np.asarray(hits[w.lo + r].values), np.asarray(refs[w.lo + r].values))
+                    own = slice(w.first[r], max(w.first[r], w.first[r + 1] - window + 1))  # its windows
+                    at, ref = _everywhere(h1[own], h2[own], np.asarray(hits[w.lo + r].values),
+                                          np.asarray(refs[w.lo + r].values))
                     found = factors(at, ref, window)
                     gone = np.zeros(len(words) + 1, np.int32)
                     for start, length, _ in found:
