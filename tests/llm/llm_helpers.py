@@ -1,3 +1,5 @@
+"""Documents with edge cases, and invented words, for the operator tests."""
+
 import numpy as np
 import pytest
 

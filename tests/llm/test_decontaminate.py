@@ -1,7 +1,7 @@
 import re
 
 import numpy as np
-from conftest_llm import EDGE, make
+from llm_helpers import EDGE, make, words  # noqa: F401
 from serpframe.llm import decontaminate
 
 

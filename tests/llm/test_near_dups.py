@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from conftest_llm import EDGE, make
+from llm_helpers import EDGE, make, words  # noqa: F401
 from serpframe.llm import near_dups
 
 

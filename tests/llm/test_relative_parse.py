@@ -3,7 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
-from conftest_llm import EDGE, make
+from llm_helpers import EDGE, make, words  # noqa: F401
 from serpframe.llm import relative_parse
 
 
