@@ -184,7 +184,9 @@ class Redactor:
             order = np.argsort(-p[mine])
             ranked, right = p[mine][order], np.cumsum(truth[mine][order])
             good = np.flatnonzero(right >= precision * np.arange(1, len(ranked) + 1))
-            self.least.append(max(0.9, float(ranked[good[-1]])) if len(good) else 2.0)
+            # half way to the next candidate, which would spoil the precision
+            below = np.append(ranked, 0.0)
+            self.least.append(max(0.95, float(below[good[-1]] + below[good[-1] + 1]) / 2) if len(good) else 2.0)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
         found = candidates(text)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from serpframe.llm import textblocks as tb
 from serpframe.llm.language_id import is_held_out
 
-BITS = 20
+SCREEN_BITS = 20
 HEADS = (4, 5, 6)
 
 
@@ -39,50 +39,51 @@ def features(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
             long = w.end - w.start > k
             ids.append(tb.range_hash(vals, w.start[long], w.start[long] + k) ^ np.uint64(k << 60))
             rows.append(w.row[long])
-        yield w.lo, w.hi - w.lo, (np.concatenate(ids) >> np.uint64(64 - BITS)).astype(np.int32), np.concatenate(rows)
+        yield w.lo, w.hi - w.lo, (np.concatenate(ids) >> np.uint64(32)).astype(np.uint32), np.concatenate(rows)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo, n, ids, rows in features(batch.column("text")):
-            key = np.unique(rows.astype(np.int64) << BITS | ids)
+            key = np.unique(rows.astype(np.int64) << 32 | ids)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("toxic").slice(lo, n),
-                 tb.lists((key & ((1 << BITS) - 1)).astype(np.int32), np.bincount(key >> BITS, minlength=n))],
+                 tb.lists(key.astype(np.uint32).view(np.int32), np.bincount(key >> 32, minlength=n))],
                 names=["toxic", "ids"])
 
 
 @dataclass
 class Model:
-    weight: np.ndarray  # of every feature id; 0 where the feature was not chosen
+    ids: np.ndarray  # of the chosen features, sorted
+    weight: np.ndarray
     bias: float
 
+    def __post_init__(self):
+        self.screen = np.zeros(1 << SCREEN_BITS, bool)
+        self.screen[self.ids & ((1 << SCREEN_BITS) - 1)] = True
+
+    def find(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``ids`` that are chosen features, and which."""
+        at = np.flatnonzero(self.screen[ids & np.uint32((1 << SCREEN_BITS) - 1)])
+        if not len(at):
+            return at, at
+        which = np.minimum(np.searchsorted(self.ids, ids[at]), len(self.ids) - 1)
+        ok = self.ids[which] == ids[at]
+        return at[ok], which[ok]
 
-def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, lift: float = 2.0, least: int = 4,
-        steps: int = 400, rate: float = 0.05, decay: float = 1e-3) -> Model:
-    """Non-negative PU risk minimised with Adam on full batches."""
-    dim = 1 << BITS
-    none = Model(np.zeros(dim, np.float32), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
-    if not pos or not unl:
-        return none
-    in_p = np.bincount(np.concatenate(pos), minlength=dim)
-    in_u = np.bincount(np.concatenate(unl), minlength=dim)
-    p, u = in_p / len(pos), in_u / len(unl)
-    pooled = (in_p + in_u) / (len(pos) + len(unl))
-    z = (p - u) / np.sqrt(pooled * (1 - pooled) * (1 / len(pos) + 1 / len(unl)) + 1e-12)
-    chosen = np.flatnonzero((in_p >= least) & (p >= lift * u) & (z >= 4))
-    if not len(chosen):
-        return none
-    place = np.full(dim, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
+
+def _descend(pos: list[np.ndarray], unl: list[np.ndarray], ids: np.ndarray, prior: float, steps: int, rate: float,
+             decay: float) -> Model:
+    """Non-negative PU risk on the features ``ids``, minimised with Adam on full batches."""
+    model = Model(ids, np.zeros(len(ids)), 0.0)
 
     def pack(rows):
-        at = [place[r][place[r] >= 0] for r in rows]
+        at = [model.find(r)[1] for r in rows]
         return np.concatenate(at), np.repeat(np.arange(len(rows)), [len(a) for a in at])
 
     (pi, pr), (ui, ur) = pack(pos), pack(unl)
-    w, b = np.zeros(len(chosen)), float(np.log(prior / (1 - prior)))
-    mom, var = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
+    w, b = np.zeros(len(ids)), float(np.log(prior / (1 - prior)))
+    mom, var = np.zeros(len(ids) + 1), np.zeros(len(ids) + 1)
     sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
     for t in range(1, steps + 1):
         zp = np.bincount(pr, w[pi], len(pos)) + b
@@ -102,9 +103,36 @@ def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, lift: float
         step = rate * (mom / (1 - 0.9 ** t)) / (np.sqrt(var / (1 - 0.999 ** t)) + 1e-9)
         w -= step[:-1]
         b -= step[-1]
-    out = np.zeros(dim, np.float32)
-    out[chosen] = w
-    return Model(out, float(b))
+    return Model(ids, w, float(b))
+
+
+def fit(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, least: int = 4, least_share: float = 0.005,
+        sure: float = 5.0, slight: float = 0.5, steps: int = 800, rate: float = 0.05, decay: float = 1e-3) -> Model:
+    """Choose features, fit, leave out the ones that turned out slight, fit again.
+
+    A feature of toxic texts alone is 1 / prior times as frequent in P as in U.
+    Chosen is what reaches a third of that in ``least`` documents of P, a share
+    ``least_share`` of them, and ``sure`` standard errors. Copies count once.
+    """
+    none = Model(np.zeros(0, np.uint32), np.zeros(0), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))))
+    pos, unl = (list({r.tobytes(): r for r in rows}.values()) for rows in (pos, unl))
+    if not pos or not unl:
+        return none
+    seen, in_p = np.unique(np.concatenate(pos), return_counts=True)
+    often = in_p >= max(least, least_share * len(pos))
+    seen, in_p = seen[often], in_p[often]
+    all_u = np.sort(np.concatenate(unl))
+    in_u = np.searchsorted(all_u, seen, side="right") - np.searchsorted(all_u, seen)
+    p, u = in_p / len(pos), in_u / len(unl)
+    pooled = (in_p + in_u) / (len(pos) + len(unl))
+    z = (p - u) / np.sqrt(pooled * (1 - pooled) * (1 / len(pos) + 1 / len(unl)) + 1e-12)
+    chosen = seen[(p >= max(2.0, 0.35 / prior) * u) & (z >= sure)]
+    for _ in range(2):
+        if not len(chosen):
+            return none
+        model = _descend(pos, unl, chosen, prior, steps, rate, decay)
+        chosen = chosen[model.weight >= slight]
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled: int = 9000) -> Model:
@@ -134,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
         .unionByName(open_.where(within(unlabelled, total)).limit(2 * unlabelled).select(F.lit(0).alias("toxic"), "text"))
     got = sample.mapInArrow(_feature_rows, "toxic int, ids array<int>").toArrow()
     toxic = got.column("toxic").to_pylist()
-    ids = [np.asarray(x.values) for c in got.column("ids").chunks for x in c]
+    ids = [np.asarray(x.values).view(np.uint32) for c in got.column("ids").chunks for x in c]
     order = sorted(range(len(ids)), key=lambda i: (len(ids[i]), ids[i].tobytes()))
     return fit([ids[i] for i in order if toxic[i]], [ids[i] for i in order if not toxic[i]], prior)
 
@@ -152,9 +180,9 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         m = sent.value
         for batch in batches:
             for lo, n, ids, rows in features(batch.column(1)):
-                hit = m.weight[ids] != 0
-                key = np.unique(rows[hit].astype(np.int64) << BITS | ids[hit])
-                z = np.bincount(key >> BITS, m.weight[key & ((1 << BITS) - 1)], n) + m.bias
+                at, which = m.find(ids)
+                key = np.unique(rows[at].astype(np.int64) << 32 | which)
+                z = np.bincount(key >> 32, m.weight[key & 0xFFFFFFFF], n) + m.bias
                 s = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, n), pa.array(s), pa.array((s >= threshold).astype(np.int32))],

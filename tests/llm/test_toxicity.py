@@ -47,15 +47,15 @@ def test_labels_of_held_out_rows_are_not_read(spark, words):  # noqa: F811
     a = toxicity.train(docs, make_labels(spark, labels))
     flipped = [(i, 1 - x if zlib.crc32(str(i).encode()) % 4 == 2 else x) for i, x in labels]
     b = toxicity.train(docs, make_labels(spark, flipped))
-    assert a.bias == b.bias and (a.weight == b.weight).all()
+    assert a.bias == b.bias and (a.ids == b.ids).all() and (a.weight == b.weight).all()
 
 
 def test_risk_on_negatives_is_kept_from_going_below_zero():
     # every feature of P is also all of U: without the bound the bias would run away
-    pos = [np.array([1, 2], np.int32)] * 50
-    unl = [np.array([1, 2], np.int32)] * 5 + [np.array([3], np.int32)] * 95
+    pos = [np.array([1, 2], np.uint32)] * 50
+    unl = [np.array([1, 2], np.uint32)] * 5 + [np.array([3], np.uint32)] * 95
     m = toxicity.fit(pos, unl, 0.05)
-    assert np.isfinite(m.weight).all() and m.weight[1] > 0 and m.weight[3] == 0
+    assert m.ids.tolist() == [1, 2] and np.isfinite(m.weight).all() and (m.weight > 0).all()
     assert 1 / (1 + np.exp(-m.bias)) < 0.3
 
 
