@@ -27,6 +27,16 @@ def first_num(*cols) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit(0)) for c in cs[:-1]], cs[-1])
 
 
+def first_number_text(*cols) -> Column:
+    """Chain over texts of JSON numbers: ``0`` (also ``0.0``, ``-0``) and blanks count as missing, but in last place.
+
+    A number reaches a text column as its JSON text, so the number 0 and the
+    text "0" look alike; both are taken as the number.
+    """
+    cs = [_col(c) for c in cols]
+    return F.coalesce(*[F.when(~c.rlike(r"^(?:-?0+(?:\.0*)?(?:[eE][+-]?[0-9]+)?)?$"), c) for c in cs[:-1]], cs[-1])
+
+
 def first_nonempty(*cols) -> Column:
     """Array or map chain: empty collections count as missing."""
     cs = [_col(c) for c in cols]

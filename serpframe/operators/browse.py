@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from serpframe.options import SearchOptions
+from serpframe.session import scratch_path
 
 
 def filter_results(df: DataFrame, text: str | None, cols: Sequence[str] = ("query", "title", "url")) -> DataFrame:
@@ -22,9 +23,29 @@ def filter_results(df: DataFrame, text: str | None, cols: Sequence[str] = ("quer
 
 
 def page_results(df: DataFrame, page: int, per_page: int = 100, order: Sequence[str] = ()) -> DataFrame:
-    """Rows of one page (1-based) in ``order``; the slice is the feature."""
+    """Rows of one page (1-based) in ``order``; the slice is the feature.
+
+    A first page is a top-k. For a page further on, the rows are ranged by
+    ``order`` into sorted partitions and written once; the partitions are
+    counted and only those that hold rows of the page are read on, so no task
+    orders the rows of all pages before it.
+    """
     page = max(1, int(page))
-    return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
+    skip = (page - 1) * per_page
+    if page <= 10:
+        return df.orderBy(*order).offset(skip).limit(per_page)
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) \
+        .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    path = scratch_path(df.sparkSession, "pages")
+    ranged.write.parquet(path)  # sampled ranges differ between runs
+    ranged = df.sparkSession.read.parquet(path)
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    rank = F.col("_before") + F.col("_at") - F.col("_first")
+    return (ranged.join(F.broadcast(starts.filter((F.col("_before") < skip + per_page)
+                                                  & (F.col("_before") + F.col("_n") > skip))), "_part")
+            .filter((rank >= skip) & (rank < skip + per_page)).select(*df.columns).orderBy(*order))
 
 
 def total_pages(df: DataFrame, per_page: int = 100) -> DataFrame:
@@ -40,6 +61,15 @@ def limit_results(df: DataFrame, limit: int | None, order: Sequence[str] = ()) -
     return ordered.limit(limit) if limit else ordered
 
 
+def result_counts(df: DataFrame, limit: int | None) -> DataFrame:
+    """One row: total_results, and returned_results under ``limit`` (None or 0 returns all)."""
+    if limit is not None and limit < 0:
+        raise ValueError("limit must not be negative")
+    total = df.agg(F.count(F.lit(1)).alias("total_results"))
+    back = F.least(F.col("total_results"), F.lit(limit)) if limit else F.col("total_results")
+    return total.withColumn("returned_results", back.cast("bigint"))
+
+
 def preview_queries(df: DataFrame, options: SearchOptions, n: int = 5, col: str = "original_input",
                     id_col: str = "input_row_id") -> DataFrame:
     """First ``n`` queries with the site filters the UI would add.

@@ -61,18 +61,18 @@ def query_dedup_stats(df: DataFrame, options: SearchOptions, col: str = "origina
                       id_col: str = "input_row_id") -> DataFrame:
     """Parsed (all input rows), unique (sent) and skipped (duplicate) counts, one row."""
     blank = F.col(col).isNull() | (T.strip(F.col(col)) == "")
-    a = annotate_queries(df, options, col).withColumn("_blank", blank)
+    parsed = F.coalesce(F.sum("_n"), F.lit(0)).alias("parsed")
     if options.allow_duplicates:
-        return a.agg(F.count(F.lit(1)).alias("parsed"),
-                     F.count_if(~F.col("_blank")).alias("unique"),
-                     F.lit(0).cast("bigint").alias("skipped"))
-    firsts = (a.filter(~F.col("_blank")).groupBy("normalized_query_hash")
-               .agg(F.min(id_col).alias("_first_id")))
-    j = a.join(firsts, "normalized_query_hash", "left")
-    first = F.col(id_col) == F.col("_first_id")
-    return j.agg(F.count(F.lit(1)).alias("parsed"),
-                 F.count_if(~F.col("_blank") & first).alias("unique"),
-                 F.count_if(~F.col("_blank") & ~first).alias("skipped"))
+        return df.select(blank.alias("_blank")).groupBy("_blank").agg(F.count(F.lit(1)).alias("_n")).agg(
+            parsed, F.coalesce(F.sum(F.when(~F.col("_blank"), F.col("_n"))), F.lit(0)).alias("unique"),
+            F.lit(0).cast("bigint").alias("skipped"))
+    # blank inputs share the null hash; every other hash is one query sent
+    a = annotate_queries(df, options, col).select(
+        F.when(~blank, F.col("normalized_query_hash")).alias("_hash"))
+    per = a.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"))
+    sent = F.count("_hash")
+    kept = F.coalesce(F.sum(F.when(F.col("_hash").isNotNull(), F.col("_n"))), F.lit(0))
+    return per.agg(parsed, sent.alias("unique"), (kept - sent).alias("skipped"))
 
 
 def result_key(title: Column, url: Column, page: Column, term: Column) -> tuple[Column, Column]:

@@ -101,10 +101,20 @@ def flatten_paa(df: DataFrame, record_col: str = "record", now: Column | None =
 
 
 def flatten_related(df: DataFrame, record_col: str = "record", now: Column | None = None) -> DataFrame:
-    """Related queries: relatedQueries before relatedSearches."""
-    arr, _ = _list(df, record_col, "relatedQueries", "relatedSearches")
+    """Related queries: relatedQueries before relatedSearches.
+
+    An element may be a text or an object with a ``query``: a struct, or the
+    JSON text of an object (how a text column holds it).
+    """
+    arr, et = _list(df, record_col, "relatedQueries", "relatedSearches")
     x = df.select(*flatten_common(df, record_col, now), F.explode(arr).alias("q"))
-    return x.select(*COMMON, F.coalesce(F.nullif(F.col("q"), F.lit("")), F.lit("")).alias("related_query"))
+    q = F.col("q")
+    if isinstance(et, StructType):
+        text = _field(q, et, "query").cast("string")
+    else:
+        text = F.when(F.trim(q).startswith("{") & (F.schema_of_variant(F.try_parse_json(q)).startswith("OBJECT")),
+                      F.get_json_object(q, "$.query")).otherwise(q)
+    return x.select(*COMMON, F.coalesce(F.nullif(text, F.lit("")), F.lit("")).alias("related_query"))
 
 
 def flatten_paid(df: DataFrame, record_col: str = "record", now: Column | None = None) -> DataFrame:
@@ -122,24 +132,24 @@ def flatten_paid(df: DataFrame, record_col: str = "record", now: Column | None =
 
 def flatten_ai_overview(df: DataFrame, record_col: str = "record", now: Column | None = None) -> DataFrame:
     """The AI overview as JSON text; records without one give no row."""
-    rt: StructType = df.schema[record_col].dataType
-    r = F.col(record_col)
-    ai = F.coalesce(*[json_truthy(r[n]) for n in ("aiOverview", "ai_overview") if n in rt.fieldNames()],
-                    F.lit(None).cast("string"))
-    return (df.select(*flatten_common(df, record_col, now), ai.alias("content_json"))
+    return (df.select(*flatten_common(df, record_col, now), _ai_overview(df, record_col).alias("content_json"))
             .filter(F.col("content_json").isNotNull()))
 
 
-def result_kind_rows(df: DataFrame, record_col: str = "record", now: Column | None = None) -> DataFrame:
-    """Kind of every flat row of the five tables, for counting."""
-    parts = [
-        flatten_organic(df, record_col, now).select(F.lit("organic").alias("kind")),
-        flatten_paa(df, record_col, now).select(F.lit("people_also_ask").alias("kind")),
-        flatten_related(df, record_col, now).select(F.lit("related").alias("kind")),
-        flatten_paid(df, record_col, now).select(F.lit("paid").alias("kind")),
-        flatten_ai_overview(df, record_col, now).select(F.lit("ai_overview").alias("kind")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _ai_overview(df: DataFrame, record_col: str) -> Column:
+    rt: StructType = df.schema[record_col].dataType
+    r = F.col(record_col)
+    return F.coalesce(*[json_truthy(r[n]) for n in ("aiOverview", "ai_overview") if n in rt.fieldNames()],
+                      F.lit(None).cast("string"))
+
+
+def result_sizes(df: DataFrame, record_col: str = "record") -> DataFrame:
+    """Rows that each record gives in each of the five tables, one column per kind; one scan, no explode."""
+    def size(*names):
+        arr, _ = _list(df, record_col, *names)
+        return F.greatest(F.coalesce(F.size(arr), F.lit(0)), F.lit(0))
+    return df.select(size("organicResults", "searchResults").alias("organic"),
+                     size("peopleAlsoAsk", "paa").alias("people_also_ask"),
+                     size("relatedQueries", "relatedSearches").alias("related"),
+                     size("ads", "paidResults").alias("paid"),
+                     _ai_overview(df, record_col).isNotNull().cast("int").alias("ai_overview"))

@@ -15,7 +15,7 @@ from serpframe.functions.followers import extract_followers
 from serpframe.functions.numbers import coerce_int
 from serpframe.functions.snippets import pick_longer, replace_snippet
 from serpframe.functions.text import strip
-from serpframe.functions.truthy import _col, first_nonempty, first_str
+from serpframe.functions.truthy import _col, first_nonempty, first_number_text, first_str
 from serpframe.schemas import RAW_AD, RAW_ORGANIC, RAW_PAA
 
 _EMPTY_MAP = "map<string,string>"
@@ -29,7 +29,7 @@ def normalize_search_query(raw) -> Column:
     r = _col(raw)
     sq = r["searchQuery"]
     term = first_str(sq["term"], r["query"], r["searchTerm"])
-    page = F.coalesce(F.nullif(coerce_int(first_str(sq["page"], r["page"], F.lit("1"))), F.lit(0)), F.lit(1))
+    page = F.coalesce(F.nullif(coerce_int(first_number_text(sq["page"], r["page"], F.lit("1"))), F.lit(0)), F.lit(1))
     return F.struct(term.alias("term"), page.cast("bigint").alias("page"))
 
 
@@ -53,7 +53,7 @@ def normalize_organic(raw) -> Column:
     recs = first_nonempty(r["organicResults"], r["searchResults"], _empty(RAW_ORGANIC))
     a_names = ["position", "title", "url", "displayedUrl", "snippet0", "siteLinks", "meta"]
     a = F.transform(recs, lambda o: F.struct(
-        coerce_int(first_str(o["position"], o["rank"])).alias("position"),
+        coerce_int(first_number_text(o["position"], o["rank"])).alias("position"),
         first_str(o["title"], o["resultTitle"]).alias("title"),
         first_str(o["url"], o["link"], o["resultUrl"]).alias("url"),
         first_str(o["displayedUrl"], o["visibleUrl"]).alias("displayedUrl"),

@@ -9,7 +9,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from serpframe.options import SearchOptions
 
@@ -37,7 +36,7 @@ def plan_requests(df: DataFrame, options: SearchOptions, query_col: str = "sub_q
 
 def _json_string(c: Column) -> Column:
     """A JSON string literal of ``c`` (quotes and escapes, non-ASCII kept)."""
-    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'^\{"v":(.*)\}$', 1)
+    return F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
 
 
 def request_key(df: DataFrame) -> Column:
@@ -69,10 +68,10 @@ def live_responses(responses: DataFrame, ttl_seconds: int, now: Column,
                    key: str = "request_key", ts: str = "fetched_at",
                    payload: Sequence[str] = ()) -> DataFrame:
     """Latest stored response per key, kept when ``now - fetched <= ttl``
-    in whole seconds. Aggregates map-side, so hot keys stay cheap."""
+    in whole seconds; one stamped after ``now`` has a negative age and is
+    served. Aggregates map-side, so hot keys stay cheap."""
     pay = [F.max_by(F.col(p), F.col(ts)).alias(p) for p in payload]
-    latest = (responses.filter(F.col(ts) <= now)
-              .groupBy(key).agg(F.max(ts).alias(ts), *pay))
+    latest = responses.groupBy(key).agg(F.max(ts).alias(ts), *pay)
     age = _epoch_s(now) - _epoch_s(F.col(ts))
     return latest.withColumn("age_s", age).filter(F.col("age_s") <= ttl_seconds)
 
@@ -89,19 +88,66 @@ def cache_misses(requests: DataFrame, responses: DataFrame, ttl_seconds: int, no
     return requests.join(live_responses(responses, ttl_seconds, now, key, ts).select(key), key, "left_anti")
 
 
-def _fetch_seconds(ttl: int):
-    """Greedy anchored scan over the sorted distinct seconds of one key: a
-    fetch at ``s`` serves every request up to ``s + ttl``; the next fetch is
-    the first second after that."""
+# A chunk of a key's time line spans this many TTLs; a task holds the distinct
+# seconds of one chunk at most.
+CHUNK_TTLS = 64
+
+
+def _next_fetch(secs: np.ndarray, ttl: int) -> np.ndarray:
+    """Index of the fetch after each second; ``len(secs)`` when there is none in the chunk."""
+    return np.searchsorted(secs, secs + ttl, side="right")
+
+
+def _chunk_entries(ttl: int, span: int, key: str):
+    """Where the scan can enter a chunk, and the last fetch it then makes there.
+
+    The fetch before lies ahead of the chunk, so the scan enters within the
+    chunk's first ``ttl`` seconds or at the first second after them.
+    """
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        secs = np.sort(pdf["_sec"].to_numpy())
+        last = np.append(np.arange(len(secs)), len(secs))
+        nxt = np.append(_next_fetch(secs, ttl), len(secs))
+        step = np.where(nxt == len(secs), np.arange(len(nxt)), nxt)
+        while True:  # pointer jumping: log2(fetches) rounds
+            far = step[step]
+            if (far == step).all():
+                break
+            step = far
+        last = step[:-1]
+        start = int(pdf["_chunk"].iloc[0]) * span
+        n = int(np.searchsorted(secs, start + ttl, side="right")) + 1
+        return pd.DataFrame({key: pdf[key].iloc[0], "_chunk": pdf["_chunk"].iloc[0], "_sec": secs[:n],
+                             "_last": secs[last[:n]]})
+    return fn
+
+
+def _link_chunks(ttl: int, key: str):
+    """Follow the scan over the chunks of one key: the second it enters each."""
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_sec", kind="stable")
-        secs = pdf["_sec"].to_numpy()
-        keep = np.zeros(len(secs), dtype=bool)
-        i = 0
+        chunk, secs, last = (pdf[c].to_numpy() for c in ("_chunk", "_sec", "_last"))
+        keep, i = [], 0
         while i < len(secs):
-            keep[i] = True
-            i = int(np.searchsorted(secs, secs[i] + ttl, side="right"))
-        return pdf[keep]
+            keep.append(i)
+            after = int(np.searchsorted(secs, last[i] + ttl, side="right"))
+            i = max(after, int(np.searchsorted(chunk, chunk[i], side="right")))
+        return pd.DataFrame({key: pdf[key].iloc[0], "_chunk": chunk[keep], "_sec": secs[keep]})
+    return fn
+
+
+def _chunk_fetches(ttl: int, key: str):
+    """All fetch seconds of a chunk from the second the scan enters it."""
+    def fn(secs: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if not len(entry) or not len(secs):
+            return secs.iloc[:0][[key, "_sec"]]
+        s = np.sort(secs["_sec"].to_numpy())
+        nxt = _next_fetch(s, ttl)
+        keep, i = [], int(np.searchsorted(s, entry["_sec"].iloc[0]))
+        while i < len(s):
+            keep.append(i)
+            i = int(nxt[i])
+        return pd.DataFrame({key: secs[key].iloc[0], "_sec": s[keep]})
     return fn
 
 
@@ -112,18 +158,25 @@ def ttl_refetch_filter(df: DataFrame, key: str, ts: str, ttl_seconds: int,
     Age runs from the last *fetch*, not the last request, because only a
     fetch rewrites the cached file; a running ``lag`` would be wrong.
 
-    Plan: (1) first row per (key, whole second), an aggregation that
-    combines map-side, so a key with a huge share of the rows shrinks to at
-    most one row per second of its time span before any shuffle; (2) per
-    key, the greedy scan over those seconds in pandas (``searchsorted``,
-    one step per fetch); the input of one group is bounded by the distinct
-    seconds of one key, not by its row count.
+    Only the distinct (key, second) pairs take part in the scan. A key's time
+    line is cut into chunks of ``CHUNK_TTLS`` TTLs, so a key with a huge share
+    of the rows is many groups: each chunk says where the scan leaves it for
+    every second at which it can enter, those few rows are followed over the
+    chunks of a key, and the chunks then list their fetches. The log's rows
+    are joined to the fetch seconds at the end; the first row of each counts.
     """
+    ttl = int(ttl_seconds)
+    span = max(1, CHUNK_TTLS * max(ttl, 1))
+    kt = df.schema[key].dataType.simpleString()
+    rows = df.withColumn("_sec", _epoch_s(F.col(ts))).filter(F.col(key).isNotNull() & F.col("_sec").isNotNull())
+    secs = rows.select(key, "_sec").distinct() \
+        .withColumn("_chunk", F.floor(F.col("_sec") / span).cast("bigint"))
+    entries = secs.groupBy(key, "_chunk").applyInPandas(
+        _chunk_entries(ttl, span, key), f"`{key}` {kt}, _chunk bigint, _sec bigint, _last bigint")
+    entered = entries.groupBy(key).applyInPandas(_link_chunks(ttl, key), f"`{key}` {kt}, _chunk bigint, _sec bigint")
+    fetches = secs.groupBy(key, "_chunk").cogroup(entered.groupBy(key, "_chunk")).applyInPandas(
+        _chunk_fetches(ttl, key), f"`{key}` {kt}, _sec bigint")
     order = [F.col(ts)] + ([F.col(tiebreak)] if tiebreak else [])
     payload = F.struct(*[F.col(c) for c in df.columns])
-    firsts = (df.withColumn("_sec", _epoch_s(F.col(ts)))
-              .groupBy(key, "_sec").agg(F.min_by(payload, F.struct(*order)).alias("_r")))
-    flat = firsts.select("_sec", "_r.*")
-    schema = StructType(flat.schema.fields)
-    out = flat.groupBy(key).applyInPandas(_fetch_seconds(int(ttl_seconds)), schema=schema)
-    return out.select(*df.columns)
+    return rows.join(fetches, [key, "_sec"]).groupBy(key, "_sec") \
+        .agg(F.min_by(payload, F.struct(*order)).alias("_r")).select("_r.*")

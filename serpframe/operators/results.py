@@ -94,7 +94,11 @@ def parse_quota_errors(df: DataFrame, status_col: str = "http_status", body_col:
     ErrorInfo detail, help links from every Help detail. Malformed bodies
     parse to null and are not quota errors.
     """
-    err = F.from_json(F.col(body_col), ERROR_BODY, {"mode": "PERMISSIVE"})["error"]
+    keep = [c for c in df.columns if c != body_col]
+    parsed = F.transform(F.array(F.col(body_col)), lambda b: F.from_json(b, ERROR_BODY, {"mode": "PERMISSIVE"})["error"])
+    # the generator keeps the optimizer from copying the parse into each use
+    df = df.select(*keep, F.explode(parsed).alias("_e"))
+    err = F.col("_e")
     is_quota = (F.col(status_col).isin(403, 429) & (err["code"] == 429)
                 & (err["status"] == "RESOURCE_EXHAUSTED")
                 & F.exists(F.coalesce(err["errors"], F.array()), lambda e: e["reason"] == "rateLimitExceeded"))
@@ -102,8 +106,7 @@ def parse_quota_errors(df: DataFrame, status_col: str = "http_status", body_col:
     info = F.try_element_at(F.filter(details, lambda d: d["@type"] == ERROR_INFO_TYPE), F.lit(1))["metadata"]
     links = F.flatten(F.transform(F.filter(details, lambda d: d["@type"] == HELP_TYPE),
                                   lambda d: F.transform(F.coalesce(d["links"], F.array()), lambda x: x["url"])))
-    keep = [c for c in df.columns if c != body_col]
-    out = df.select(*keep, F.coalesce(is_quota, F.lit(False)).alias("is_quota_error"), err.alias("_e"),
+    out = df.select(*keep, F.coalesce(is_quota, F.lit(False)).alias("is_quota_error"), "_e",
                     info.alias("_m"), links.alias("_links"))
     q = F.col("is_quota_error")
     return out.select(

@@ -8,6 +8,8 @@ CTE in the DuckDB oracle, so a check compares operators, not inputs.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -34,24 +36,36 @@ select p_partkey + 1 as input_row_id, p_name as anchor,
  case p_partkey % 3 when 0 then p_brand when 1 then cast(null as varchar(20)) else '"quoted role"' end as role_2,
  cast(10 as int) as max_pages
 from part""",
+    # Cells with quotes, commas and line breaks.
+    "v_csv_rows": """
+select p_partkey, case p_partkey % 4
+  when 0 then concat('"', p_name, '" (a OR b), c') when 1 then concat(p_name, chr(10), p_type)
+  when 2 then concat('say "', p_name, '"') else p_name end as anchor,
+ case p_partkey % 3 when 0 then concat('lead, "', p_brand, '"') when 1 then concat(p_type, ' or ', p_brand)
+  else cast(null as varchar(20)) end as role_1
+from part""",
+    # Elements of JSON lists: texts, one of them with a brace in front, and objects.
+    "v_json_rows": """
+select p_partkey, p_partkey % 10 as doc, p_name, p_type, case p_partkey % 3
+  when 0 then concat('"', p_name, '"') when 1 then concat('"{curly} ', p_name, '"')
+  else concat('{"anchor":"', p_name, '","max_pages":3,"role":"', p_type, '","none":null}') end as element
+from part""",
+    # A search is a run of 200 documents, a page 10 of them; every text is whole.
     "v_items": """
-with d as (select doc_id, source, text, substr(text, 1, 40) as t40,
-  row_number() over (partition by source order by doc_id) as rn,
-  count(*) over (partition by source) as n from documents)
-select doc_id, source as term, cast(floor((rn - 1) / 10) as int) + 1 as page, cast((rn - 1) % 10 as int) + 1 as idx,
- case doc_id % 11 when 0 then '' else t40 end as title,
+select doc_id, concat('term ', cast(n as varchar(20))) as term, cast(floor(r / 10) as int) + 1 as page,
+ cast(r % 10 as int) + 1 as idx,
+ case doc_id % 11 when 0 then '' else concat('About ', h) end as title,
  case when doc_id % 11 = 0 then ''
-      when length(t40) % 4 = 0 then concat('https://www.LinkedIn.com/in/', md5(t40))
-      else concat('https://example.org/', md5(t40)) end as link,
- concat(substr(text, 1, 80), case doc_id % 2 when 0 then '...' else '' end,
+      when length(text) % 4 = 0 then concat('https://www.LinkedIn.com/in/', h)
+      else concat('https://example.org/', h) end as link,
+ concat(text, case doc_id % 2 when 0 then '...' else '' end,
    case doc_id % 7 when 0 then concat(' ', cast((doc_id * 37) % 5000 as varchar(20)), ' followers')
      when 1 then ' 1,234 followers' when 2 then ' 2.5K connections' when 3 then ' 500+ connections'
      when 4 then ' 1.234 seguidores' else '' end) as snippet,
- case doc_id % 3 when 0 then substr(text, 1, 160) else null end as og_description,
- case doc_id % 5 when 0 then substr(text, 1, 200) else null end as twitter_description,
- case cast(substr(source, 4) as int) % 3 when 0 then '0' when 1 then 'n/a'
-   else cast(n - 15 as varchar(20)) end as total_results
-from d""",
+ case doc_id % 3 when 0 then text else null end as og_description,
+ case doc_id % 5 when 0 then concat(text, ' and more') else null end as twitter_description,
+ case n % 3 when 1 then '0' when 2 then 'n/a' else '175' end as total_results
+from (select doc_id, text, md5(text) as h, cast(floor(doc_id / 200) as bigint) as n, doc_id % 200 as r from documents) d""",
     "v_raw": """
 select doc_id,
  case doc_id % 3 when 0 then source else '' end as sq_term,
@@ -61,8 +75,8 @@ select doc_id,
  case doc_id % 3 when 0 then concat('https://a.example/', md5(text)) else '' end as url,
  case doc_id % 3 when 1 then concat('https://b.example/', md5(text)) else null end as link,
  case doc_id % 3 when 2 then concat('https://c.example/', md5(text)) else null end as result_url,
- case doc_id % 2 when 0 then substr(text, 1, 90) else null end as snippet,
- case doc_id % 2 when 1 then substr(text, 1, 70) else null end as description,
+ case doc_id % 2 when 0 then text else null end as snippet,
+ case doc_id % 2 when 1 then text else null end as description,
  case doc_id % 4 when 0 then '1' when 1 then 'nan' when 2 then '-2.9' else '1e2' end as position
 from documents""",
     "v_raw_flat": """
@@ -98,13 +112,14 @@ select event_id, case event_id % 5 when 3 then 500 when 2 then 403 else 429 end
    cast(100 + event_id % 7 as varchar(20)),
    '","quota_metric":"queries"}},{"@type":"type.googleapis.com/google.rpc.Help","links":[{"url":"https://help.example/1"}]}]}}') end as body
 from events""",
+    # Some jobs are only queued so far, some end on an error of the job itself.
     "v_job_events": """
-select user_id as job_id, event_id, ts,
- case event_type when 'error' then 'failed' when 'signup' then 'duplicate' when 'purchase' then 'quota_error'
-   else 'done' end as outcome,
- cast(floor(value) as bigint) as n_results,
- count(*) over (partition by user_id) as total_keywords
-from events""",
+select e.user_id as job_id, event_id, ts,
+ case when e.user_id % 17 = 3 then 'queued' when e.user_id % 13 = 5 and event_id % 40 = 0 then 'aborted'
+  else case event_type when 'error' then 'failed' when 'signup' then 'duplicate' when 'purchase' then 'quota_error'
+   else 'done' end end as outcome,
+ cast(floor(value) as bigint) as n_results, t.total_keywords
+from events e join (select user_id, count(*) as total_keywords from events group by user_id) t on e.user_id = t.user_id""",
     "v_platform_inputs": """
 select page_id, case page_id % 7
   when 0 then regexp_extract(url, '^https?://([^/]+)', 1)
@@ -119,35 +134,41 @@ from pages""",
 
 
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Register the driver's parquet tables as temp views.
+    """Register the driver's parquet tables as temp views, for ad-hoc SQL.
 
-    ``events.ts`` is stored without a time zone; it is read once as a
-    session-zone (UTC) timestamp so day boundaries and epoch seconds agree
-    with the DuckDB oracle.
+    ``events.ts`` is stored without a time zone; it is cast once to a
+    timestamp of the session zone. The library's sessions are in UTC.
     """
-    # the fixtures' day boundaries and epoch seconds are defined in UTC
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     for name in names:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        if name == "events":
-            df = df.withColumn("ts", df["ts"].cast("timestamp"))
-        df.createOrReplaceTempView(name)
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df.withColumn("ts", df["ts"].cast("timestamp")) if name == "events" else df
 
 
 DEPENDS = {"v_raw_flat": ("v_raw",)}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture view as a DataFrame over the tables of ``sf_dir``."""
-    for dep in DEPENDS.get(name, ()):
-        view(spark, sf_dir, dep).createOrReplaceTempView(dep)
-    register_tables(spark, sf_dir, _tables_of(name))
-    return spark.sql(VIEWS[name])
-
+    """A fixture view as a DataFrame over the tables of ``sf_dir``.
 
-def _tables_of(name: str) -> tuple[str, ...]:
+    The tables are bound as arguments of the SQL text, so no temp view of the
+    caller is replaced.
+    """
     sql = VIEWS[name]
-    return tuple(t for t in TABLES if f"from {t}" in sql)
+    bound = {dep: view(spark, sf_dir, dep) for dep in DEPENDS.get(name, ())}
+    bound |= {t: table(spark, sf_dir, t) for t in TABLES if re.search(rf"\bfrom {t}\b", sql)}
+    for t in bound:
+        sql = re.sub(rf"\bfrom {t}\b", f"from {{{t}}}", sql)
+    return spark.sql(_escape(sql, bound), **bound)
+
+
+def _escape(sql: str, names) -> str:
+    """Double the braces that are not one of ``{name}``."""
+    parts = re.split("(" + "|".join(r"\{%s\}" % n for n in names) + ")", sql)
+    return "".join(p if k % 2 else p.replace("{", "{{").replace("}", "}}") for k, p in enumerate(parts))
 
 
 def with_views(sql: str, *names: str, recursive: bool = False) -> str:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from serpframe.operators import compose, dedup, flatten, metrics, results
@@ -14,26 +15,37 @@ from serpframe.plans import duck as D
 from serpframe.plans.fixtures import view, with_views
 from serpframe.plans.inputs import landed_pages
 from serpframe.plans.q_ops import TTL, _JOB, QUOTA
-from serpframe.plans.q_results import _CANDS, _M, _deduped, _g2_sql
+from serpframe.plans.q_results import _CANDS, _M, _WEB, _deduped, _g2_sql
 from serpframe.plans.q_text import _DUCK_AUDIT
-from serpframe.plans.registry import OPTS, now_col, register
+from serpframe.plans.registry import OPTS, ORACLES, now_col, register
 from serpframe.session import scratch_path
 from serpframe.sinks import writers as W
 from serpframe.sources import queries as SQ
 from serpframe.sources import responses as SR
 from serpframe.streaming import streams as K
 
-_COMPOSED = f"""select {D.strip(f"(ensure || {D.role_expression(D.tokenize_roles('roles'))})")} as original_input
+def _composed(cells: str, src: str) -> str:
+    """Oracle: the non-blank cells of each row composed into one query."""
+    return f"""select {D.strip(f"(ensure || {D.role_expression(D.tokenize_roles('roles'))})")} as original_input
 from (select {D.ensure_quoted('cells[1]')} as ensure, cells[2:] as roles
-      from (select list_filter([{D.strip('anchor')}, {D.strip('role_1')}, {D.strip('role_2')}],
-              lambda x: x is not null and x <> '') as cells from v_query_rows) where len(cells) > 0)"""
+      from (select list_filter([{cells}], lambda x: x is not null and x <> '') as cells from {src}) where len(cells) > 0)"""
 
 
-@register("read_queries_csv", with_views(_COMPOSED, "v_query_rows"))
+@register("read_queries_csv", with_views(
+    _composed(f"{D.strip('anchor')}, {D.strip('role_1')}", "v_csv_rows"), "v_csv_rows"))
 def q_read_queries_csv(spark, sf):
+    """Cells to compose, under headers with a dot and with a name the reader uses itself."""
     path = scratch_path(spark, "queries-csv")
-    view(spark, sf, "v_query_rows").select("anchor", "role_1", "role_2", "max_pages") \
-        .write.option("header", True).csv(path)
+    rows = view(spark, sf, "v_csv_rows").select("anchor", "role_1", F.lit("10").alias("max_pages"))
+    W.write_csv(rows.toDF("the.anchor", "input_row_id", "Max_Pages"), path)
+    return SQ.read_queries_csv(spark, path).select("original_input")
+
+
+@register("read_queries_csv_ready", with_views(f"select {D.strip('anchor')} as original_input from v_csv_rows", "v_csv_rows"))
+def q_read_queries_csv_ready(spark, sf):
+    """A column of ready queries."""
+    path = scratch_path(spark, "queries-csv")
+    W.write_csv(view(spark, sf, "v_csv_rows").select("role_1", "anchor").toDF("other", " Query "), path)
     return SQ.read_queries_csv(spark, path).select("original_input")
 
 
@@ -46,15 +58,49 @@ def q_read_queries_text(spark, sf):
     return SQ.read_queries_text(spark, path).select("original_input")
 
 
-@register("read_queries_json", with_views(
-    f"select {D.ensure_quoted('anchor')} as original_input from v_query_rows", "v_query_rows"))
+_ELEMENT = f"""case p_partkey % 3 when 0 then {D.ensure_quoted('p_name')} when 1 then {D.ensure_quoted("('{curly} ' || p_name)")}
+  else {D.strip(f"({D.ensure_quoted('p_name')} || {D.role_expression(D.tokenize_roles('[p_type]'))})")} end"""
+_ELEMENTS = with_views(f"select {_ELEMENT} as original_input from v_json_rows", "v_json_rows")
+
+
+def _documents(spark, sf, name, text):
+    """JSON documents, one file each, from ``text`` over grouped elements (``els``) and names."""
+    path = scratch_path(spark, name)
+    rows = view(spark, sf, "v_json_rows").groupBy("doc").agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list("element"), ", "), F.lit("]")).alias("els"),
+        F.collect_list("p_name").alias("names"))
+    rows.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return SQ.read_queries_json(spark, path).select("original_input")
+
+
+@register("read_queries_json", _ELEMENTS)
 def q_read_queries_json(spark, sf):
+    """JSON Lines of texts and objects."""
     path = scratch_path(spark, "queries-jsonl")
-    view(spark, sf, "v_query_rows").select(F.to_json(F.struct("anchor")).alias("value")).write.text(path)
-    # one object per line: the anchor is the only cell, so the query is the quoted anchor
+    view(spark, sf, "v_json_rows").select("element").write.text(path)
     return SQ.read_queries_json(spark, path, lines=True).select("original_input")
 
 
+@register("read_queries_json_list", _ELEMENTS)
+def q_read_queries_json_list(spark, sf):
+    return _documents(spark, sf, "json-list", F.col("els"))
+
+
+@register("read_queries_json_keyed", _ELEMENTS)
+def q_read_queries_json_keyed(spark, sf):
+    return _documents(spark, sf, "json-keyed", F.concat(
+        F.lit('{"other": ["x"], "queries": "no list", "terms": '), F.col("els"), F.lit("}")))
+
+
+@register("read_queries_json_spread", with_views(
+    f"select {D.ensure_quoted('p_name')} as original_input from v_json_rows "
+    f"union all select {D.ensure_quoted(D.q('{last} one'))} from (select distinct doc from v_json_rows)", "v_json_rows"))
+def q_read_queries_json_spread(spark, sf):
+    """An object of lists and texts; its number and its object are no queries."""
+    return _documents(spark, sf, "json-spread", F.concat(
+        F.lit('{"limit": 10, "meta": {"k": "v"}, "names": '), F.to_json("names"), F.lit(', "q": "{last} one"}')))
+
+
 @register("read_queries", with_views(
     f"select {D.strip('original_input')} as original_input from v_queries where {D.strip('original_input')} <> ''",
     "v_queries"))
@@ -76,29 +122,49 @@ def _landed(spark, sf):
 
 
 @register("read_responses", with_views(
-    "select term, cast(page as bigint) as page, count(*) as n_items from v_items group by term, page", "v_items"))
+    """select term, cast(page as bigint) as page, count(*) as n_items,
+  md5(string_agg(concat(title, '|', link, '|', snippet, '|', og_description, '|', twitter_description), '#' order by idx)) as body
+from v_items group by term, page""", "v_items"))
 def q_read_responses(spark, sf):
     pages = SR.response_pages(SR.read_responses(spark, _landed(spark, sf)))
-    return pages.select("term", "page", "n_items")
+
+    def meta(i, name):
+        return F.coalesce(F.try_element_at(i["pagemap"]["metatags"][0], F.lit(name)), F.lit(""))
+    text = F.array_join(F.transform("items", lambda i: F.concat_ws(
+        "|", i["title"], i["link"], i["snippet"], meta(i, "og:description"), meta(i, "twitter:description"))), "#")
+    return pages.select("term", "page", "n_items", F.md5(text).alias("body"))
 
 
 _LOGS = """select 'app' as logger, outcome as action,
   case outcome when 'done' then 'success' when 'duplicate' then 'skipped' else 'fail' end as status,
   case outcome when 'done' then 'INFO' when 'duplicate' then 'INFO' else 'WARNING' end as level,
-  cast(job_id as varchar) as query_id from v_job_events"""
+  cast(job_id as varchar) as query_id, n_results as items_count, event_id from v_job_events"""
 
 
-@register("log_rollup", with_views(
-    f"select logger, action, status, level, count(*) as n from ({_LOGS}) group by all", "v_job_events"))
-def q_log_rollup(spark, sf):
+def _logs(spark, sf):
     path = scratch_path(spark, "logs")
     o = F.col("outcome")
     view(spark, sf, "v_job_events").select(
         F.lit("app").alias("logger"), o.alias("action"),
         F.when(o == "done", "success").when(o == "duplicate", "skipped").otherwise("fail").alias("status"),
         F.when(o.isin("done", "duplicate"), "INFO").otherwise("WARNING").alias("level"),
-        F.col("job_id").cast("string").alias("query_id")).write.json(path)
-    return metrics.log_rollup(SR.read_log_events(spark, path))
+        F.col("job_id").cast("string").alias("query_id"), F.col("n_results").alias("items_count"),
+        "event_id").write.json(path)
+    return SR.read_log_events(spark, path)
+
+
+@register("read_log_events", with_views(
+    f"select query_id, action, items_count, cast(event_id as varchar) as event_id from ({_LOGS})", "v_job_events"))
+def q_read_log_events(spark, sf):
+    """Known keys typed, any other key from ``extra``."""
+    return _logs(spark, sf).select("query_id", "action", "items_count",
+                                   F.try_element_at("extra", F.lit("event_id")).alias("event_id"))
+
+
+@register("log_rollup", with_views(
+    f"select logger, action, status, level, count(*) as n from ({_LOGS}) group by all", "v_job_events"))
+def q_log_rollup(spark, sf):
+    return metrics.log_rollup(_logs(spark, sf))
 
 
 # ------------------------------------------------------------------ sinks: write, read back
@@ -110,35 +176,57 @@ def _organic(spark, sf):
     return flatten.flatten_organic(rec, "record", now_col())
 
 
-_ORGANIC_COUNT = with_views(f", {_M}\nselect count(*) as n from md", "v_items")
+# what is written must come back whole: the oracle is that of the table itself
+_ORGANIC = ORACLES["flatten_organic"]
 
 
-@register("write_json", _ORGANIC_COUNT)
+@register("write_json", _ORGANIC)
 def q_write_json(spark, sf):
-    path = W.write_json(_organic(spark, sf), scratch_path(spark, "organic-json"))
-    return spark.read.json(path).agg(F.count(F.lit(1)).alias("n"))
+    df = _organic(spark, sf)
+    path = W.write_json(df, scratch_path(spark, "organic-json"))
+    return spark.read.schema(df.schema).json(path)
 
 
-@register("write_csv", _ORGANIC_COUNT)
+@register("write_csv", _ORGANIC)
 def q_write_csv(spark, sf):
-    path = W.write_csv(_organic(spark, sf), scratch_path(spark, "organic-csv"))
-    return spark.read.option("header", True).option("multiLine", True).csv(path).agg(F.count(F.lit(1)).alias("n"))
+    df = _organic(spark, sf)
+    path = W.write_csv(df, scratch_path(spark, "organic-csv"))
+    back = spark.read.schema(df.schema).options(header=True, multiLine=True, **W.CSV_DIALECT).csv(path)
+    # CSV has no null text
+    return back.fillna("", ["query", "title", "url", "displayed_url", "snippet"])
 
 
-@register("export", _ORGANIC_COUNT)
+@register("export", _ORGANIC)
 def q_export(spark, sf):
     path = W.export(_organic(spark, sf), scratch_path(spark, "export") + ".parquet")
-    return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path)
+
 
+_TABLES = {"organic_results": ("title", "url", "snippet"), "people_also_ask": ("question", "answer", "url"),
+           "related_queries": ("related_query",), "paid_results": ("title", "url", "advertiser", "snippet"),
+           "ai_overview": ("content_json",)}
 
-@register("write_result_tables", with_views(
-    """select 'organic_results' as table_name, count(*) as n from v_raw_flat
-union all select 'people_also_ask', count(*) from v_raw_flat
-union all select 'related_queries', sum(case when rq_item is not null then 2 when rs_item is not null then 1 else 0 end) from v_raw_flat
-union all select 'paid_results', count(*) from v_raw_flat
-union all select 'ai_overview', count(*) from v_raw_flat where coalesce(case when trim(ai_main) not in ('', '{}', '[]', 'null', '""', '0', 'false') then ai_main end,
-      case when trim(ai_alt) not in ('', '{}', '[]', 'null', '""', '0', 'false') then ai_alt end) is not null""",
-    "v_raw_flat"))
+
+def _tables_sql() -> str:
+    organic = ("select coalesce(nullif(title, ''), result_title, '') as title, coalesce(nullif(url, ''), link, '') as url, "
+               "coalesce(nullif(snippet, ''), description, '') as snippet from v_raw_flat")
+    bodies = {"organic_results": organic, **{name: _body(key) for name, key in (
+        ("people_also_ask", "flatten_paa"), ("related_queries", "flatten_related"), ("paid_results", "flatten_paid"),
+        ("ai_overview", "flatten_ai_overview"))}}
+    parts = []
+    for name, cols in _TABLES.items():
+        text = " || '|' || ".join(cols)
+        parts.append(f"select '{name}' as table_name, count(*) as n, "
+                     f"cast(sum(cast(('0x' || substr(md5({text}), 1, 8)) as bigint)) as bigint) as content from ({bodies[name]})")
+    return with_views(" union all ".join(parts), "v_raw_flat")
+
+
+def _body(key: str) -> str:
+    """An oracle over v_raw_flat without its leading views."""
+    return ORACLES[key].removeprefix(with_views("", "v_raw_flat"))
+
+
+@register("write_result_tables", _tables_sql())
 def q_write_result_tables(spark, sf):
     from serpframe.plans.inputs import raw_records
     raw = raw_records(view(spark, sf, "v_raw_flat"))
@@ -148,47 +236,56 @@ def q_write_result_tables(spark, sf):
               "paid_results": flatten.flatten_paid(raw, "raw", now_col()),
               "ai_overview": flatten.flatten_ai_overview(raw, "raw", now_col())}
     root = scratch_path(spark, "tables")
-    written = W.write_result_tables(tables, root)
     out = None
-    for name in written:
-        part = spark.read.parquet(os.path.join(root, name)).agg(F.count(F.lit(1)).alias("n")) \
-            .select(F.lit(name).alias("table_name"), "n")
+    for name in W.write_result_tables(tables, root):
+        text = F.md5(F.concat_ws("|", *_TABLES[name]))
+        part = spark.read.parquet(os.path.join(root, name)).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint")).alias("content")) \
+            .select(F.lit(name).alias("table_name"), "n", "content")
         out = part if out is None else out.unionByName(part)
     return out
 
 
-@register("write_query_audit", with_views(f"select count(*) as n from ({_DUCK_AUDIT})", "v_queries"))
+@register("write_query_audit", with_views(
+    f"""select a.*, t.run from (select input_row_id, original_input, final_query, normalized_query_hash,
+  input_row_id > min(input_row_id) over (partition by normalized_query_hash) as deduplicated from ({_DUCK_AUDIT})) a,
+  range(1, 3) t(run)""", "v_queries"))
 def q_write_query_audit(spark, sf):
+    """Two runs append to one log."""
     path = scratch_path(spark, "audit")
-    W.write_query_audit(dedup.query_audit(view(spark, sf, "v_queries"), OPTS, now_col()), path)
-    return spark.read.json(path).agg(F.count(F.lit(1)).alias("n"))
-
-
-@register("write_unified_snapshot", with_views(f", {_M}\nselect count(*) as n from md", "v_items"))
+    audit = dedup.query_audit(view(spark, sf, "v_queries"), OPTS, now_col())
+    for _ in range(2):
+        W.write_query_audit(audit, path)
+    back = spark.read.schema(audit.schema).json(path)
+    run = F.row_number().over(Window.partitionBy("input_row_id").orderBy("timestamp"))
+    return back.select("input_row_id", "original_input", "final_query", "normalized_query_hash", "deduplicated",
+                       run.cast("bigint").alias("run"))
+
+
+@register("write_unified_snapshot", with_views(
+    f""", {_M}
+select position, nullif(title, '') as title, nullif(url, '') as url, snip as snippet
+from {_WEB}""", "v_items"))
 def q_write_unified_snapshot(spark, sf):
     from serpframe.operators import normalize
     from serpframe.plans.q_results import _records
     recs = normalize.normalize_items(_records(_deduped(spark, sf)), "raw", "record")
     path = W.write_unified_snapshot(recs, scratch_path(spark, "snapshot"))
-    back = spark.read.parquet(path)
-    return back.select(F.explode("record.organicResults")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.read.parquet(path).select(F.explode("record.organicResults").alias("o")) \
+        .select("o.position", "o.title", "o.url", "o.snippet")
 
 
 # ------------------------------------------------------------------ streaming, run to completion
 
-def _run(query_df, spark, name, mode="append"):
-    """Run a streaming query with availableNow into Parquet and read it back."""
+def _run(query_df, spark, name, keys=()):
+    """Run a streaming query with availableNow and read back what it wrote:
+    in append mode, or with ``keys`` in update mode, merged by key."""
     out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
-    if mode == "append":
-        q = (query_df.writeStream.format("parquet").option("path", out).option("checkpointLocation", ckpt)
-             .outputMode("append").trigger(availableNow=True).start())
-    else:
-        def sink(batch, _epoch):
-            batch.write.mode("overwrite").parquet(out)
-        q = (query_df.writeStream.foreachBatch(sink).option("checkpointLocation", ckpt)
-             .outputMode(mode).trigger(availableNow=True).start())
-    q.awaitTermination()
+    w = query_df.writeStream.option("checkpointLocation", scratch_path(spark, f"{name}-ckpt")).trigger(availableNow=True)
+    if keys:
+        w.foreachBatch(K.merge_sink(out)).outputMode("update").start().awaitTermination()
+        return K.merged(spark, out, keys)
+    w.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
     return spark.read.parquet(out)
 
 
@@ -196,8 +293,7 @@ def _run(query_df, spark, name, mode="append"):
     f", {_M}\n" + _g2_sql("(select *, snippet as snip from m)", "null", "null", "true", _CANDS), "v_items"))
 def q_stream_organic(spark, sf):
     src = _landed(spark, sf)
-    out = _run(K.stream_organic(spark, src), spark, "stream-organic")
-    return out.withColumn("fetched_at", now_col())
+    return _run(K.stream_organic(spark, src), spark, "stream-organic")
 
 
 @register("stream_dedup_queries", with_views(
@@ -223,10 +319,10 @@ def _stream_src(spark, sf, name, view_name):
     f"from v_requests group by 1", "v_requests"))
 def q_stream_daily_usage(spark, sf):
     stream = _stream_src(spark, sf, "stream-requests", "v_requests")
-    return _run(K.stream_daily_usage(stream, QUOTA), spark, "stream-usage", mode="complete")
+    return _run(K.stream_daily_usage(stream, QUOTA), spark, "stream-usage", ["day"])
 
 
-@register("stream_ttl_refetch")
+@register("stream_ttl_refetch", ORACLES["ttl_refetch_filter"])  # that of its batch twin
 def q_stream_ttl_refetch(spark, sf):
     stream = _stream_src(spark, sf, "stream-log", "v_requests")
     return _run(K.stream_ttl_refetch(stream, "request_key", "ts", TTL, "request_id"), spark, "stream-ttl")
@@ -235,10 +331,7 @@ def q_stream_ttl_refetch(spark, sf):
 @register("stream_job_status", with_views(_JOB, "v_job_events"))
 def q_stream_job_status(spark, sf):
     stream = _stream_src(spark, sf, "stream-jobs", "v_job_events")
-    return _run(K.stream_job_status(stream), spark, "stream-jobs", mode="complete")
-
+    days = _run(K.stream_job_progress(stream), spark, "stream-jobs", ["job_id", "day"])
+    return metrics.job_status_of(days)
 
-# the oracle of the streamed refetch is its batch twin's
-from serpframe.plans.registry import ORACLES as _O  # noqa: E402
 
-_O["stream_ttl_refetch"] = _O["ttl_refetch_filter"]

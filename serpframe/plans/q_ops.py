@@ -67,7 +67,7 @@ _LIVE = f"""live as (select request_key, fetched_at, age_s from (
     select request_key, fetched_at,
       cast(floor(epoch(timestamp '{CACHE_NOW}')) - floor(epoch(fetched_at)) as bigint) as age_s
     from (select request_key, max(ts) as fetched_at from v_requests
-          where ok = 1 and ts <= timestamp '{CACHE_NOW}' group by request_key))
+          where ok = 1 group by request_key))
   where age_s <= {TTL})"""
 
 
@@ -117,7 +117,8 @@ def q_daily_usage(spark, sf):
 
 @register("quota_gate", with_views(
     f"select request_id, ts, request_key, ok, strftime(cast(ts as date), '%Y-%m-%d') as day, "
-    f"row_number() over (partition by cast(ts as date) order by ts, request_id) <= {QUOTA} as accepted from v_requests",
+    f"coalesce(sum(ok) over (partition by cast(ts as date) order by ts, request_id "
+    f"rows between unbounded preceding and 1 preceding), 0) < {QUOTA} as accepted from v_requests",
     "v_requests"))
 def q_quota_gate(spark, sf):
     return _day_text(metrics.quota_gate(_log(spark, sf), QUOTA))
@@ -132,16 +133,19 @@ def q_usage_level(spark, sf):
     return metrics.usage_level(_day_text(metrics.daily_usage(_log(spark, sf), QUOTA)))
 
 
-_JOB = """select job_id, case when completed_keywords >= uniq then 'completed' else 'running' end as status,
-  cast(floor(completed_keywords * 100 / greatest(total_keywords, 1)) as bigint) as progress,
+_JOB = """select job_id, status, cast(floor(completed_keywords * 100 / greatest(total_keywords, 1)) as bigint) as progress,
   total_keywords, completed_keywords, results_count, created_at,
-  case when completed_keywords >= uniq then last_updated end as completed_at, last_updated
-from (select job_id, max(total_keywords) as total_keywords,
+  case status when 'failed' then aborted when 'completed' then last_updated end as completed_at, last_updated
+from (select *, case when aborted is not null then 'failed' when begun = 0 then 'pending'
+        when completed_keywords >= uniq then 'completed' else 'running' end as status
+      from (select job_id, max(total_keywords) as total_keywords,
         count(*) filter (where outcome in ('done', 'failed', 'quota_error')) as completed_keywords,
         coalesce(sum(n_results) filter (where outcome = 'done'), 0) as results_count,
-        count(*) filter (where outcome <> 'duplicate') as uniq,
+        count(*) filter (where outcome not in ('duplicate', 'queued', 'aborted')) as uniq,
+        count(*) filter (where outcome <> 'queued') as begun,
+        max(ts) filter (where outcome = 'aborted') as aborted,
         min(ts) as created_at, max(ts) as last_updated
-      from v_job_events group by job_id)"""
+      from v_job_events group by job_id))"""
 
 
 def _jobs(spark, sf):
@@ -160,11 +164,12 @@ def q_job_status(spark, sf):
     as eta_seconds
 from (select e.job_id, event_id, ts, uniq, epoch(ts) - epoch(st) as el,
         count(*) over (partition by e.job_id order by ts, event_id rows between unbounded preceding and 1 preceding) as before
-      from (select * from v_job_events where outcome <> 'duplicate') e
-      join (select job_id, min(ts) as st, count(*) filter (where outcome <> 'duplicate') as uniq
-            from v_job_events group by job_id) j on e.job_id = j.job_id)""", "v_job_events"))
+      from (select * from v_job_events where outcome not in ('duplicate', 'queued', 'aborted')) e
+      join (select job_id, min(ts) as st, count(*) filter (where outcome not in ('duplicate', 'aborted')) as uniq
+            from v_job_events where outcome <> 'queued' group by job_id) j on e.job_id = j.job_id)""", "v_job_events"))
 def q_job_speed(spark, sf):
-    return metrics.job_speed(view(spark, sf, "v_job_events"))
+    return metrics.job_speed(view(spark, sf, "v_job_events")) \
+        .withColumn("processing_speed", F.round("processing_speed", 6))
 
 
 @register("list_jobs", with_views(
@@ -215,7 +220,7 @@ def q_quota_incidents(spark, sf):
 group by kind""", "v_raw_flat"))
 def q_result_kind_counts(spark, sf):
     raw = raw_records(view(spark, sf, "v_raw_flat"))
-    return metrics.result_kind_counts(flatten.result_kind_rows(raw, "raw", now_col()))
+    return metrics.result_kind_counts(flatten.result_sizes(raw, "raw"))
 
 
 @register("run_summary", with_views(
@@ -223,9 +228,5 @@ def q_result_kind_counts(spark, sf):
 select (select count(distinct normalized_query_hash) from ({_DUCK_AUDIT})) as sent,
   (select count(*) from md) as items, (select count(*) from md) as organic_rows""", "v_queries", "v_items"))
 def q_run_summary(spark, sf):
-    audit = dedup.query_audit(view(spark, sf, "v_queries"), OPTS, now_col())
-    items = _deduped(spark, sf)
-    rec = items.select("fetched_at", F.struct(F.struct("term", "page").alias("searchQuery"),
-                                              F.array("result").alias("searchResults")).alias("record"))
-    organic = flatten.flatten_organic(rec, "record", now_col())
-    return metrics.run_summary(audit, items, organic)
+    queries = dedup.annotate_queries(compose.drop_blank_queries(view(spark, sf, "v_queries")), OPTS)
+    return metrics.run_summary(queries, _deduped(spark, sf))

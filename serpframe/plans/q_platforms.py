@@ -105,6 +105,24 @@ def q_page_results(spark, sf):
     return browse.page_results(q_flatten_organic(spark, sf), 2, 100, ("query", "page", "position"))
 
 
+@register("page_results_deep", _organic_view("select * from organic order by query, page, position limit 10 offset 500"))
+def q_page_results_deep(spark, sf):
+    """A page far behind, by ranges instead of one ordered slice."""
+    return browse.page_results(q_flatten_organic(spark, sf), 51, 10, ("query", "page", "position"))
+
+
+@register("total_pages", _organic_view(
+    "select cast(greatest(1, ceil(count(*) / 100.0)) as bigint) as total_pages from organic"))
+def q_total_pages(spark, sf):
+    return browse.total_pages(q_flatten_organic(spark, sf), 100)
+
+
+@register("result_counts", _organic_view(
+    "select count(*) as total_results, cast(least(count(*), 50) as bigint) as returned_results from organic"))
+def q_result_counts(spark, sf):
+    return browse.result_counts(q_flatten_organic(spark, sf), 50)
+
+
 @register("limit_results", _organic_view("select * from organic order by query, position limit 50"))
 def q_limit_results(spark, sf):
     return browse.limit_results(q_flatten_organic(spark, sf), 50, ("query", "position"))

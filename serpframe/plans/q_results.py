@@ -368,13 +368,13 @@ def q_infer_followers(spark, sf):
                     F.col("i.count").alias("followers_count"))
 
 
-_G8_RE = r"(\d[\d.,]*)\s*([KkMmBb]?)\+?\s+(?:followers|connections|seguidores)$"
+_G8_RE = r"(\d[\d.,]*)\s*([KkMmBb]?)\+?\s+(?:" + "|".join(FO.EXPORT_WORDS) + ")$"
 
 
 @register("parse_human_number", with_views(
     f"select doc_id, {D.parse_human_number(f'regexp_extract(snippet, {D.q(_G8_RE)}, 1)', f'regexp_extract(snippet, {D.q(_G8_RE)}, 2)')}"
-    f" as audience from v_items where regexp_matches(snippet, {D.q(_G8_RE)})", "v_items"))
+    f" as audience from v_items", "v_items"))
 def q_parse_human_number(spark, sf):
-    v = view(spark, sf, "v_items").filter(F.col("snippet").rlike(_G8_RE))
+    v = view(spark, sf, "v_items")  # texts without a count give null
     return v.select("doc_id", FO.parse_human_number(F.regexp_extract("snippet", _G8_RE, 1),
                                                     F.regexp_extract("snippet", _G8_RE, 2)).alias("audience"))

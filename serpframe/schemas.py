@@ -107,13 +107,16 @@ ERROR_BODY = StructType([StructField("error", StructType([
     ]))),
 ]))])
 
-# Structured log line: seven fixed keys plus the context keys the pipeline
-# reads; any other key is dropped by the explicit schema.
+# Structured log line: seven fixed keys and the context keys (fixed values);
+# any other key goes to ``extra``.
 LOG_EVENT = StructType([
     StructField("timestamp", S), StructField("level", S), StructField("logger", S),
     StructField("module", S), StructField("function", S), StructField("line", L),
     StructField("message", S), StructField("query_id", S), StructField("keyword", S),
     StructField("action", S), StructField("status", S),
+    StructField("page", L), StructField("items_count", L), StructField("start_index", L),
+    StructField("results_per_page", L), StructField("max_pages", L), StructField("pages", L),
+    StructField("total_results", S), StructField("requested_max_pages", L),
 ])
 
 AUDIT_ROW = StructType([

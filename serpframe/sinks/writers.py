@@ -8,7 +8,10 @@ import os
 from datetime import datetime
 from typing import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
+from pyspark.sql import functions as F
+
+from serpframe.session import remove_folder
 
 # ---------------------------------------------------------------- fixed values
 RESULT_TABLES = ["organic_results", "people_also_ask", "related_queries", "paid_results", "ai_overview"]
@@ -16,6 +19,10 @@ EXPORT_NAME_PATTERN = "search_results_{job}_{timestamp}"
 # ------------------------------------------------------------------------------
 
 
+# Quotes doubled, blanks around cells kept: how other CSV readers expect it.
+CSV_DIALECT = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
     """JSON Lines, non-ASCII kept (UTF-8)."""
     df.write.mode(mode).json(path)
@@ -23,24 +30,30 @@ def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> str:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> str:
-    """CSV with a header, UTF-8 (Spark writes no byte-order mark)."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """CSV with a header, UTF-8 (Spark writes no byte-order mark); quotes are
+    doubled inside quoted cells, so other CSV readers read it back."""
+    df.write.mode(mode).options(header=True, **CSV_DIALECT).csv(path)
     return path
 
 
 def write_result_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "parquet",
                         mode: str = "overwrite") -> list[str]:
     """The five flat tables under one root; organic always, the other four
-    only when they have rows (``isEmpty`` reads at most one row)."""
+    only when they have rows. Each table is computed once: it is written with
+    its row count observed, and the folder of an empty one is removed."""
     written = []
     for name in RESULT_TABLES:
         df = tables.get(name)
         if df is None:
             continue
-        if name != "organic_results" and df.isEmpty():
-            continue
-        df.write.mode(mode).format(fmt).option("header", True).save(os.path.join(path, name))
-        written.append(name)
+        rows = Observation(name)
+        out = os.path.join(path, name)
+        df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode(mode).format(fmt) \
+            .options(header=True, **(CSV_DIALECT if fmt == "csv" else {})).save(out)
+        if name == "organic_results" or rows.get["n"]:
+            written.append(name)
+        else:
+            remove_folder(df.sparkSession, out)
     return written
 
 
@@ -49,17 +62,20 @@ def export_name(job_id: str, ext: str, now: datetime | None = None) -> str:
     return EXPORT_NAME_PATTERN.format(job=job_id[:8], timestamp=ts) + "." + ext
 
 
+def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> str:
+    df.write.mode(mode).parquet(path)
+    return path
+
+
+EXPORT_WRITERS = {"json": write_json, "csv": write_csv, "parquet": write_parquet}
+
+
 def export(df: DataFrame, path: str, fmt: str | None = None, mode: str = "overwrite") -> str:
     """Write organic rows; the format comes from ``fmt`` or the path's extension."""
-    f = (fmt or os.path.splitext(path.rstrip("/"))[1].lstrip(".")).lower()
-    if f == "json":
-        return write_json(df, path, mode)
-    if f == "csv":
-        return write_csv(df, path, mode)
-    if f == "parquet":
-        df.write.mode(mode).parquet(path)
-        return path
-    raise ValueError(f"Unsupported export format: {f}")
+    wanted = (fmt or os.path.splitext(path.rstrip("/"))[1].lstrip(".")).lower()
+    if wanted not in EXPORT_WRITERS:
+        raise ValueError(f"cannot export as {wanted!r}; known formats: {', '.join(EXPORT_WRITERS)}")
+    return EXPORT_WRITERS[wanted](df, path, mode)
 
 
 def write_query_audit(audit: DataFrame, path: str) -> str:

@@ -1,15 +1,15 @@
 """Query sources: CSV, JSON (document or JSON Lines), plain text, dispatch.
 
-Every reader returns ``input_row_id BIGINT, original_input STRING``. The row
-id orders rows as they stand in the input (file path, then position in the
-file); it is not dense, but "first row wins" rules only need its order.
+Every reader returns ``input_row_id, original_input STRING``. The row id is a
+struct (file, split, row) that orders rows as they stand in the input: "first
+row wins" rules need its order only, so nothing is ranked or numbered.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serpframe.functions import text as T
@@ -26,47 +26,44 @@ QUERY_COLUMNS = ["query", "queries"]
 # ------------------------------------------------------------------------------
 
 
-def with_input_order(df: DataFrame) -> DataFrame:
-    """Add ``input_row_id``: (file, split start) rank in the high bits, the
-    position inside the split in the low 33 bits.
+def _order():
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
+                    F.monotonically_increasing_id().alias("row"))
 
-    Only the split table (one row per file split) is ranked in one task; the
-    rows themselves are never sorted or gathered.
-    """
-    x = (df.withColumn("_f", F.col("_metadata.file_path"))
-         .withColumn("_b", F.col("_metadata.file_block_start"))
-         .withColumn("_m", F.monotonically_increasing_id()))
-    splits = x.groupBy("_f", "_b").agg(F.min("_m").alias("_m0"))
-    splits = splits.withColumn("_s", F.row_number().over(Window.orderBy("_f", "_b")).cast("bigint"))
-    rid = F.shiftleft(F.col("_s"), 33) + (F.col("_m") - F.col("_m0")) + 1
-    return x.join(F.broadcast(splits), ["_f", "_b"]).withColumn("input_row_id", rid).drop("_f", "_b", "_m", "_m0", "_s")
+
+def with_input_order(df: DataFrame) -> DataFrame:
+    """Add ``input_row_id`` from the scan itself: file path, start of the file
+    split, and a number that grows along the split."""
+    return df.withColumn("input_row_id", _order())
 
 
 def read_queries_text(spark: SparkSession, path: str) -> DataFrame:
     """One query per line, trimmed; blank lines dropped."""
-    df = with_input_order(spark.read.text(path).select("value", "_metadata"))
+    df = with_input_order(spark.read.text(path))
     return (df.select("input_row_id", T.strip("value").alias("original_input"))
             .filter(F.col("original_input") != ""))
 
 
 def read_queries_csv(spark: SparkSession, path: str, na_values=None) -> DataFrame:
-    """CSV with a header. A ``query``/``queries`` column (first in order,
-    matched trimmed and case-insensitive) holds ready queries; otherwise the
-    cells of each row are composed into one query."""
+    """CSV with a header: quotes doubled inside quoted cells, cells may span
+    lines. A ``query``/``queries`` column (first in order, matched trimmed and
+    case-insensitive) holds ready queries; otherwise the cells of each row are
+    composed into one query. Header names are free: dots, and names the
+    reader uses itself, do no harm."""
     na = PANDAS_NA if na_values is None else list(na_values)
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    cols = raw.columns
-    nulled = raw.select(*[F.when(F.col(f"`{c}`").isin(*na), None).otherwise(F.col(f"`{c}`")).alias(c) for c in cols],
-                        "_metadata")
-    df = with_input_order(nulled)
-    qcol = next((c for c in cols if str(c).strip().lower() in QUERY_COLUMNS), None)
-    if qcol is not None:
-        return (df.select("input_row_id", T.strip(F.col(f"`{qcol}`")).alias("original_input"))
-                .filter(F.col("original_input").isNotNull() & (F.col("original_input") != "")))
-    merge = merge_columns(cols)
-    if not merge:
-        return df.select("input_row_id", F.lit(None).cast("string").alias("original_input")).limit(0)
-    return compose_queries(df.select("input_row_id", *[F.col(f"`{c}`") for c in merge]), merge)
+    raw = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=True).csv(path)
+    names = raw.columns
+    quoted = [F.col("`" + n.replace("`", "``") + "`") for n in names]
+    at = next((k for k, n in enumerate(names) if n.strip().lower() in QUERY_COLUMNS), None)
+    used = [at] if at is not None else [k for k, n in enumerate(names) if n in set(merge_columns(names))]
+    cells = raw.select(_order().alias("input_row_id"),
+                       *[F.when(~quoted[k].isin(*na), quoted[k]).alias(f"cell_{k}") for k in used])
+    if at is not None:
+        return (cells.select("input_row_id", T.strip(F.col(f"cell_{at}")).alias("original_input"))
+                .filter(F.coalesce(F.col("original_input"), F.lit("")) != ""))
+    if not used:
+        return cells.select("input_row_id", F.lit(None).cast("string").alias("original_input")).limit(0)
+    return compose_queries(cells, [f"cell_{k}" for k in used])
 
 
 def _compose_map(m):
@@ -80,10 +77,22 @@ def _compose_map(m):
                                   F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))))
 
 
-def _compose_item(el):
-    """A list element: an object is composed, anything else is one query."""
-    return F.when(T.strip(el).startswith("{"), _compose_map(F.from_json(el, "map<string,string>"))) \
-            .otherwise(F.when(T.strip(el) != "", T.strip(T.ensure_quoted(el))))
+def _kind(v):
+    """OBJECT, ARRAY, STRING ... of a VARIANT; types only, as its objects are sorted by key."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _element(kind, text):
+    """A list element: an object is composed, a null gives nothing, anything else is one query."""
+    return F.when(kind == "OBJECT", _compose_map(F.from_json(text, "map<string,string>"))) \
+            .when((kind != "VOID") & (T.strip(text) != ""), T.strip(T.ensure_quoted(text)))
+
+
+def _elements(text):
+    """The elements of a JSON list as (kind, text)."""
+    kinds = F.transform(F.from_json(text, "array<variant>"), _kind)
+    return F.transform(F.arrays_zip(kinds.alias("kind"), F.from_json(text, "array<string>").alias("text")),
+                       lambda e: F.struct(e["kind"].alias("kind"), e["text"].alias("text")))
 
 
 def read_queries_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -91,37 +100,44 @@ def read_queries_json(spark: SparkSession, path: str, lines: bool = False) -> Da
 
     A document may be a list (of scalars or objects), an object with the
     first of ``keywords, queries, terms, data`` that holds a list, or an
-    object of other lists and strings (all values in order). Anything else is
-    an error. A whole document is one value, so large inputs should be JSON
-    Lines (``lines=True``: one scalar or object per line), which split.
-    JSON nulls are dropped.
+    object of other lists and strings (all their values in order; values of
+    other types are passed over). Anything else, and broken JSON, is an error.
+    A whole document is one value, so large inputs should be JSON Lines
+    (``lines=True``: one scalar or object per line), which split. JSON nulls
+    are dropped.
     """
     if lines:
-        df = with_input_order(spark.read.text(path).select("value", "_metadata"))
-        return (df.select("input_row_id", _compose_item(F.col("value")).alias("original_input"))
+        df = with_input_order(spark.read.text(path))
+        v = F.try_parse_json(F.col("value"))
+        kind = F.when(T.strip("value") == "", "VOID").when(v.isNull(), F.raise_error(F.concat(F.lit("not a JSON line: "), F.substring("value", 1, 80)))) \
+            .otherwise(_kind(v))
+        text = F.when(kind == "OBJECT", F.col("value")).otherwise(F.try_variant_get(v, "$", "string"))
+        return (df.select("input_row_id", kind.alias("kind"), text.alias("text"))
+                .select("input_row_id", _element(F.col("kind"), F.col("text")).alias("original_input"))
                 .filter(F.col("original_input").isNotNull()))
-    docs = with_input_order(spark.read.option("wholetext", True).text(path).select("value", "_metadata"))
+    docs = with_input_order(spark.read.option("wholetext", True).text(path))
     doc = F.col("value")
-    as_list = F.from_json(doc, "array<string>")
-    as_map = F.from_json(doc, "map<string,string>")
-    keyed = F.lit(None).cast("array<string>")
-    for k in reversed(JSON_LIST_KEYS):
-        v = F.try_element_at(as_map, F.lit(k))
-        keyed = F.when(T.strip(v).startswith("["), F.from_json(v, "array<string>")).otherwise(keyed)
-    spread = F.flatten(F.transform(F.map_values(as_map), lambda v: F.when(
-        T.strip(v).startswith("["), F.transform(F.from_json(v, "array<string>"), lambda x: T.strip(x)))
-        .otherwise(F.array(T.strip(v)))))
-    is_list = T.strip(doc).startswith("[")
-    is_obj = T.strip(doc).startswith("{")
-    items = (F.when(is_list, as_list)
-             .when(is_obj & keyed.isNotNull(), keyed)
-             .when(is_obj, F.filter(spread, lambda x: x != "")))
+    docs = docs.select("input_row_id", "value", _kind(F.try_parse_json(doc)).alias("kind"),
+                       F.from_json(doc, "map<string,variant>").alias("types"),
+                       F.from_json(doc, "map<string,string>").alias("texts"))
+    key = F.get(F.filter(F.array(*[F.lit(k) for k in JSON_LIST_KEYS]),
+                         lambda k: F.coalesce(_kind(F.try_element_at(F.col("types"), k)) == "ARRAY", F.lit(False))), 0)
+    one = lambda t: F.array(F.struct(F.lit("STRING").alias("kind"), t.alias("text")))
+    # objects inside such lists are taken as their JSON text
+    spread = F.flatten(F.transform(F.map_entries("texts"), lambda e: F.when(
+        _kind(F.try_element_at(F.col("types"), e["key"])) == "ARRAY", F.transform(_elements(e["value"]), lambda x: F.struct(
+            F.when(x["kind"] == "VOID", x["kind"]).otherwise(F.lit("STRING")).alias("kind"), x["text"].alias("text"))))
+        .when(_kind(F.try_element_at(F.col("types"), e["key"])) == "STRING", one(e["value"]))
+        .otherwise(F.array().cast("array<struct<kind:string,text:string>>"))))
+    items = F.when(F.col("kind") == "ARRAY", _elements(doc)) \
+        .when((F.col("kind") == "OBJECT") & key.isNotNull(), _elements(F.try_element_at(F.col("texts"), key))) \
+        .when(F.col("kind") == "OBJECT", spread)
     checked = F.when(items.isNull(), F.raise_error(F.lit(
-        "Invalid JSON structure. Expected list of keywords or object with keyword arrays."))).otherwise(items)
-    exploded = docs.select("input_row_id", F.posexplode(checked).alias("_pos", "_el"))
-    out = exploded.select((F.col("input_row_id") + F.col("_pos")).alias("input_row_id"),
-                          F.when(F.col("_el").isNotNull(), _compose_item(F.col("_el"))).alias("original_input"))
-    return out.filter(F.col("original_input").isNotNull())
+        "a queries document must be a JSON list, or an object that holds lists or strings"))).otherwise(items)
+    listed = docs.select("input_row_id", F.posexplode(checked).alias("pos", "e"))
+    place = F.struct("input_row_id.file", "input_row_id.split", F.col("pos").cast("bigint").alias("row"))
+    return listed.select(place.alias("input_row_id"), _element(F.col("e.kind"), F.col("e.text")).alias("original_input")) \
+        .filter(F.col("original_input").isNotNull())
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -133,7 +149,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
     """Dispatch on the file extension; a missing file or an unknown extension is an error."""
     if not path_exists(spark, path):
-        raise FileNotFoundError(f"File not found: {path}")
+        raise FileNotFoundError(f"no queries file at {path}")
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
     if ext == ".json":
         return read_queries_json(spark, path)
@@ -143,4 +159,4 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
         return read_queries_csv(spark, path)
     if ext == ".txt":
         return read_queries_text(spark, path)
-    raise ValueError(f"Unsupported file format: {ext}")
+    raise ValueError(f"cannot read queries from {ext or path!r}: expected .json, .jsonl, .csv or .txt")

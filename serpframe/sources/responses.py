@@ -11,8 +11,13 @@ from serpframe.schemas import LOG_EVENT, RESPONSE_RECORD
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
     """Landed response pages (JSON Lines, explicit schema). ``fetched_at``
     falls back to the file's modification time, as a cache file's age does."""
-    df = spark.read.schema(RESPONSE_RECORD).json(path)
-    return df.withColumn("fetched_at", F.coalesce(F.col("fetched_at"), F.col("_metadata.file_modification_time")))
+    return stamped(spark.read.schema(RESPONSE_RECORD).json(path))
+
+
+def stamped(responses: DataFrame) -> DataFrame:
+    """A missing ``fetched_at`` becomes the modification time of the file (batch or stream)."""
+    return responses.withColumn("fetched_at",
+                                F.coalesce(F.col("fetched_at"), F.col("_metadata.file_modification_time")))
 
 
 def response_pages(responses: DataFrame) -> DataFrame:
@@ -24,5 +29,9 @@ def response_pages(responses: DataFrame) -> DataFrame:
 
 
 def read_log_events(spark: SparkSession, path: str) -> DataFrame:
-    """Structured log lines (one JSON object per line) with a fixed schema."""
-    return spark.read.schema(LOG_EVENT).json(path)
+    """Structured log lines (one JSON object per line): the known keys typed,
+    any other key as text in the map ``extra`` (null when there is none)."""
+    line = spark.read.text(path).select(F.from_json("value", LOG_EVENT).alias("e"),
+                                        F.from_json("value", "map<string,string>").alias("m"))
+    rest = F.map_filter("m", lambda k, v: ~k.isin(*LOG_EVENT.fieldNames()))
+    return line.filter(F.col("m").isNotNull()).select("e.*", F.when(F.size(rest) > 0, rest).alias("extra"))

@@ -6,8 +6,9 @@ over unchanged; dedup and the TTL refetch rule keep per-key state.
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from serpframe.operators import flatten, metrics, results
 from serpframe.operators.dedup import annotate_queries
 from serpframe.options import SearchOptions
 from serpframe.schemas import RESPONSE_RECORD
-from serpframe.sources.responses import response_pages
+from serpframe.sources.responses import response_pages, stamped
 
 
 def stream_organic(spark: SparkSession, responses_dir: str, per_page: int = 10,
@@ -27,7 +28,7 @@ def stream_organic(spark: SparkSession, responses_dir: str, per_page: int = 10,
     reader = spark.readStream.schema(RESPONSE_RECORD)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    pages = response_pages(reader.json(responses_dir))
+    pages = response_pages(stamped(reader.json(responses_dir)))
     items = results.map_items(results.explode_items(pages, per_page))
     rec = items.select("fetched_at", F.struct(F.struct("term", "page").alias("searchQuery"),
                                               F.array("result").alias("searchResults")).alias("record"))
@@ -47,7 +48,11 @@ def stream_dedup_queries(queries: DataFrame, options: SearchOptions, ts_col: str
 
 def stream_daily_usage(requests: DataFrame, quota: int, delay: str = "1 day",
                        ts: str = "ts", ok: str = "ok") -> DataFrame:
-    """Per-day usage on a stream; rows later than the watermark are dropped."""
+    """Per-day usage on a stream, for update mode and ``merge_sink``.
+
+    A day's count is sent again whenever it changes. Rows later than the
+    watermark are dropped and the state of a day goes when it is past.
+    """
     return (requests.withWatermark(ts, delay)
             .groupBy(F.window(ts, "1 day").alias("w"))
             .agg(F.count_if(F.col(ok) == 1).alias("used"))
@@ -58,30 +63,60 @@ def stream_daily_usage(requests: DataFrame, quota: int, delay: str = "1 day",
 
 def _refetch_state_fn(ttl: int, ts: str, tiebreak: str):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         last = state.get[0] if state.exists else None
         pdf = pd.concat(list(pdfs), ignore_index=True).sort_values([ts, tiebreak], kind="stable")
-        secs = (pdf[ts].astype("int64") // 10**9) if str(pdf[ts].dtype).startswith("datetime64[ns") \
-            else pdf[ts].map(lambda t: int(pd.Timestamp(t).timestamp() // 1))
+        secs = np.floor(pdf[ts].to_numpy("datetime64[us]").astype("int64") / 1e6).astype("int64")
         keep = []
-        for s in secs.tolist():
-            if last is None or s - last > ttl:
-                keep.append(True)
-                last = s
-            else:
-                keep.append(False)
-        state.update((int(last),))
-        yield pdf[keep]
+        i = 0 if last is None else int(np.searchsorted(secs, last + ttl, side="right"))
+        while i < len(secs):  # one step per fetch
+            keep.append(i)
+            last = int(secs[i])
+            i = int(np.searchsorted(secs, last + ttl, side="right"))
+        state.update((last,))
+        # past this time every request is a fetch, with or without the state
+        state.setTimeoutTimestamp(max((last + ttl + 1) * 1000, state.getCurrentWatermarkMs() + 1))
+        yield pdf.iloc[keep]
     return fn
 
 
-def stream_ttl_refetch(requests: DataFrame, key: str, ts: str, ttl_seconds: int, tiebreak: str) -> DataFrame:
-    """Requests that cause a fetch, with the last fetch second kept as state per key."""
+def stream_ttl_refetch(requests: DataFrame, key: str, ts: str, ttl_seconds: int, tiebreak: str,
+                       delay: str = "1 day") -> DataFrame:
+    """Requests that cause a fetch, with the last fetch second kept as state per key.
+
+    The state of a key goes when the watermark passes the end of its TTL.
+    A task holds the rows that one key has in one micro-batch; bound them by
+    the trigger (``maxFilesPerTrigger``). Rows of one micro-batch are taken by
+    time; across micro-batches the order of arrival holds.
+    """
     state_schema = StructType([StructField("last_fetch", LongType())])
-    return requests.groupBy(key).applyInPandasWithState(
+    return requests.withWatermark(ts, delay).groupBy(key).applyInPandasWithState(
         _refetch_state_fn(int(ttl_seconds), ts, tiebreak), outputStructType=requests.schema,
-        stateStructType=state_schema, outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
+        stateStructType=state_schema, outputMode="append", timeoutConf=GroupStateTimeout.EventTimeTimeout)
+
+
+def stream_job_progress(job_events: DataFrame, delay: str = "1 day", ts: str = "ts") -> DataFrame:
+    """Counts per job and day on a stream, for update mode and ``merge_sink``.
+
+    State is kept by day and goes when the watermark has passed it, so jobs
+    that have ended are forgotten; ``metrics.job_status_of`` adds a job's days.
+    """
+    return metrics.job_counts(job_events.withWatermark(ts, delay), F.window(ts, "1 day").alias("w")) \
+        .withColumn("day", F.date_format(F.col("w.start"), "yyyy-MM-dd")).drop("w")
+
+
+def merge_sink(path: str):
+    """A ``foreachBatch`` function for update mode: each micro-batch replaces
+    its own folder, so one that is run again changes nothing."""
+    def sink(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+    return sink
 
 
-def stream_job_status(job_events: DataFrame) -> DataFrame:
-    """Job progress as a stateful aggregation (update or complete mode)."""
-    return metrics.job_status(job_events)
+def merged(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    """The latest row of each key that ``merge_sink`` has written."""
+    rows = spark.read.parquet(path)
+    rest = [c for c in rows.columns if c not in (*keys, "epoch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.col("epoch")).alias("r")).select(*keys, "r.*")

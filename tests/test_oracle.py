@@ -4,12 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from serpframe.plans import catalog
 from serpframe.plans.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
-KEYS = ["clean_query", "compose_queries", "dedup_queries", "query_audit", "normalize_items", "flatten_organic",
-        "page_cutoff", "ttl_refetch_filter", "quota_gate", "job_speed", "platform_to_site", "suggest_platforms",
-        "parse_quota_errors", "flatten_related", "request_key"]
+KEYS = sorted(catalog.ORACLES)
 
 
 @pytest.fixture(scope="module")
@@ -51,9 +50,9 @@ def test_query_matches_oracle(spark, duck, key):
 
 
 def test_every_query_is_registered_with_known_oracle_state():
-    qs, sq = E.queries(), E.oracle_sql()
-    assert set(sq) <= set(qs)
-    assert len(qs) >= 80
+    assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(catalog.QUERIES) == set(catalog.ORACLES)
+    assert len(catalog.QUERIES) >= 95
 
 
 def test_entry_smoke(spark):

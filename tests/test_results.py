@@ -48,11 +48,51 @@ def test_ttl_refetch_anchors_on_fetches(spark):
     assert got == [("a", 0), ("a", 11), ("a", 22), ("b", 3)]
 
 
-def test_quota_gate_per_day(spark):
-    rows = [(i, f"2024-01-0{1 + i // 5} 00:00:{i:02d}") for i in range(10)]
-    df = spark.createDataFrame(rows, "request_id int, t string").withColumn("ts", F.to_timestamp("t"))
-    got = metrics.quota_gate(df, 3).groupBy("day").agg(F.count_if("accepted").alias("n")).collect()
-    assert sorted(r.n for r in got) == [3, 3]
+def test_quota_gate_counts_successes_only(spark):
+    # day 1: failures at 1 and 2 use up nothing; the third success is at 5; day 2 never gets there
+    ok = [1, 0, 0, 1, 0, 1, 1, 0, 1] + [1, 0, 0, 1]
+    rows = [(i, f"2024-01-0{1 + i // 9} 00:00:{i:02d}", k) for i, k in enumerate(ok)]
+    df = spark.createDataFrame(rows, "request_id int, t string, ok int").withColumn("ts", F.to_timestamp("t"))
+    got = {r.request_id: r.accepted for r in metrics.quota_gate(df, 3).collect()}
+    assert [i for i, a in got.items() if not a] == [6, 7, 8]
+    assert not any(r.accepted for r in metrics.quota_gate(df, 0).collect())
+
+
+def test_job_status_of_pending_failed_and_running_jobs(spark):
+    rows = [("p", "queued", 1), ("p", "queued", 2), ("f", "done", 1), ("f", "aborted", 2), ("f", "queued", 3),
+            ("c", "done", 1), ("c", "duplicate", 2), ("c", "quota_error", 3), ("r", "done", 1), ("r", "other", 2)]
+    df = spark.createDataFrame([(i, j, o, t, 1, 4) for i, (j, o, t) in enumerate(rows)],
+                               "event_id int, job_id string, outcome string, t long, n_results long, total_keywords long") \
+        .withColumn("ts", F.timestamp_seconds("t"))
+    s = metrics.job_status(df)
+    got = {r.job_id: r.status for r in s.collect()}
+    assert got == {"p": "pending", "f": "failed", "c": "completed", "r": "running"}
+    assert {r.job_id: r.stage for r in metrics.job_stage(s).collect()} == \
+        {"p": "pending", "f": "failed", "c": "completed", "r": "fetching"}
+    ended = {r.job_id: r.completed_at for r in s.collect()}
+    assert ended["p"] is None and ended["r"] is None and ended["f"].second == 2 and ended["c"].second == 3
+
+
+def test_ttl_refetch_of_a_hot_key_over_many_chunks(spark):
+    """One key with 90 % of the rows, its time line cut into many chunks."""
+    rng = __import__("random").Random(5)
+    rows = [("hot" if rng.random() < 0.9 else f"k{rng.randrange(9)}", rng.randrange(60_000)) for _ in range(4000)]
+    df = spark.createDataFrame([(i, k, t) for i, (k, t) in enumerate(rows)], "id int, key string, t long") \
+        .withColumn("ts", F.timestamp_seconds("t"))
+    for ttl in (0, 7, 50):
+        want = []
+        for k in {k for k, _ in rows}:
+            last = None
+            for t, i in sorted((t, i) for i, (kk, t) in enumerate(rows) if kk == k):
+                if last is None or t - last > ttl:
+                    want.append((k, t, i))
+                    last = t
+        got = requests.ttl_refetch_filter(df, "key", "ts", ttl, "id")
+        assert sorted((r.key, r.t, r.id) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    for line in plan.splitlines():  # nothing but keys and seconds goes through Python
+        if "FlatMap" in line:
+            assert "id#" not in line and "ts#" not in line
 
 
 def test_quota_errors(spark):
