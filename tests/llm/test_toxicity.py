@@ -52,8 +52,8 @@ def test_labels_of_held_out_rows_are_not_read(spark, words):  # noqa: F811
 
 def test_risk_on_negatives_is_kept_from_going_below_zero():
     # every feature of P is also all of U: without the bound the bias would run away
-    pos = [np.array([1, 2], np.uint32)] * 50
-    unl = [np.array([1, 2], np.uint32)] * 5 + [np.array([3], np.uint32)] * 95
+    pos = [np.array([1, 2, 1000 + i], np.uint32) for i in range(50)]
+    unl = [np.array([1, 2, 2000 + i], np.uint32) for i in range(5)] + [np.array([3, 3000 + i], np.uint32) for i in range(95)]
     m = toxicity.fit(pos, unl, 0.05)
     assert m.ids.tolist() == [1, 2] and np.isfinite(m.weight).all() and (m.weight > 0).all()
     assert 1 / (1 + np.exp(-m.bias)) < 0.3
