@@ -27,8 +27,7 @@ BROADCAST_SOURCES = 10_000  # rows of the source table that are sent to all exec
 
 def word_count(text: Column) -> Column:
     """Number of ``[^\\x20\\x09-\\x0D]+`` in a text; 0 for null."""
-    flat = F.translate(text, "\t\n\x0b\x0c\r", "     ")
-    return F.coalesce(F.size(F.filter(F.split(flat, " ", -1), lambda w: w != "")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = 1.5, most: int = 2) -> DataFrame:
@@ -105,9 +104,12 @@ def _rank() -> Column:
     return F.when(F.col("p") > 0, F.col("u") / (1 - F.col("u")) / (F.col("p") / (1 - F.col("p"))))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The rows of ``docs`` with size, source_size, target, copies and taken.
 
+    ``keep``: the columns of ``docs`` to pass on (all unless given). They are
+    written once with each row's size, so texts are counted once.
+
     ``copies`` is how often the mix takes the document (0, 1 or 2), ``taken``
     = copies * size. Null and empty texts have size 0. Null is a source of its
     own. Rows that tie in rank (rows that repeat a doc_id in a source) are
@@ -115,17 +117,16 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5) -> DataFrame:
     is used. Other columns pass through, but for those named like the new
     ones; an empty table gives no rows.
     """
-    docs = docs.drop("size", "source_size", "target", "copies", "taken", "u")
-    sizes = written(docs.select(F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-                                uniform(F.col("doc_id")).alias("u")), "sizes")
-    by = plan(sizes, weights, share).select(F.col("source").alias("mix_source"), "source_size", "target", "whole",
+    names = [c for c in (keep or docs.columns) if c not in ("size", "source_size", "target", "copies", "taken")]
+    data = written(docs.select(*[F.col(c).alias(f"in_{c}") for c in names], F.col("source").cast("string").alias("source"),
+                               word_count(F.col("text")).alias("size"), uniform(F.col("doc_id")).alias("u")), "sized")
+    by = plan(data.select("source", "size", "u"), weights, share).select(F.col("source").alias("mix_source"), "source_size", "target", "whole",
                                             "p", "cut_cell", "stop")
-    out = docs.withColumn("size", word_count(F.col("text"))).withColumn("u", uniform(F.col("doc_id"))) \
-        .join(F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by,
-              F.col("source").cast("string").eqNullSafe(F.col("mix_source")), "left")
+    out = data.join(F.broadcast(by) if by.count() <= BROADCAST_SOURCES else by,
+                    F.col("source").eqNullSafe(F.col("mix_source")), "left")
     extra = F.when(F.col("p") <= 0, F.lit(0)) \
         .when(F.col("cut_cell").isNull() | (_cell() < F.col("cut_cell")), F.lit(1)) \
         .when((_cell() == F.col("cut_cell")) & (_rank() <= F.col("stop")), F.lit(1)).otherwise(F.lit(0))
     out = out.withColumn("copies", (F.col("whole") + extra).cast("int"))
     return out.withColumn("taken", F.col("copies") * F.col("size")).select(
-        *docs.columns, "size", "source_size", "target", "copies", "taken")
+        *[F.col(f"in_{c}").alias(c) for c in names], "size", "source_size", "target", "copies", "taken")

@@ -40,8 +40,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    out = mixing.mix(docs, weights=(5, 2, 1), share=1.5)
+    out = mixing.mix(read_table(spark, sf_dir, "documents"), weights=(5, 2, 1), share=1.5, keep=("doc_id",))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
