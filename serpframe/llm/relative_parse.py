@@ -194,7 +194,8 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
                      "survey")
     firsts = survey.where(f"n_words >= {window} and doc_id is not null").groupBy("sha") \
         .agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
-    copies = firsts.where("copies > 1").select("sha", "first")
+    # tables of one row per key are written before they are joined back, so that hot keys can be split there
+    copies = written(firsts.where("copies > 1").select("sha", "first"), "copies")
     state = survey.join(copies, "sha", "left")
     state = state.withColumn("copy", F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))).drop("first")
     # texts that share a doc_id are told apart by their order
@@ -204,7 +205,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     lone = state.where("not copy and doc_id is not null").select("doc_id", "nth", "sha", F.explode("anchors").alias("anchor"))
     index = lone.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
-    asked = lone.join(index.select("anchor"), "anchor").groupBy("doc_id", "nth") \
+    asked = lone.join(written(index.select("anchor"), "index"), "anchor").groupBy("doc_id", "nth") \
         .agg(F.first("sha").alias("sha"), F.collect_set("anchor").alias("anchors"))
     # rows of one doc_id with different texts meet each other here and part again by sha
     pairs = docs.where("doc_id is not null").join(asked, "doc_id").select("doc_id", "nth", "sha", "anchors", "text")
@@ -212,6 +213,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     windows = written(blocks.mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, nth int, at int"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")) \
         .where("ref < last").select("h1", "h2", "ref")
+    first = written(first, "first")
     hits = windows.join(first, ["h1", "h2"]).where("ref < doc_id").groupBy("doc_id", "nth") \
         .agg(F.collect_set(F.struct("at", "ref")).alias("hits"))
     hits = hits.select("doc_id", "nth", F.col("hits.at").alias("at"), F.col("hits.ref").alias("ref"))
