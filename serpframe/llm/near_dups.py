@@ -203,7 +203,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     seen = written(sketch(docs, words, bands, rows), "sketch")
     full = seen.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
+    # tables of one row per key are written before they are joined back, so that hot keys can be split there
+    classes = written(full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep")), "reps")
     member = full.select("doc_id", "n_shingles", "set_a", "set_b", "keys").join(classes, ["set_a", "set_b"])
     member = written(member.select("doc_id", "n_shingles", "rep", "set_a",
                                    F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys")), "classes")
@@ -211,7 +212,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
     keyed = reps.select("rep", F.explode("keys").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).where("hub < top")
-    links = keyed.join(buckets.select("key", "hub"), "key").where("rep <> hub")
+    links = keyed.join(written(buckets.select("key", "hub"), "buckets"), "key").where("rep <> hub")
     groups = components(links.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
 
     sized = groups.join(reps.groupBy(F.col("rep").alias("id")).agg(F.max("n_shingles").alias("n")), "id")
