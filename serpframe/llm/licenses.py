@@ -165,12 +165,12 @@ def fit(corpus: list[str], epochs: int = 6, rate: float = 0.5, decay: float = 1e
         screen[b] = True
     screen |= weight[:, :-1].max(1) > weight[:, -1] + 0.5
     model = Model(list(NOTICES), weight, bias, 0.0, templates, screen)
-    right, wrong = [], []
+    right = []
     for i in np.flatnonzero(fold):
         p = probabilities(model, bags[i])
-        if p.argmax() < len(NOTICES):
-            (right if p.argmax() == y[i] else wrong).append(float(p.max()))
-    # the limit that keeps 99 % of what is recognised rightly, raised above half of the mistakes if it can be
+        if p.argmax() == y[i] and p.argmax() < len(NOTICES):
+            right.append(float(p.max()))
+    # the limit that keeps 99 % of what is recognised rightly
     low = float(np.quantile(right, 0.01)) if right else 0.5
     model.unknown_below = max(0.5, min(low, 0.95))
     return model
