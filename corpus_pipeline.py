@@ -14,30 +14,37 @@ from serpframe.llm.tables import read_table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is rejected go (no letters, or too uncertain); a null lang is filled in."""
+    """Documents whose language is rejected go; a null lang is filled in.
+
+    Rejected are null and empty texts, texts without letters, and those that
+    the model is too uncertain about. Repeated rows fare alike.
+    """
     out = language_id.predict(docs, language_id.train(docs)).where("accepted")
     return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, the smallest doc_id; rows that repeat it go."""
+    """One document of each near-duplicate group stays, the smallest doc_id; rows that repeat a doc_id go.
+
+    Null and empty texts are in no group and stay; so do rows with null doc_id.
+    """
     kept = near_dups.near_duplicates(docs, words=5, percent=80).where("kept and doc_id is not null").select("doc_id")
     return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns) \
         .unionByName(docs.where("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item, up to a tenth of its words edited, go; null texts stay."""
     return decontaminate.clean(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced in the texts."""
+    """Personal data in the texts is replaced by its kind in brackets; null texts stay null."""
     return pii.redacted(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes, with size, source_size, target, copies and taken."""
+    """The documents that the mix takes, with size, source_size, target, copies and taken; null is a source."""
     return mixing.mix(docs).where("copies > 0")
 
 
