@@ -114,13 +114,12 @@ def _spread(tables: int, scale: float, margin: float):
                 for t in range(tables):
                     home, probes = cells(unit, t, scale, margin)
                     who, k = np.nonzero(probes)
-                    row = np.concatenate([np.arange(len(at)), who])
-                    same = part.take(pa.array(row))
+                    row = pa.array(np.concatenate([np.arange(len(at)), who]))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(row), t, np.int32)), same.column("label"),
+                        [pa.array(np.full(len(row), t, np.int32)), part.column("label").take(row),
                          pa.array(np.concatenate([home, probes[who, k]])),
-                         pa.array(np.arange(len(row)) < len(at)), same.column("rep"), same.column("n"),
-                         same.column("vec")], names=["t", "label", "cell", "home", "rep", "n", "vec"])
+                         pa.array(np.arange(len(row)) < len(at)), part.column("rep").take(row)],
+                        names=["t", "label", "cell", "home", "rep"])
     return run
 
 
@@ -242,8 +241,8 @@ def _first_meeting(x, y, dims, units, where, table, cell, tables, scale, margin)
     return keep
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, tables: int = 8, scale: float = 5.0,
-                 margin: float = 0.25) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, tables: int = 6, scale: float = 5.0,
+                 margin: float = 0.12) -> DataFrame:
     """One row per vec_id: vec_id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null, their lengths are
@@ -270,13 +269,15 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, tables: int = 8, scal
     reps = good.join(classes, ["label", "h1", "h2"]).where("vec_id = rep") \
         .dropDuplicates(["label", "h1", "h2"]).select("label", "rep", "n", "vec")
 
+    reps = written(reps, "vector-reps")
+    # vectors go only where a cell is the home of one and is met by another
     spread = written(reps.mapInArrow(_spread(tables, scale, margin),
-                                     "t int, label long, cell long, home boolean, rep long, n long, vec array<float>"),
-                     "cells")
+                                     "t int, label long, cell long, home boolean, rep long"), "cells")
     met = spread.groupBy("t", "label", "cell").agg(F.count("*").alias("rows"), F.count_if("home").alias("homes")) \
         .where("rows > 1 and homes > 0") \
         .select("t", "label", "cell", F.ceil(F.col("rows") / CELL_ROWS).cast("int").alias("blocks"))
-    spread = spread.join(met, ["t", "label", "cell"]) \
+    spread = spread.join(written(met, "met-cells"), ["t", "label", "cell"]) \
+        .join(reps.select("rep", "n", "vec"), "rep") \
         .withColumn("part", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")) \
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = spread.withColumn("i", F.least("part", "other")).withColumn("j", F.greatest("part", "other")) \
