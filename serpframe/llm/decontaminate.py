@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serpframe.llm import textblocks as tb
-from serpframe.llm.tables import appended
+from serpframe.llm.tables import appended, map_batches
 
 FILTER_BITS = 20
 
@@ -145,7 +145,7 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, block_byt
                              pa.array([len(ix.words[i]) for i in item], pa.int64()), pa.array(end, pa.int64())],
                             names=["doc_id", "item_id", "distance", "item_words", "end_word"])
 
-        got = docs.mapInArrow(run, "doc_id long, item_id long, distance long, item_words long, end_word long")
+        got = map_batches(docs, run, "doc_id long, item_id long, distance long, item_words long, end_word long")
         out = got if out is None else out.unionByName(got)
     best = F.min(F.struct("distance", "item_words", "end_word")).alias("best")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")

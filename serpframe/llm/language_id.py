@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from serpframe.llm import textblocks as tb
-from serpframe.llm.tables import appended
+from serpframe.llm.tables import appended, map_batches
 
 BUCKETS = 1 << 15
 _MULS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
@@ -163,7 +163,7 @@ def train(docs: DataFrame, per_lang: int = 500, max_rows: int = 20_000) -> Model
     for r in share:
         chosen = chosen | ((F.col("lang") == r["lang"]) & (spot < int(min(1.0, r["share"]) * (1 << 30))))
     picked = pool.where(chosen).select("doc_id", "lang", "text").limit(max_rows)
-    got = picked.select("lang", "text").mapInArrow(_count_features, "lang string, ids array<int>, counts array<int>") \
+    got = map_batches(picked.select("lang", "text"), _count_features, "lang string, ids array<int>, counts array<int>") \
         .toArrow()
     rows = list(zip(got.column("lang").to_pylist(),
                     [np.asarray(x.values) for c in got.column("ids").chunks for x in c],

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serpframe.llm import textblocks as tb
+from serpframe.llm.tables import map_batches
 
 BITS = 16
 NONE, UNKNOWN = "none", "unknown"
@@ -241,5 +242,5 @@ def scan(docs: DataFrame, sample_rows: int = 400, least_held: int = 2, confirm:
                      pa.array(held), pa.array(sure, pa.bool_())],
                     names=["doc_id", "line", "family", "probability", "held", "confirmed"])
 
-    return docs.mapInArrow(run, "doc_id long, line int, family string, probability double, held double, "
-                                "confirmed boolean")
+    return map_batches(docs, run, "doc_id long, line int, family string, probability double, held double, "
+                                    "confirmed boolean")

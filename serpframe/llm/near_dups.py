@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serpframe.llm import textblocks as tb
-from serpframe.llm.tables import components, written
+from serpframe.llm.tables import components, map_batches, written
 
 BATCH = 16
 BLOCK_ROWS = 256
@@ -101,8 +101,8 @@ def sketch(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                      tb.lists(tb.signed(keys[has].ravel()), np.where(has, bands, 0))],
                     names=["doc_id", "n_shingles", "set_a", "set_b", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
+    return map_batches(
+        docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>")
 
 
 def least_matches(threshold: float, miss: float, hashes: int) -> list[int]:
@@ -269,10 +269,9 @@ def _large_groups(large: DataFrame, words: int, percent: int, miss: float) -> Da
                 [*[batch.column(c) for c in ("doc_id", "component", "blocks", "part")], pa.array(links, pa.bool_()),
                  batch.column("text")], names=["doc_id", "component", "blocks", "part", "linked", "text"])
 
-    tested = written(large.join(hub, ["component", "part"])
-                     .select("doc_id", "component", "blocks", "part", "text", "hub_text")
-                     .mapInArrow(to_hub, "doc_id long, component long, blocks int, part int, linked boolean, text string"),
-                     "to-hub")
+    pairs = large.join(hub, ["component", "part"]).select("doc_id", "component", "blocks", "part", "text", "hub_text")
+    tested = written(map_batches(
+        pairs, to_hub, "doc_id long, component long, blocks int, part int, linked boolean, text string"), "to-hub")
     rest = tested.where("not linked").groupBy("component", "blocks") \
         .agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("ask_blocks")) \
         .select("component", each_part, "ask_blocks")

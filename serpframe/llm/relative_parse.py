@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from serpframe.llm import textblocks as tb
-from serpframe.llm.tables import written
+from serpframe.llm.tables import map_batches, written
 
 SEED = 16
 
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    survey = written(docs.mapInArrow(_survey(window), "doc_id long, n_words long, sha string, anchors array<long>"),
+    survey = written(map_batches(docs, _survey(window), "doc_id long, n_words long, sha string, anchors array<long>"),
                      "survey")
     firsts = survey.where(f"n_words >= {window} and doc_id is not null").groupBy("sha") \
         .agg(F.min("doc_id").alias("first"), F.count("*").alias("copies"))
@@ -209,18 +209,17 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
         .agg(F.first("sha").alias("sha"), F.collect_set("anchor").alias("anchors"))
     # rows of one doc_id with different texts meet each other here and part again by sha
     pairs = docs.where("doc_id is not null").join(asked, "doc_id").select("doc_id", "nth", "sha", "anchors", "text")
-    blocks = written(pairs.mapInArrow(_same_words, "doc_id long, nth int, anchors array<long>, text string"), "blocks")
-    windows = written(blocks.mapInArrow(_windows(window), "h1 long, h2 long, doc_id long, nth int, at int"), "windows")
+    blocks = written(map_batches(pairs, _same_words, "doc_id long, nth int, anchors array<long>, text string"), "blocks")
+    windows = written(map_batches(blocks, _windows(window), "h1 long, h2 long, doc_id long, nth int, at int"), "windows")
     first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")) \
         .where("ref < last").select("h1", "h2", "ref")
     first = written(first, "first")
     hits = windows.join(first, ["h1", "h2"]).where("ref < doc_id").groupBy("doc_id", "nth") \
         .agg(F.collect_set(F.struct("at", "ref")).alias("hits"))
     hits = hits.select("doc_id", "nth", F.col("hits.at").alias("at"), F.col("hits.ref").alias("ref"))
-    parsed = blocks.select("doc_id", "nth", "text").join(hits, ["doc_id", "nth"]) \
-        .mapInArrow(_parse(window), "doc_id long, nth int, n_removed long, kept_sha256 string, "
-                                    "factors array<struct<start: int, length: int, ref: long>>") \
-        .dropDuplicates(["doc_id", "nth"])
+    parsed = map_batches(blocks.select("doc_id", "nth", "text").join(hits, ["doc_id", "nth"]), _parse(window),
+                         "doc_id long, nth int, n_removed long, kept_sha256 string, "
+                         "factors array<struct<start: int, length: int, ref: long>>").dropDuplicates(["doc_id", "nth"])
     whole = state.where("copy").select("doc_id", "nth", "sha", "n_words").distinct() \
         .join(copies, "sha").select(
             "doc_id", "nth", F.col("n_words").alias("n_removed"), F.lit(digest([])).alias("kept_sha256"),

@@ -11,6 +11,24 @@ from pyspark.sql import functions as F
 from serpframe.session import scratch_path
 
 
+#: Rows that a Python task holds at a time; texts are whole, so a batch of the usual 10,000 takes much memory.
+BATCH_ROWS = 1000
+_ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` in batches of ``BATCH_ROWS`` rows at most.
+
+    Spark takes the size from the session when the plan runs, so the session's
+    setting is lowered if it is larger. Results do not depend on it.
+    """
+    spark = df.sparkSession
+    now = int(spark.conf.get(_ROWS_SETTING))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+    return df.mapInArrow(fn, schema)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared checkpoint folder and read it back.
 
@@ -82,4 +100,4 @@ def appended(df: DataFrame, column: str, fields: str, fn: Callable[[pa.Array], l
             yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch.column(old.index(column)))], names=[*old, *names])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{ddl}, {fields}")
+    return map_batches(df, run, f"{ddl}, {fields}")

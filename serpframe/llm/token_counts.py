@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serpframe.llm import textblocks as tb
+from serpframe.llm.tables import map_batches
 
 ROWS = "doc_id long, source string, lang string, tokenizer string, n_docs long, n_tokens long, n_bytes long"
 KEYS = ("source", "lang", "tokenizer")
@@ -63,7 +64,7 @@ def count_tokens(docs: DataFrame, tokenizer: Tokenizer, keep: tuple[str, ...]) -
 
     data = docs.select(*keep, "text")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in data.schema if f.name != "text")
-    return data.mapInArrow(run, f"{fields}, n_tokens long, n_bytes long")
+    return map_batches(data, run, f"{fields}, n_tokens long, n_bytes long")
 
 
 class Rollup:

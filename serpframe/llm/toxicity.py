@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from serpframe.llm import textblocks as tb
 from serpframe.llm.language_id import is_held_out
+from serpframe.llm.tables import map_batches
 
 SCREEN_BITS = 20
 HEADS = (4, 5, 6)
@@ -160,7 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = 3000, unlabelled:
     chosen = known.where("toxic = 1").where(within(positives, n["p"])).select("doc_id").limit(2 * positives)
     sample = open_.join(F.broadcast(chosen), "doc_id").select(F.lit(1).alias("toxic"), "text") \
         .unionByName(open_.where(within(unlabelled, total)).limit(2 * unlabelled).select(F.lit(0).alias("toxic"), "text"))
-    got = sample.mapInArrow(_feature_rows, "toxic int, ids array<int>").toArrow()
+    got = map_batches(sample, _feature_rows, "toxic int, ids array<int>").toArrow()
     toxic = got.column("toxic").to_pylist()
     ids = [np.asarray(x.values).view(np.uint32) for c in got.column("ids").chunks for x in c]
     order = sorted(range(len(ids)), key=lambda i: (len(ids[i]), ids[i].tobytes()))
@@ -188,5 +189,5 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                     [batch.column(0).slice(lo, n), pa.array(s), pa.array((s >= threshold).astype(np.int32))],
                     names=["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        run, "doc_id long, score double, predicted int")
+    return map_batches(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, score double, predicted int")
