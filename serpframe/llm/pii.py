@@ -2,10 +2,12 @@
 
 Base spans are exact rules for e-mail, IP address, payment card and phone
 number. High-recall generators propose further, overlapping spans: obfuscated
-e-mail addresses, IPv6 and dotted groups, and every run of digits with
-separators. Boosted trees score each candidate from its format and from the
-words before it; candidates above a threshold calibrated for precision become
-spans of their kind unless they overlap a base span or a likelier one.
+e-mail addresses, IPv6 (whole and compressed) and, in every run of digit groups
+with separators, each stretch of whole groups that has 7 to 19 digits: as a
+phone number up to 15, as a card from 12. Boosted trees score each candidate
+from its format, from the groups beside it and from the words before it;
+candidates above a threshold calibrated for precision become spans of their
+kind unless they overlap a base span or a likelier one.
 
 The trees are trained on examples made by rule: personal data in many writings
 and look-alikes (dates, versions, prices, ids, decimals, hashes), in sentences
@@ -16,7 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
+from bisect import bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +45,12 @@ _AT = re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-
                  r"(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}){1,5}", re.I)
 _RUN = re.compile(r"(?<![0-9])\(?[0-9](?:[ ().\-/_:]{0,2}[0-9])++")
 _V6 = re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")
+_V6_SHORT = re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::"
+                       r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![0-9A-Za-z:])")
+_DIGITS = re.compile("[0-9]+")
+_LETTER = re.compile(r"[^\W\d_]")
+_SIGNS = " -.(/:_"
+_SCORED = 50_000  # candidates scored at a time
 _CUES = tuple(re.compile(p, re.I) for p in (
     r"\b(?:e-?mail|mail|write to)\b", r"\b(?:ip|host|server|address|login from)\b",
     r"\b(?:card|visa|mastercard|credit|payment|iban)\b", r"\b(?:phone|tel|telephone|call|mobile|fax|dial|contact)\b",
@@ -93,34 +101,101 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         out += [(0, m.start(), m.end()) for m in _AT.finditer(text)]
     if ":" in text:
         out += [(1, m.start(), m.end()) for m in _V6.finditer(text)]
+        out += [(1, m.start(), m.end()) for m in _V6_SHORT.finditer(text)
+                if 1 <= len(re.findall("[0-9A-Fa-f]+", m.group())) <= 7]
     for m in _RUN.finditer(text):
-        n = m.end() - m.start()
-        if 7 <= n <= 40:
-            digits = len(_NOT_DIGIT.sub("", m.group()))
-            if 7 <= digits <= 19:
-                out += [(kind, m.start(), m.end()) for kind in (2, 3) if (digits >= 12) == (kind == 2) or digits == 12]
+        if m.end() - m.start() >= 7:
+            out += _stretches(text, m.start(), m.end())
     return out
 
 
-def describe(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
-    """Format and context features of candidates."""
-    rows = []
-    for kind, a, b in spans:
-        s = text[a:b]
-        digits = _NOT_DIGIT.sub("", s)
-        groups = [len(g) for g in re.findall("[0-9]+", s)] or [0]
-        before, after = text[a - 1:a], text[b:b + 1]
-        near = text[max(0, a - 30):a]
-        rows.append([kind, b - a, len(digits), len(groups), max(groups), min(groups), groups[0], groups[-1],
-                     s.count(" "), s.count("-"), s.count("."), s.count("("), s.count("/"), s.count(":"), s.count("_"),
-                     luhn(digits) if len(digits) >= 12 else 0, len(set(digits)), digits[:1] == "0",
-                     before.isalnum() or before in "_-+.$#,", after.isalnum() or after in "_-%",
-                     s[:1] == "+" or before == "+", before in "#vV$€", *[bool(c.search(near)) for c in _CUES]])
-    return np.array(rows, float).reshape(-1, 22 + len(_CUES))
+def _stretches(text: str, a: int, b: int) -> list[tuple[int, int, int]]:
+    """Stretches of whole digit groups of the run ``text[a:b]`` with 7 to 19 digits, as cards, phone numbers or both."""
+    out = []
+    groups = [m.span() for m in _DIGITS.finditer(text, a, b)]
+    for i, (start, _) in enumerate(groups):
+        # an opening bracket and a plus belong to the number
+        start -= text[start - 1:start] == "("
+        start -= text[start - 1:start] == "+"
+        digits = 0
+        for lo, hi in groups[i:i + 19]:
+            digits += hi - lo
+            if digits > 19:
+                break
+            if digits >= 12:
+                out.append((2, start, hi))
+            if 7 <= digits <= 15:
+                out.append((3, start, hi))
+    return out
 
 
-def examples(n: int = 6000) -> tuple[np.ndarray, np.ndarray]:
-    """Features and marks of candidates in sentences made by rule."""
+def describe(text: str, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Format and context features of candidates."""
+    kind, a, b = np.array(spans, np.int64).reshape(-1, 3).T
+    shift = max(0, int(a.min(initial=0)) - 40)
+    part = text[shift:int(b.max(initial=0)) + 40]
+    a, b = a - shift, b - shift
+    code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+    at = np.flatnonzero((code >= 48) & (code <= 57))  # places of the digits
+    digit = code[at].astype(np.int64) - 48
+    lo, hi = np.searchsorted(at, a), np.searchsorted(at, b)
+    n = hi - lo
+    new = np.ones(len(at) + 1, bool)
+    new[1:-1] = np.diff(at) > 1
+    first = np.flatnonzero(new)  # first digit of each group, and the end
+    group = np.searchsorted(first, lo, side="right") - 1
+    n_groups = np.where(n > 0, np.searchsorted(first, hi, side="left") - group, 0)
+    longest, shortest = np.zeros(len(n), np.int64), np.full(len(n), 99)
+    head, tail = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+    for k in range(int(n_groups.max(initial=0))):
+        mine = np.flatnonzero(n_groups > k)
+        g = group[mine] + k
+        size = np.minimum(first[g + 1], hi[mine]) - np.maximum(first[g], lo[mine])
+        longest[mine], shortest[mine] = np.maximum(longest[mine], size), np.minimum(shortest[mine], size)
+        tail[mine] = size
+        if k == 0:
+            head[mine] = size
+    shortest[n_groups == 0] = 0
+    # check sums from running sums: which digits count twice depends on where the number ends
+    twice = np.where(digit > 4, digit * 2 - 9, digit * 2)
+    odd = np.arange(len(digit)) % 2 == 1
+    sums = np.zeros((2, len(digit) + 1), np.int64)
+    sums[0, 1:], sums[1, 1:] = np.cumsum(np.where(odd, twice, digit)), np.cumsum(np.where(odd, digit, twice))
+    plain = np.maximum(hi - 1, 0) % 2
+    passes = (n >= 12) & ((sums[plain, hi] - sums[plain, lo]) % 10 == 0)
+    kinds = np.zeros(len(n), np.int64)
+    for v in range(10):
+        where = np.flatnonzero(digit == v)
+        kinds += np.searchsorted(where, hi) > np.searchsorted(where, lo)
+    signs = [np.searchsorted(w, b) - np.searchsorted(w, a) for w in (np.flatnonzero(code == ord(c)) for c in _SIGNS)]
+    letters = np.flatnonzero(((code >= 65) & (code <= 70)) | ((code >= 97) & (code <= 102)))
+    # groups beside the span, as far as the same run goes on
+    places = np.concatenate([[-99], at, [len(code) + 99]])
+    left, right = np.minimum(a - places[lo], 4), np.minimum(places[hi + 1] - b + 1, 4)
+    ends = np.concatenate([first, [first[-1]]])
+    last_group = np.searchsorted(first, hi, side="left")  # the one after the span
+    left_size = np.where(left < 4, np.minimum(lo - first[np.maximum(group - 1, 0)], 20), 0)
+    right_size = np.where(right < 4, np.minimum(ends[np.minimum(last_group + 1, len(first))] - hi, 20), 0)
+    fore, aft = [], []
+    starts, which = np.unique(a, return_inverse=True)
+    for x in starts.tolist():
+        c, near = part[max(0, x - 1):x], part[max(0, x - 30):x]
+        cues = [bool(p.search(near)) for p in _CUES] if _LETTER.search(near) else [False] * len(_CUES)
+        fore.append([c.isalnum() or c != "" and c in "_-+.$#,", c == "+" or part[x] == "+", c != "" and c in "#vV$€",
+                     c != "" and c in "-./:_", *cues])
+    ends_at, to = np.unique(b, return_inverse=True)
+    for x in ends_at.tolist():
+        c = part[x:x + 1]
+        aft.append([c.isalnum() or c != "" and c in "_-%", c != "" and c in "-./:_"])
+    marks = [np.array(fore, float).reshape(len(fore), -1)[which], np.array(aft, float).reshape(len(aft), -1)[to]]
+    zero = np.append(digit, 9)[lo] == 0
+    return np.column_stack([kind, b - a, n, n_groups, longest, shortest, head, tail, *signs, passes, kinds, zero & (n > 0),
+                            np.searchsorted(letters, b) - np.searchsorted(letters, a), left, left_size, right, right_size,
+                            *marks]).astype(float)
+
+
+def _sentences(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, marks and sentence of each candidate in sentences made by rule."""
     rng = np.random.default_rng(13)
     num = lambda k: "".join(map(str, rng.integers(0, 10, k)))
     word = lambda: "".join(rng.choice(list("aeiounrstldmchgp"), rng.integers(2, 9)))
@@ -132,16 +207,32 @@ def examples(n: int = 6000) -> tuple[np.ndarray, np.ndarray]:
     def grouped(d, sep, size=4):
         return sep.join(d[i:i + size] for i in range(0, len(d), size))
 
+    def short_v6():
+        part = [format(x >> rng.choice([0, 0, 8]), "x") for x in rng.integers(0, 65536, rng.integers(2, 7))]
+        at = rng.integers(1, len(part))
+        return rng.choice([":".join(part[:at]) + "::" + ":".join(part[at:]), f"2001:db8::{part[0]}", f"fe80::{part[0]}:{part[1]}"])
+
+    # (kind, words before, writing)
     good = [
-        lambda: (3, rng.choice(["phone ", "call ", "tel. ", "mobile: ", "contact "]) +
+        lambda: (3, rng.choice(["phone ", "call ", "tel. ", "mobile: ", "contact "]),
                  rng.choice([f"({num(3)}) {num(3)}-{num(4)}", f"{num(3)}-{num(3)}-{num(4)}", f"0{num(2)} {num(3)} {num(4)}",
                              f"{num(3)}.{num(3)}.{num(4)}", f"00{num(2)} {num(3)} {num(6)}"])),
-        lambda: (3, f"({num(3)}) {num(3)}-{num(4)}"),
-        lambda: (2, rng.choice(["card ", "visa ", "credit card no ", "payment "]) +
+        lambda: (3, "", f"({num(3)}) {num(3)}-{num(4)}"),
+        lambda: (2, rng.choice(["card ", "visa ", "credit card no ", "payment "]),
                  rng.choice([card(15), grouped(card(15), " ", 5), grouped(card(16), "."), grouped(card(16), "_"), card(14)])),
-        lambda: (0, f"{word()}.{word()} {rng.choice(['(at)', '[at]', '{at}'])} {word()} {rng.choice(['(dot)', '[dot]'])} com"),
-        lambda: (0, f"{word()}{rng.choice(['(at)', '[at]'])}{word()}.{rng.choice(['com', 'org', 'net'])}"),
-        lambda: (1, ":".join(format(x >> rng.choice([0, 8, 16]), "x") for x in rng.integers(0, 65536, 8))),
+        lambda: (0, "", f"{word()}.{word()} {rng.choice(['(at)', '[at]', '{at}'])} {word()} {rng.choice(['(dot)', '[dot]'])} com"),
+        lambda: (0, "", f"{word()}{rng.choice(['(at)', '[at]'])}{word()}.{rng.choice(['com', 'org', 'net'])}"),
+        lambda: (1, "", ":".join(format(x >> rng.choice([0, 8, 16]), "x") for x in rng.integers(0, 65536, 8))),
+        lambda: (1, rng.choice(["", "host ", "ip "]), short_v6()),
+    ]
+    # writings that a base rule finds alone, but not beside another number
+    beside = [
+        lambda: (2, "", card(16)), lambda: (2, "", card(16)), lambda: (2, "", grouped(card(16), rng.choice([" ", "-"]))),
+        lambda: (2, "", card(19)),
+        lambda: (3, "", f"+{num(1)} ({num(3)}) {num(3)}-{num(4)}"), lambda: (3, "", f"+{num(2)} {num(3)} {num(3)} {num(4)}"),
+        lambda: (3, "", f"+{num(1)}-{num(3)}-{num(3)}-{num(4)}"),
+        lambda: (1, "", ".".join(str(x) for x in rng.integers(0, 256, 4))),
+        lambda: (3, "", f"({num(3)}) {num(3)}-{num(4)}"), lambda: (None, "", num(16)), lambda: (None, "", num(16)),
     ]
     bad = [
         lambda: f"{rng.integers(1900, 2100)}-{num(2)}-{num(2)} {num(2)}:{num(2)}", lambda: num(rng.integers(7, 20)),
@@ -153,29 +244,47 @@ def examples(n: int = 6000) -> tuple[np.ndarray, np.ndarray]:
         lambda: f"{num(5)}-{num(4)}", lambda: f"{num(2)}:{num(2)}:{num(2)}.{num(3)}", lambda: f"{num(6)} {num(6)}",
         lambda: f"({num(4)}) {num(4)}", lambda: f"total {num(9)}", lambda: f"{word()} {num(10)} {word()}",
     ]
-    xs, ys = [], []
+    plain = lambda: (None, "", str(bad[rng.integers(len(bad))]()))
+    other = [lambda: f"{word()}::{word()}", lambda: f"{rng.choice(['ab', 'c', 'fade', 'be'])}::{rng.choice(['add', 'f', 'ad', 'begin'])}",
+             lambda: " ".join(num(rng.integers(1, 7)) for _ in range(rng.integers(2, 12))),
+             lambda: ":".join(num(2) for _ in range(rng.integers(2, 6)))]
+    bad += other
+    xs, ys, of = [], [], []
     for i in range(n):
         lead = " ".join(word() for _ in range(rng.integers(1, 6)))
-        want = None
-        if i % 3 == 0:
-            want, body = good[rng.integers(len(good))]()
-        else:
-            body = bad[rng.integers(len(bad))]()
-        tail = " ".join(word() for _ in range(3))
-        text = f"{lead} {body} {tail}"
-        spans = [c for c in candidates(text) if not any(c[1] < b and a < c[2] for _, a, b in base_spans(text))]
+        if i % 2 == 0:
+            pieces = [good[rng.integers(len(good))]() if i % 6 == 0 else plain()]
+        else:  # numbers side by side
+            pool = [lambda: good[rng.integers(len(good))](), plain, *[lambda: beside[rng.integers(len(beside))]()] * 4]
+            pieces = [pool[rng.integers(len(pool))]() for _ in range(rng.choice([2, 2, 2, 3]))]
+        text, truth = lead, set()
+        for k, (want, cue, body) in enumerate(pieces):
+            text += (" " if k == 0 else str(rng.choice([" ", " ", " ", "  ", ", ", " / ", "\n", " - "]))) + cue
+            at = len(text)
+            text += body
+            # what a base rule finds in a writing alone is right beside others too
+            truth |= {(q, at + a, at + b) for q, a, b in base_spans(body)} | ({(want, at, at + len(body))} if want is not None else set())
+        text += " " + " ".join(word() for _ in range(3))
+        base = base_spans(text)
+        spans = [c for c in candidates(text) if not any(c[1] < b and a < c[2] for _, a, b in base)]
         if spans:
             xs.append(describe(text, spans))
-            ys += [kind == want for kind, _, _ in spans]
-    return np.concatenate(xs), np.array(ys, float)
+            ys += [c in truth for c in spans]
+            of += [i] * len(spans)
+    return np.concatenate(xs), np.array(ys, float), np.array(of)
+
+
+def examples(n: int = 6000) -> tuple[np.ndarray, np.ndarray]:
+    """Features and marks of candidates in sentences made by rule."""
+    return _sentences(n)[:2]
 
 
 class Redactor:
     """The trees and, for each kind, the threshold that a candidate must reach."""
 
     def __init__(self, precision: float = 0.995):
-        x, y = examples()
-        fold = np.arange(len(y)) % 4 == 3
+        x, y, of = _sentences(6000)
+        fold = of % 8 >= 6  # whole sentences, both kinds of them
         self.trees = Booster().fit(x[~fold], y[~fold])
         p, truth, kind = self.trees.probability(x[fold]), y[fold], x[fold][:, 0]
         self.least = []
@@ -187,23 +296,53 @@ class Redactor:
             # half way to the next candidate, which would spoil the precision
             below = np.append(ranked, 0.0)
             self.least.append(max(0.95, float(below[good[-1]] + below[good[-1] + 1]) / 2) if len(good) else 2.0)
+        self.lowest = min(self.least)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-        found = candidates(text)
-        if found and base:
-            starts = sorted((a, b) for _, a, b in base)
-            lows = [a for a, _ in starts]
-            far = np.maximum.accumulate([b for _, b in starts])
-            found = [c for c in found if not (k := bisect_right(lows, c[2] - 1)) or far[k - 1] <= c[1]]
-        if not found:
-            return []
-        p = self.trees.probability(describe(text, found))
-        likely = sorted(((-q, c) for q, c in zip(p, found) if q >= self.least[c[0]]))
-        out: list[tuple[int, int, int]] = []
-        for _, c in likely:
-            if not any(c[1] < b and a < c[2] for _, a, b in out):
-                out.append(c)
-        return out
+        return self.added_all([text], [base])[0]
+
+    def added_all(self, texts: list[str], bases: list[list[tuple[int, int, int]]]) -> list[list[tuple[int, int, int]]]:
+        """The added spans of each text; candidates of several texts are scored together."""
+        likely: list[list[tuple[float, tuple[int, int, int]]]] = [[] for _ in texts]
+        held: list[tuple[int, list[tuple[int, int, int]], np.ndarray]] = []
+        n = 0
+
+        def score() -> None:
+            if held:
+                p = iter(np.split(self.trees.probability(np.concatenate([x for _, _, x in held])),
+                                  np.cumsum([len(c) for _, c, _ in held])[:-1]))
+                for (i, found, _), q in zip(held, p):
+                    likely[i] += [(-v, found[k]) for k in np.flatnonzero(q >= self.lowest) if (v := q[k]) >= self.least[found[k][0]]]
+                held.clear()
+
+        for i, (text, base) in enumerate(zip(texts, bases)):
+            found = candidates(text)
+            if found and base:
+                starts = sorted((a, b) for _, a, b in base)
+                lows = [a for a, _ in starts]
+                far = np.maximum.accumulate([b for _, b in starts])
+                found = [c for c in found if not (k := bisect_right(lows, c[2] - 1)) or far[k - 1] <= c[1]]
+            for at in range(0, len(found), _SCORED):
+                some = found[at:at + _SCORED]
+                held.append((i, some, describe(text, some)))
+                n += len(some)
+                if n >= _SCORED:
+                    score()
+                    n = 0
+        score()
+        return [_chosen(sorted(c)) for c in likely]
+
+
+def _chosen(ranked: list[tuple[float, tuple[int, int, int]]]) -> list[tuple[int, int, int]]:
+    """The spans in their order that overlap none chosen before."""
+    out: list[tuple[int, int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order of the text, none overlapping
+    for _, c in ranked:
+        k = bisect_right(taken, (c[1], c[2]))
+        if (not k or taken[k - 1][1] <= c[1]) and (k == len(taken) or c[2] <= taken[k][0]):
+            insort(taken, (c[1], c[2]))
+            out.append(c)
+    return out
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
@@ -223,10 +362,9 @@ def redact(text: str, spans: list[tuple[int, int, int]]) -> str:
 def _examine(model: Redactor, col: pa.Array, with_text: bool) -> list[pa.Array]:
     counts: list[list[int]] = []
     sha, spans, n_added, texts = [], [], [], []
-    for cell in col:
-        text = cell.as_py() or ""
-        base = base_spans(text)
-        more = model.added(text, base)
+    cells = [cell.as_py() or "" for cell in col]
+    bases = [base_spans(text) for text in cells]
+    for cell, text, base, more in zip(col, cells, bases, model.added_all(cells, bases)):
         counts.append([sum(s[0] == k for s in base) for k in range(len(KINDS))])
         sha.append(hashlib.sha256(joined(base).encode()).hexdigest())
         spans.append(joined(base + more))

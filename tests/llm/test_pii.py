@@ -91,3 +91,29 @@ def test_redaction(spark):
     assert got == {1: ("mail [EMAIL], ip [IP]", 21), 2: (None, None), 3: ("nothing", 7)}
     assert out.columns == make(spark, []).columns
     assert pii.redact("abcdef", [(0, 0, 3), (1, 2, 5)]) == "[EMAIL]f"
+
+
+@pytest.mark.parametrize("text, want", [
+    ("çre. Éçan 7536784127813050 4845168114407329 èaique tre", ["card:7536784127813050", "card:4845168114407329"]),
+    ("Hean. Esanwh 2353820953013749 4550997810720808 thheed hand", ["card:4550997810720808"]),  # the first fails the check sum
+    ("rerepa oument éreé. Des +1 (826) 555-4081 190.137.223.204 du anviou un èai.", ["phone:+1 (826) 555-4081"]),
+    ("de pour en çaux éaiépa un. +1 (843) 555-7672 170.106.47.218 Et, éan elletre", ["phone:+1 (843) 555-7672"])])
+def test_numbers_side_by_side_are_found(text, want):
+    model = pii.Redactor()
+    base = pii.base_spans(text)
+    assert all(k == 1 for k, _, _ in base)
+    assert [f"{pii.KINDS[k]}:{text[a:b]}" for k, a, b in sorted(model.added(text, base), key=lambda s: s[1])] == want
+
+
+def test_stretches_of_a_run_and_short_ipv6_are_proposed():
+    found = pii.candidates("x 123 4567 89012 345678901234567 y")
+    assert {(2, 2, 16), (3, 2, 16), (3, 2, 10), (3, 6, 16)} <= set(found)
+    assert {(2, 17, 32), (3, 17, 32)} <= set(found)  # 15 digits: both kinds
+    assert {(3, 4, 16), (2, 4, 16)} & set(found) == set()  # whole groups only
+    for t in ("2001:db8::1", "fe80::1ff:fe23:4567:890a", "2001:db8::"):
+        assert (1, 5, 5 + len(t)) in pii.candidates(f"from {t} on")
+    assert not [c for c in pii.candidates("std::vector a::begin") if c[0] == 1]
+    model = pii.Redactor()
+    assert [s[0] for s in model.added("host 2001:db8::1 is up", [])] == [1]
+    t = "1:" * 30 + " (555) 234-8811 (555) 234-8812 and " + "1.2 " * 30
+    assert model.added_all([t, "", t], [[], [], []])[0] == model.added(t, [])
