@@ -7,10 +7,18 @@ the language; both are trained by stochastic gradient descent in numpy on a
 bounded sample. Scoring needs only the product of the two tables, so a text of
 any length is read once. On a part of the sample that training never sees, a
 temperature and the confidence below which a document is rejected are fixed.
+
+A softmax is sure of texts in no learned language too. So each document also
+has a familiarity: the mean log frequency of its n-grams in the predicted
+language, less the median of that language. The limit below which it is
+rejected is fixed on the same part against rows out of any language: each
+language left out in turn (seen by the others only) and texts with their
+letters shuffled. It costs at most ``max_loss`` of the rightly predicted rows.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -63,13 +71,25 @@ def subwords(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
         lo = hi
 
 
+def _shuffled(text: str) -> str:
+    """The start of the text with its letters in another order, always the same; other characters stay."""
+    chars = np.array(list(text[:1000]) or [""], object)
+    letters = np.flatnonzero([c.isalpha() for c in chars])
+    chars[letters] = chars[np.random.default_rng(zlib.crc32(text[:1000].encode("utf-8", "replace"))).permutation(letters)]
+    return "".join(chars)
+
+
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, n, ids, rows in subwords(batch.column("text")):
+    """N-gram counts by row, and without a language those of every fifth text with shuffled letters."""
+    for real in batches:
+        noise = [_shuffled(t.as_py()) for t in real.column("text") if zlib.crc32((t.as_py() or "").encode("utf-8", "replace")) % 5 == 0]
+        text = pa.concat_arrays([real.column("text"), pa.array(noise, real.column("text").type)])
+        lang = pa.concat_arrays([real.column("lang"), pa.nulls(len(noise), real.column("lang").type)])
+        for lo, n, ids, rows in subwords(text):
             key, count = np.unique(rows.astype(np.int64) * BUCKETS + ids, return_counts=True)
             per = np.bincount(key // BUCKETS, minlength=n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang").slice(lo, n), tb.lists((key % BUCKETS).astype(np.int32), per),
+                [lang.slice(lo, n), tb.lists((key % BUCKETS).astype(np.int32), per),
                  tb.lists(count.astype(np.int32), per)], names=["lang", "ids", "counts"])
 
 
@@ -80,6 +100,8 @@ class Model:
     bias: np.ndarray
     temperature: float
     reject_below: float
+    usual: np.ndarray | None = None  # BUCKETS x languages: log frequency less the language's median familiarity
+    unfamiliar_below: float = -np.inf
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -88,13 +110,21 @@ class Model:
 
 
 def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 8, rate: float = 8.0,
-        max_reject: float = 0.001) -> Model:
-    """Train on (language, n-gram ids, counts) rows in a fixed order; every fifth row calibrates."""
+        max_reject: float = 0.001, max_loss: float = 0.005) -> Model:
+    """Train on (language, n-gram ids, counts) rows in a fixed order; every fifth row calibrates.
+
+    Rows without a language are out of any and calibrate only.
+    """
     rng = np.random.default_rng(3)
+    noise = [r for r in rows if r[0] is None]
+    rows = [r for r in rows if r[0] is not None]
     langs = sorted({r[0] for r in rows})
     if len(langs) < 2:
         c = len(langs)
-        return Model(langs, np.zeros((BUCKETS, c), np.float32), np.zeros(c), 1.0, 0.0)
+        model = Model(langs, np.zeros((BUCKETS, c), np.float32), np.zeros(c), 1.0, 0.0)
+        if c:
+            _familiarity(model, rows, noise, np.zeros(len(rows), int), np.arange(len(rows)) % 5 == 4, max_loss)
+        return model
     y = np.array([langs.index(r[0]) for r in rows])
     fold = np.arange(len(rows)) % 5 == 4
     emb = rng.normal(0, 0.1, (BUCKETS, dim)).astype(np.float32)
@@ -142,11 +172,39 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: i
     model.temperature = min(np.geomspace(0.1, 4, 30), key=loss)
     p = model.probabilities(logits)
     right = p.max(1)[p.argmax(1) == y[cal]]
-    # at most max_reject of what is predicted rightly goes, and only what is hardly better than a guess
-    model.reject_below = float(min(1.25 / len(langs), np.quantile(right, max_reject) * 0.9)) if len(right) else 0.0
+    # at most max_reject of what is predicted rightly goes
+    model.reject_below = float(np.quantile(right, max_reject) * 0.9) if len(right) else 0.0
+    fine = np.ones(len(rows), bool)
+    fine[cal] = p.argmax(1) == y[cal]
+    _familiarity(model, rows, noise, y, fold, max_loss, fine)
     return model
 
 
+def _familiarity(model: Model, rows: list, noise: list, y: np.ndarray, fold: np.ndarray, max_loss: float,
+                 fine: np.ndarray | None = None) -> None:
+    """Set the log frequencies of the n-grams and the limit of familiarity; ``fine``: rows predicted rightly."""
+    seen = np.zeros((BUCKETS, len(model.langs)))
+    for i in np.flatnonzero(~fold):
+        seen[rows[i][1], y[i]] += rows[i][2]
+    log = np.log(seen + 0.5) - np.log(seen.sum(0) + 0.5 * BUCKETS)
+    mean = lambda r: (r[2] / max(1, r[2].sum())) @ log[r[1]]
+    cal = np.flatnonzero(fold & (fine if fine is not None else True))
+    if not len(cal):
+        return
+    got = np.stack([mean(rows[i]) for i in cal])
+    own = got[np.arange(len(cal)), y[cal]]
+    middle = np.array([np.median(own[y[cal] == c] if (y[cal] == c).any() else own) for c in range(len(model.langs))])
+    others = got - middle
+    others[np.arange(len(cal)), y[cal]] = -np.inf  # the row's own language left out
+    out = [others.max(1)] if len(model.langs) > 1 else []
+    if noise:
+        out.append((np.stack([mean(r) for r in noise]) - middle).max(1))
+    low = float(np.quantile(own - middle[y[cal]], max_loss))
+    high = float(np.quantile(np.concatenate(out), 0.99)) if out else low
+    model.usual = (log - middle).astype(np.float32)
+    model.unfamiliar_below = (low + high) / 2 if high < low else low  # half way if nothing lies between
+
+
 def train(docs: DataFrame, per_lang: int = 500, max_rows: int = 20_000) -> Model:
     """Fit on about ``per_lang`` documents of each language, ``max_rows`` in all at most.
 
@@ -169,7 +227,7 @@ def train(docs: DataFrame, per_lang: int = 500, max_rows: int = 20_000) -> Model
                     [np.asarray(x.values) for c in got.column("ids").chunks for x in c],
                     [np.asarray(x.values) for c in got.column("counts").chunks for x in c]))
     rows = [r for r in rows if len(r[1])]
-    rows.sort(key=lambda r: (int(r[1][0]), len(r[1]), int(r[2].sum()), r[0]))  # reruns train in the same order
+    rows.sort(key=lambda r: (int(r[1][0]), len(r[1]), int(r[2].sum()), r[0] or ""))  # reruns train in the same order
     order = np.random.default_rng(1).permutation(len(rows))
     return fit([rows[i] for i in order])
 
@@ -185,19 +243,22 @@ def _classifier():
     def classify(m: Model, col: pa.Array) -> list[pa.Array]:
         columns = [np.ascontiguousarray(m.table[:, c]) for c in range(len(m.langs))]
         data, off = tb.string_buffers(col)
-        langs, scores = np.full(len(col), "und", object), np.zeros(len(col))
+        langs, scores, usual = np.full(len(col), "und", object), np.zeros(len(col)), np.zeros(len(col))
         for lo, n, ids, rows in subwords(col):
             if m.langs:
                 count = np.bincount(rows, minlength=n)
                 logits = np.stack([np.bincount(rows, t[ids], n) for t in columns], 1) / np.maximum(count, 1)[:, None]
                 p = m.probabilities(logits + m.bias)
-                langs[lo:lo + n] = np.array(m.langs, object)[p.argmax(1)]
+                best = p.argmax(1)
+                if m.usual is not None:
+                    usual[lo:lo + n] = np.bincount(rows, m.usual[ids, best[rows]], n) / np.maximum(count, 1)
+                langs[lo:lo + n] = np.array(m.langs, object)[best]
                 scores[lo:lo + n] = p.max(1)
             for i in range(lo, lo + n):
                 text = data[off[i]:off[i + 1]]
                 if not letters[text].any() and not has_letter(text.tobytes()):
                     langs[i], scores[i] = "und", 0.0
-        ok = (langs != "und") & (scores >= m.reject_below)
+        ok = (langs != "und") & (scores >= m.reject_below) & (usual >= m.unfamiliar_below)
         return [pa.array(langs, pa.string()), pa.array(scores), pa.array(ok.astype(bool))]
 
     return classify
@@ -207,8 +268,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with lang_pred, score and accepted.
 
     ``und`` with score 0 and not accepted: null, empty, or no letter in the
-    text. ``accepted`` is false where the confidence is below the calibrated
-    limit. Repeated rows give equal rows; other columns pass through, but for
+    text. ``accepted`` is false where the confidence or the familiarity is
+    below its calibrated limit. Repeated rows give equal rows; other columns pass through, but for
     those named like the new ones; an empty table gives no rows; a model
     without languages calls everything ``und``.
     """

@@ -57,3 +57,25 @@ def test_empty_and_single_language(spark):
     one = language_id.train(make(spark, [(i, "abc abd", "xx") for i in range(20)]))
     assert [r.lang_pred for r in language_id.predict(make(spark, [(1, "abc")]), one).collect()] == ["xx"]
     assert language_id.predict(make(spark, []), one).count() == 0
+
+
+def test_foreign_and_random_texts_are_rejected(spark):
+    rng = np.random.default_rng(5)
+    model = language_id.train(make(spark, corpus()))
+    letters = lambda alphabet: " ".join("".join(rng.choice(list(alphabet), rng.integers(2, 9))) for _ in range(40))
+    foreign = "wyth hyngu fflwr drwy bydd cwm llyn " * 6
+    bad = [foreign, "if (x == null) { return fn(argv[0]); } " * 5, *[letters("0123456789abcdef") for _ in range(20)],
+           *[letters("abcdefghijklmnopqrstuvwxyz") for _ in range(20)],
+           *[language_id._shuffled(text("aa", 40, 700 + i)) + " " + letters("xyzqwf") for i in range(20)]]
+    good = [text(lang, 30, 800 + i) for i in range(30) for lang in SYLLABLES]
+    rows = [(i, t) for i, t in enumerate(bad + good)]
+    got = {r.doc_id: r.accepted for r in language_id.predict(make(spark, rows), model).collect()}
+    assert not any(got[i] for i in range(len(bad)))
+    assert np.mean([got[i] for i in range(len(bad), len(rows))]) > 0.98
+
+
+def test_a_language_left_out_is_rejected(spark):
+    for left in SYLLABLES:
+        model = language_id.train(make(spark, [r for r in corpus() if r[2] != left]))
+        got = language_id.predict(make(spark, [(i, text(left, 30, 900 + i)) for i in range(20)]), model).collect()
+        assert not any(r.accepted for r in got)
