@@ -63,13 +63,30 @@ _ELEMENT = f"""case p_partkey % 3 when 0 then {D.ensure_quoted('p_name')} when 1
 _ELEMENTS = with_views(f"select {_ELEMENT} as original_input from v_json_rows", "v_json_rows")
 
 
-def _documents(spark, sf, name, text):
-    """JSON documents, one file each, from ``text`` over grouped elements (``els``) and names."""
-    path = scratch_path(spark, name)
-    rows = view(spark, sf, "v_json_rows").groupBy("doc").agg(
+#: Rows of a JSON document at most.
+DOCUMENT_ROWS = 1000
+
+
+def _grouped(spark, sf):
+    """Elements (``els``) and names of each JSON document, and whether it is the ``first`` of its ``doc``.
+
+    The view deals the rows into ten; each of them goes on in further
+    documents, so that their number and not their size grows with the table.
+    """
+    rows = view(spark, sf, "v_json_rows")
+    slices = rows.withColumn("slice", F.floor(F.col("p_partkey") / (10 * DOCUMENT_ROWS)))
+    lowest = slices.groupBy("doc").agg(F.min("slice").alias("lowest")).withColumnRenamed("doc", "of")
+    docs = slices.groupBy("doc", "slice").agg(
         F.concat(F.lit("["), F.array_join(F.collect_list("element"), ", "), F.lit("]")).alias("els"),
         F.collect_list("p_name").alias("names"))
-    rows.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return docs.join(F.broadcast(lowest), F.col("doc").eqNullSafe(F.col("of"))) \
+        .select("els", "names", F.col("slice").eqNullSafe(F.col("lowest")).alias("first"))
+
+
+def _documents(spark, sf, name, text):
+    """JSON documents, one file each, from ``text`` over grouped elements and names."""
+    path = scratch_path(spark, name)
+    _grouped(spark, sf).select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
     return SQ.read_queries_json(spark, path).select("original_input")
 
 
@@ -98,7 +115,8 @@ def q_read_queries_json_keyed(spark, sf):
 def q_read_queries_json_spread(spark, sf):
     """An object of lists and texts; its number and its object are no queries."""
     return _documents(spark, sf, "json-spread", F.concat(
-        F.lit('{"limit": 10, "meta": {"k": "v"}, "names": '), F.to_json("names"), F.lit(', "q": "{last} one"}')))
+        F.lit('{"limit": 10, "meta": {"k": "v"}, "names": '), F.to_json("names"),
+        F.when(F.col("first"), ', "q": "{last} one"}').otherwise("}")))
 
 
 @register("read_queries", with_views(

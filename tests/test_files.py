@@ -107,3 +107,14 @@ def test_scratch_needs_a_shared_folder_off_local_mode():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.ensure_checkpoint_dir(Cluster())
     assert F
+
+
+def test_json_documents_grow_in_number_and_not_in_size(spark):
+    from serpframe.plans import q_io
+    sf = "/root/testdata/sf0.1"
+    docs = q_io._grouped(spark, sf).selectExpr("size(names) as n", "first").collect()
+    assert sum(d.n for d in docs) == spark.read.parquet(f"{sf}/part.parquet").count() == 20_000
+    assert max(d.n for d in docs) <= q_io.DOCUMENT_ROWS and len(docs) == 20
+    assert sum(d.first for d in docs) == 10
+    for q, n in ((q_io.q_read_queries_json_list, 20_000), (q_io.q_read_queries_json_spread, 20_010)):
+        assert q(spark, sf).count() == n
