@@ -1,6 +1,7 @@
 """Licence scan with a trained paragraph classifier (operator 2).
 
-A paragraph is a line of a text. Its features are the hashed words and word
+A paragraph is a line of a text, or neighbouring lines that hold a notice
+together which none of them holds alone (a wrapped notice). Its features are the hashed words and word
 pairs (letters and digits, lower-cased). A sparse logistic regression, one
 weight vector per licence family and one for "none", is trained in numpy on
 the notices below (whole, cut, with words dropped, and inside other words) and
@@ -64,7 +65,7 @@ _OTHER = ("Licensed under the Example Community License, version 7.", "This file
 def paragraphs(col: pa.Array) -> Iterator[tuple[tb.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Words of each chunk, with the paragraph of each word and, by paragraph, its row, line number and features.
 
-    Yields (words, paragraph of each word, row, line, (features, paragraph of each)).
+    Yields (words, paragraph of each word, row, line, (features, paragraph of each, pair over the end of each)).
     """
     for w in tb.chunks(col, lower=True, space=tb.PUNCT):
         breaks = np.cumsum(w.data == 10)
@@ -77,13 +78,15 @@ def paragraphs(col: pa.Array) -> Iterator[tuple[tb.Words, np.ndarray, np.ndarray
         pair = tb.mix(h[:-1] * np.uint64(3) + h[1:])[para[1:] == para[:-1]] if len(h) else h
         of = para[:-1][para[1:] == para[:-1]] if len(h) else para
         feats = (np.concatenate([h, pair]) >> np.uint64(64 - BITS)).astype(np.int32)
-        yield w, para, w.row[new], line[new], (feats, np.concatenate([para, of]))
+        at = np.flatnonzero(new)[1:]
+        over = (tb.mix(h[at - 1] * np.uint64(3) + h[at]) >> np.uint64(64 - BITS)).astype(np.int32)
+        yield w, para, w.row[new], line[new], (feats, np.concatenate([para, of]), over)
 
 
 def _bags(texts: list[str]) -> list[np.ndarray]:
     """Distinct features of each text taken as one paragraph."""
     out: list[np.ndarray] = []
-    for w, _, _, _, (f, p) in paragraphs(pa.array([t.replace("\n", " ") for t in texts], pa.string())):
+    for w, _, _, _, (f, p, _) in paragraphs(pa.array([t.replace("\n", " ") for t in texts], pa.string())):
         row = np.searchsorted(w.first, np.arange(len(w.start)), side="right") - 1  # of each word
         first = np.full(int(p.max(initial=-1)) + 1, 0)
         first[p[:len(w.start)]] = row
@@ -200,13 +203,56 @@ def judge(model: Model, bag: np.ndarray, confirm: float) -> tuple[str, float, fl
     return model.families[k], float(p[k]), own, sure
 
 
+def wrapped(model: Model, n_words: np.ndarray, follows: np.ndarray, feats: np.ndarray, of: np.ndarray,
+            over: np.ndarray, confirm: float) -> list[tuple[float, int, int, int]]:
+    """(-share, lines - 1, first, last paragraph) of neighbouring lines that hold ``confirm`` of a notice only together.
+
+    ``follows``: whether each paragraph but the first is on the line after the
+    one before. A line without any word of the notice ends the stretch, and so
+    do more words between the first and the last line than the notice has
+    features (about two a word).
+    """
+    out = []
+    for _, notice in model.templates:
+        place = np.full(1 << BITS, -1)
+        place[notice] = np.arange(len(notice))
+        held = place[feats]
+        p, held = of[held >= 0], held[held >= 0]
+        lines, which = np.unique(p, return_inverse=True)
+        bit = lambda at: np.uint64(1) << (at & 63).astype(np.uint64)
+        mask = np.zeros((len(lines), (len(notice) + 63) // 64), np.uint64)
+        np.bitwise_or.at(mask, (which, held >> 6), bit(held))
+        short = np.bitwise_count(mask).sum(1) < confirm * len(notice)
+        lines, mask = lines[short], mask[short]
+        if len(lines) < 2:
+            continue
+        near = (np.diff(lines) == 1) & follows[lines[1:] - 1]  # with the next
+        pair = np.zeros_like(mask[:-1])
+        at = place[over[np.minimum(lines[:-1], len(over) - 1)]]
+        some = np.flatnonzero(near & (at >= 0))
+        pair[some, at[some] >> 6] = bit(at[some])
+        start, now, inner, k = np.arange(len(lines)), mask, np.zeros(len(lines), np.int64), 0
+        while len(start):
+            k += 1
+            if k > 1:
+                inner = inner + n_words[lines[start + k - 1]]
+            go = (start + k < len(lines)) & (inner <= len(notice))
+            go[go] = near[start[go] + k - 1]
+            start, now, inner = start[go], now[go] | pair[start[go] + k - 1] | mask[start[go] + k], inner[go]
+            share = np.bitwise_count(now).sum(1) / len(notice)
+            out += [(-float(share[i]), k, int(lines[start[i]]), int(lines[start[i] + k])) for i in np.flatnonzero(share >= confirm)]
+    return sorted(out)
+
+
 def scan(docs: DataFrame, sample_rows: int = 400, least_held: int = 2, confirm: float = 0.7) -> DataFrame:
     """One row per licence paragraph: doc_id, line, family, probability, held, confirmed.
 
     ``line`` counts from 0. ``sample_rows`` documents, drawn by a hash of their
     text, give the corpus side of the training set (at most 20 lines of each).
     A paragraph is scored when it holds at least ``least_held`` features that
-    speak for some family. Null and empty texts have no paragraphs; repeated
+    speak for some family. Neighbouring lines that hold a notice only together
+    give one confirmed row at the first of them in place of their own
+    unconfirmed ones. Null and empty texts have no paragraphs; repeated
     rows give repeated results; other columns are ignored; an empty table
     gives no rows.
     """
@@ -222,19 +268,35 @@ def scan(docs: DataFrame, sample_rows: int = 400, least_held: int = 2, confirm:
         model = sent.value
         for batch in batches:
             out = []
-            for w, _, row, line, (feats, of) in paragraphs(batch.column(1)):
+            for w, para, row, line, (feats, of, over) in paragraphs(batch.column(1)):
                 hit = model.screen[feats]
-                worth = np.flatnonzero(np.bincount(of[hit], minlength=len(row)) >= least_held)
-                if not len(worth):
+                held = np.bincount(of[hit], minlength=len(row))
+                if not held.any():
                     continue
-                mine = np.isin(of, worth)
+                mine = held[of] > 0
                 f, p = feats[mine], of[mine]
                 order = np.argsort(p, kind="stable")
                 f, p = f[order], p[order]
-                for bag, k in zip(np.split(f, np.flatnonzero(np.diff(p)) + 1), worth):
-                    got = judge(model, np.unique(bag), confirm)
+                ends = np.searchsorted(p, np.arange(len(row) + 1))
+                found = {}
+                for k in np.flatnonzero(held >= least_held).tolist():
+                    got = judge(model, np.unique(f[ends[k]:ends[k + 1]]), confirm)
                     if got:
-                        out.append((int(row[k]) + w.lo, int(line[k]), *got))
+                        found[k] = got
+                follows = (np.diff(row) == 0) & (np.diff(line) == 1)
+                taken: set[int] = set()
+                for _, _, a, b in wrapped(model, np.bincount(para, minlength=len(row)), follows, f, p, over, confirm):
+                    if not taken.isdisjoint(range(a, b + 1)):
+                        continue
+                    got = judge(model, np.unique(np.concatenate([f[ends[a]:ends[b + 1]], over[a:b]])), confirm)
+                    inside = [k for k in range(a, b + 1) if k in found]
+                    if not got or not got[3] or any(found[k][3] and found[k][0] == got[0] for k in inside):
+                        continue
+                    taken.update(range(a, b + 1))
+                    own = [(k, found.pop(k)) for k in inside]
+                    out += [(int(row[k]) + w.lo, int(line[k]), *x) for k, x in own if x[3]]
+                    out.append((int(row[a]) + w.lo, int(line[a]), *got))
+                out += [(int(row[k]) + w.lo, int(line[k]), *x) for k, x in found.items()]
             if out:
                 at, line, family, prob, held, sure = zip(*out)
                 yield pa.RecordBatch.from_arrays(

@@ -50,3 +50,23 @@ def test_repeated_rows_and_empty_table(spark):
     rows = [(1, "Released under the MIT License.")] * 2
     assert [r.family for r in licenses.scan(make(spark, rows)).collect()] == ["mit", "mit"]
     assert licenses.scan(make(spark, [])).count() == 0
+
+
+def test_wrapped_notices_are_confirmed_at_their_first_line(spark, words):  # noqa: F811
+    import textwrap
+    rows, want = [], set()
+    long = [(family, n) for family in ("mit", "bsd", "gpl") for n in licenses.NOTICES[family] if len(n) > 100]
+    assert len(long) == 3
+    for i, (family, notice) in enumerate(long):
+        for j, (width, mark) in enumerate(((80, ""), (76, " * "), (72, "# "), (40, "// "))):
+            wrap = [mark + x for x in textwrap.wrap(notice, width)]
+            assert len(wrap) > 1
+            for k, (before, after) in enumerate((([], []), ([words(12, 7), ""], ["", words(12, 8)]), ([words(12, 9)], [words(12, 10)]))):
+                doc = 100 * i + 10 * j + k
+                rows.append((doc, "\n".join([*before, *wrap, *after])))
+                want.add((doc, len(before), family, True))
+    # the parts of a notice far from each other are none
+    first, second = textwrap.wrap(long[0][1], 80)[:2]
+    rows.append((900, first + "\n\n" + words(30, 1) + "\n\n" + second))
+    got = {(r.doc_id, r.line, r.family, r.confirmed) for r in licenses.scan(make(spark, rows)).collect() if r.doc_id < 900 or r.confirmed}
+    assert got == want
