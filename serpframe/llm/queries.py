@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from serpframe.llm import (decontaminate, language_id, lattice, licenses, mixing, near_dups, pii, relative_parse,
-                           token_counts, toxicity)
+from serpframe.llm import (decontaminate, importance, language_id, lattice, licenses, mixing, near_dups, phrases, pii,
+                           quality, relative_parse, token_counts, toxicity)
 from serpframe.llm.tables import read_table
 from serpframe.session import scratch_path
 
@@ -68,6 +68,21 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(read_table(spark, sf_dir, "documents"), words=3, percent=85, bands=24, rows=5)
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read_table(spark, sf_dir, "documents"), least=100, longest=5, percent=100, top=2000)
+
+
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.train(docs, read_table(spark, sf_dir, "labels")), threshold=0.3)
+    return out.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_license_scan": op2_license_scan,
@@ -79,11 +94,72 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_minhash": op9_minhash,
     "op10_decontamination": op10_decontamination,
+    "op11_importance": op11_importance,
+    "op12_phrases": op12_phrases,
+    "op13_quality": op13_quality,
 }
 
 _WORDS = r"regexp_extract_all(coalesce({}, ''), '[^\x20\x09-\x0D]+')"
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES = {
+    "op11_importance": rf"""
+with recursive step(i, b, x) as (
+  select 0, r::bigint, r::bigint from range(256) t(r)
+  union all select i + 1, b, xor(x >> 1, case when x & 1 = 1 then 3988292384 else 0 end) from step where i < 8),
+tab as materialized (select list(x order by b) t from step where i = 8),
+w as (select 0 kind, doc_id, row_number() over () rid, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') w
+      from documents
+      union all select 1, item_id, row_number() over (), regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')
+      from benchmark),
+f as materialized (
+  select kind, rid, unnest(list_concat(w, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) feature from w),
+crc(feature, hx, pos, acc) as (
+  select feature, hex(encode(feature)), 0, 4294967295::bigint from (select distinct feature from f)
+  union all
+  select feature, hx, pos + 1,
+         xor(acc >> 8, t[(xor(acc, ('0x' || substr(hx, 2 * pos + 1, 2))::bigint) & 255) + 1])
+  from crc, tab where 2 * pos < len(hx)),
+bucket as materialized (
+  select feature, xor(acc, 4294967295) % 10000 b from crc where 2 * pos = len(hx)),
+n as (select kind, b, count(*)::double c from f join bucket using (feature) group by all),
+total as (select coalesce(sum(c) filter (kind = 0), 0) s, coalesce(sum(c) filter (kind = 1), 0) t from n),
+gain as materialized (
+  select x.b, floor(1000 * ln((coalesce(q.c, 0) + 1) * (s + 10000) / ((coalesce(p.c, 0) + 1) * (t + 10000))))::bigint g
+  from (select distinct b from n) x left join n p on p.b = x.b and p.kind = 0 left join n q on q.b = x.b and q.kind = 1, total),
+d as (select rid, count(*)::bigint n_features, floor(sum(g)::double / count(*))::bigint weight
+      from f join bucket using (feature) join gain using (b) where kind = 0 group by rid),
+h as (select rid, doc_id, len(w) n_words,
+             (('0x' || substr(sha256('7:' || coalesce(doc_id::varchar, '')), 1, 8))::bigint + 0.5::double) / 4294967296 u
+      from w where kind = 0),
+z as (select h.rid, doc_id, n_words, coalesce(n_features, 0) n_features, coalesce(weight, 0) weight,
+             (coalesce(weight, 0) + floor(-1000 * ln(-ln(u))))::bigint score from h left join d using (rid)),
+k as (select rid, row_number() over (order by score desc, doc_id) r, count(*) over () many from z where n_words >= 20)
+select doc_id, n_features, weight, score, case when r <= 25 * many // 100 then r end rank from z left join k using (rid)""",
+    "op12_phrases": rf"""
+with p as (
+  select coalesce(lang, 'und') lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')),
+         '[^\x20\x09]+') w from documents),
+n as (select lang, sum(len(w)) n from p group by lang),
+f as materialized (
+  select lang, k, array_to_string(g, ' ') phrase, count(*)::hugeint c
+  from (select lang, k, unnest([w[i:i + k - 1] for i in range(1, len(w) - k + 2)]) g from p, range(1, 6) t(k)) group by all
+  having count(*) >= 100),
+cand as (select lang, k, phrase, c a, string_split(phrase, ' ') w from f where k > 1),
+cut as (select lang, phrase, a, j, array_to_string(w[:j], ' ') x, array_to_string(w[j + 1:], ' ') y
+        from cand, range(1, 5) t(j) where j < k),
+best as (select cut.lang, cut.phrase, a, j, x.c l, y.c r, n, (1000 * a * n::hugeint) // (x.c * y.c) score
+         from cut join f x on x.lang = cut.lang and x.phrase = cut.x join f y on y.lang = cut.lang and y.phrase = cut.y
+         join n on n.lang = cut.lang
+         qualify row_number() over (partition by cut.lang, cut.phrase order by score, j) = 1),
+inside as (select distinct lang, array_to_string(w[i:i + m - 1], ' ') phrase, a
+           from cand, range(2, 5) t(m), range(1, 5) u(i) where m < k and i + m - 1 <= k),
+kept as (select * from best where not exists
+         (select 1 from inside where inside.lang = best.lang and inside.phrase = best.phrase and 100 * inside.a >= 100 * best.a))
+select lang, row_number() over (partition by lang order by score desc, a desc, encode(phrase)) rank, phrase, a::bigint a,
+       l::bigint l, r::bigint r, n::bigint n, score::bigint score
+from kept qualify rank <= 2000""",
     "op6_mixing": r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint size,
