@@ -211,8 +211,8 @@ def _calibrate(model: Model, rows: list[Row], y: np.ndarray, weigh: np.ndarray)
     at, start = np.array([1.0, 0.0]), np.array([1.0, 0.0])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ at, -30, 30)))
-        grad = x.T @ (weigh * (p - y)) + (at - start)
-        curve = x.T @ (x * (weigh * p * (1 - p) + 1e-9)[:, None]) + np.eye(2)
+        grad = x.T @ (weigh * (p - y)) + 0.1 * (at - start)
+        curve = x.T @ (x * (weigh * p * (1 - p) + 1e-9)[:, None]) + 0.1 * np.eye(2)
         move = np.linalg.solve(curve, grad)
         at = at - move * min(1.0, 1.0 / (np.abs(move).max() + 1e-12))
     model.slope, model.shift = float(max(at[0], 0.05)), float(at[1])
