@@ -10,10 +10,13 @@ temperature and the confidence below which a document is rejected are fixed.
 
 A softmax is sure of texts in no learned language too. So each document also
 has a familiarity: the mean log frequency of its n-grams in the predicted
-language, less the median of that language. The limit below which it is
-rejected is fixed on the same part against rows out of any language: each
-language left out in turn (seen by the others only) and texts with their
-letters shuffled. It costs at most ``max_loss`` of the rightly predicted rows.
+language, less what is usual in that language, in units of the spread that
+texts of its length have. The limit below which it is rejected is fixed for
+each language on its own rows, counted without their fold, at a stated loss
+``max_loss`` of right documents: a quantile where the rows can carry it, a
+fitted tail below that, no limit under ``FEW`` rows. Rows out of any language
+(each language left out in turn, texts with their letters shuffled) move the
+limit further down, half way to them, where nothing lies between.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +36,8 @@ from serpframe.llm import textblocks as tb
 from serpframe.llm.tables import appended, map_batches
 
 BUCKETS = 1 << 15
+#: Rows of a language below which nothing is rejected.
+FEW = 8
 _MULS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -72,10 +78,10 @@ def subwords(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]
 
 
 def _shuffled(text: str) -> str:
-    """The start of the text with its letters in another order, always the same; other characters stay."""
-    chars = np.array(list(text[:1000]) or [""], object)
+    """The text with its letters in another order, always the same; other characters stay."""
+    chars = np.array(list(text) or [""], object)
     letters = np.flatnonzero([c.isalpha() for c in chars])
-    chars[letters] = chars[np.random.default_rng(zlib.crc32(text[:1000].encode("utf-8", "replace"))).permutation(letters)]
+    chars[letters] = chars[np.random.default_rng(zlib.crc32(text.encode("utf-8", "replace"))).permutation(letters)]
     return "".join(chars)
 
 
@@ -101,7 +107,11 @@ class Model:
     temperature: float
     reject_below: float
     usual: np.ndarray | None = None  # BUCKETS x languages: log frequency less the language's median familiarity
-    unfamiliar_below: float = -np.inf
+    spread: tuple[float, float] = (1.0, 0.0)  # variance of the familiarity: the same for all texts, and by length
+    unfamiliar_below: np.ndarray | None = None  # of each language
+
+    def familiarity(self, mean: np.ndarray, count: np.ndarray) -> np.ndarray:
+        return mean / np.sqrt(self.spread[0] + self.spread[1] / np.maximum(count, 1))
 
     def probabilities(self, logits: np.ndarray) -> np.ndarray:
         z = logits / self.temperature
@@ -123,7 +133,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: i
         c = len(langs)
         model = Model(langs, np.zeros((BUCKETS, c), np.float32), np.zeros(c), 1.0, 0.0)
         if c:
-            _familiarity(model, rows, noise, np.zeros(len(rows), int), np.arange(len(rows)) % 5 == 4, max_loss)
+            _familiarity(model, rows, noise, np.zeros(len(rows), int), np.ones(len(rows), bool), max_loss)
         return model
     y = np.array([langs.index(r[0]) for r in rows])
     fold = np.arange(len(rows)) % 5 == 4
@@ -158,70 +168,114 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: i
             bias -= lr * 0.1 * p.sum(0)
             np.subtract.at(emb, ids, (lr * len(langs)) * w[:, None] * back[of])
     table = emb @ soft
-    cal = np.flatnonzero(fold)
-    logits = np.stack([(rows[i][2] / max(1, rows[i][2].sum())) @ table[rows[i][1]] + bias for i in cal]) \
-        if len(cal) else np.zeros((0, len(langs)))
+    logits = np.stack([(r[2] / max(1, r[2].sum())) @ table[r[1]] + bias for r in rows])
     model = Model(langs, table.astype(np.float32), bias.astype(float), 1.0, 0.0)
+    cal = np.flatnonzero(fold)
     if not len(cal):
         return model
 
     def loss(t):
         model.temperature = t
-        return -np.log(model.probabilities(logits)[np.arange(len(cal)), y[cal]] + 1e-12).mean()
+        return -np.log(model.probabilities(logits[cal])[np.arange(len(cal)), y[cal]] + 1e-12).mean()
 
     model.temperature = min(np.geomspace(0.1, 4, 30), key=loss)
     p = model.probabilities(logits)
-    right = p.max(1)[p.argmax(1) == y[cal]]
-    # at most max_reject of what is predicted rightly goes
-    model.reject_below = float(np.quantile(right, max_reject) * 0.9) if len(right) else 0.0
-    fine = np.ones(len(rows), bool)
-    fine[cal] = p.argmax(1) == y[cal]
-    _familiarity(model, rows, noise, y, fold, max_loss, fine)
+    right = p.argmax(1) == y
+    top = np.clip(p[cal][right[cal]].max(1), 1e-9, 1 - 1e-9)
+    model.reject_below = float(1 / (1 + np.exp(-lowest(np.log(top / (1 - top)), max_reject))))
+    _familiarity(model, rows, noise, y, right, max_loss)
     return model
 
 
-def _familiarity(model: Model, rows: list, noise: list, y: np.ndarray, fold: np.ndarray, max_loss: float,
-                 fine: np.ndarray | None = None) -> None:
-    """Set the log frequencies of the n-grams and the limit of familiarity; ``fine``: rows predicted rightly."""
-    seen = np.zeros((BUCKETS, len(model.langs)))
-    for i in np.flatnonzero(~fold):
-        seen[rows[i][1], y[i]] += rows[i][2]
-    log = np.log(seen + 0.5) - np.log(seen.sum(0) + 0.5 * BUCKETS)
-    mean = lambda r: (r[2] / max(1, r[2].sum())) @ log[r[1]]
-    cal = np.flatnonzero(fold & (fine if fine is not None else True))
-    if not len(cal):
-        return
-    got = np.stack([mean(rows[i]) for i in cal])
-    own = got[np.arange(len(cal)), y[cal]]
-    middle = np.array([np.median(own[y[cal] == c] if (y[cal] == c).any() else own) for c in range(len(model.langs))])
-    others = got - middle
-    others[np.arange(len(cal)), y[cal]] = -np.inf  # the row's own language left out
-    out = [others.max(1)] if len(model.langs) > 1 else []
-    if noise:
-        out.append((np.stack([mean(r) for r in noise]) - middle).max(1))
-    low = float(np.quantile(own - middle[y[cal]], max_loss))
-    high = float(np.quantile(np.concatenate(out), 0.99)) if out else low
-    model.usual = (log - middle).astype(np.float32)
-    model.unfamiliar_below = (low + high) / 2 if high < low else low  # half way if nothing lies between
+def lowest(values: np.ndarray, loss: float) -> float:
+    """A value that a share of about ``loss`` of further values lies below, or fewer.
 
-
-def train(docs: DataFrame, per_lang: int = 500, max_rows: int = 20_000) -> Model:
-    """Fit on about ``per_lang`` documents of each language, ``max_rows`` in all at most.
-
-    The sample is drawn by a hash of doc_id among rows that are not held out
-    and have a language and a text; only n-gram counts reach the driver.
+    The quantile where ten values lie below it. With fewer values the normal
+    tail with Student's allowance for their number, or the least value if that
+    is lower; minus infinity under ``FEW`` values.
+    """
+    n = len(values)
+    if n < FEW:
+        return -np.inf
+    if n * loss >= 10:
+        return float(np.quantile(values, loss))
+    z, v = -NormalDist().inv_cdf(loss), n - 1
+    t = z + (z ** 3 + z) / (4 * v) + (5 * z ** 5 + 16 * z ** 3 + 3 * z) / (96 * v * v)
+    return float(min(values.mean() - t * values.std(ddof=1) * (1 + 1 / n) ** 0.5, values.min()))
+
+
+def _familiarity(model: Model, rows: list, noise: list, y: np.ndarray, right: np.ndarray, max_loss: float) -> None:
+    """Set the log frequencies of the n-grams, the spread and the limits; ``right``: rows predicted rightly."""
+    n_langs, folds = len(model.langs), np.arange(len(rows)) % 5
+    seen = np.zeros((5, BUCKETS, n_langs), np.float32)
+    for r, c, f in zip(rows, y, folds):
+        seen[f, r[1], c] += r[2]
+    every = seen.sum(0)
+    log = lambda s: np.log(s + 0.5) - np.log(s.sum(0) + 0.5 * BUCKETS)
+    mean = lambda r, at: (r[2] / max(1, r[2].sum())) @ at[r[1]]
+    got = np.zeros((len(rows), n_langs))
+    for f in range(5):
+        without = log(every - seen[f])
+        for i in np.flatnonzero(folds == f):
+            got[i] = mean(rows[i], without)
+    del seen
+    size = np.array([r[2].sum() for r in rows], float)
+    own = got[np.arange(len(rows)), y]
+    middle = np.array([np.median(own[right & (y == c)]) if (right & (y == c)).any() else np.median(own) for c in range(n_langs)])
+    off = own - middle[y]
+    model.spread = _spread(off[right], size[right])
+    others = got - middle
+    others[np.arange(len(rows)), y] = -np.inf  # the row's own language left out
+    full = log(every)
+    limits = []
+    for c in range(n_langs):
+        low = lowest(model.familiarity(off, size)[right & (y == c)], max_loss)
+        best = np.flatnonzero((y != c) & (others.argmax(1) == c))
+        out = [model.familiarity(others[best, c], size[best])]
+        if noise:
+            out.append(model.familiarity(np.array([mean(r, full[:, c]) for r in noise]) - middle[c],
+                                         np.array([r[2].sum() for r in noise])))
+        out = np.concatenate(out)
+        high = float(np.quantile(out, 0.99)) if len(out) else low
+        limits.append((low + high) / 2 if np.isfinite(low) and high < low else low)  # half way if nothing lies between
+    model.usual = (full - middle).astype(np.float32)
+    model.unfamiliar_below = np.array(limits)
+
+
+def _spread(off: np.ndarray, size: np.ndarray) -> tuple[float, float]:
+    """a and b of a variance a + b / size, by least squares of the squares against 1 and 1 / size, none negative."""
+    if not len(off):
+        return 1.0, 0.0
+    inverse, square = 1 / np.maximum(size, 1), off ** 2
+    weight = 1 / (inverse + inverse.mean())  # the squares of short texts scatter more
+    x = np.stack([np.ones(len(off)), inverse], 1) * weight[:, None]
+    a, b = np.linalg.lstsq(x, square * weight, rcond=None)[0]
+    if b < 0:
+        a, b = square.mean(), 0.0
+    if a < 0:
+        a, b = 0.0, (square * inverse).sum() / (inverse ** 2).sum()
+    return float(a) + 1e-9, float(b)
+
+
+def train(docs: DataFrame, per_lang: int = 500, max_rows: int = 20_000, max_langs: int = 1000) -> Model:
+    """Fit on about ``per_lang`` documents of each language, ``max_rows`` in all.
+
+    The sample is drawn by a hash of the text among rows that are not held out
+    and have a language and a text; copies count once. With many languages
+    each gets max_rows / languages; beyond ``max_langs`` languages the most
+    frequent ones are learnt (ties by name). Only n-gram counts reach the
+    driver.
     """
     pool = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang") \
         .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.trim("text") != "")
                & ~is_held_out(F.col("doc_id")))
-    share = pool.groupBy("lang").agg((F.lit(float(per_lang)) / F.count("*")).alias("share")) \
-        .orderBy(F.col("share"), "lang").limit(1000).collect()
-    spot = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(7)), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for r in share:
-        chosen = chosen | ((F.col("lang") == r["lang"]) & (spot < int(min(1.0, r["share"]) * (1 << 30))))
-    picked = pool.where(chosen).select("doc_id", "lang", "text").limit(max_rows)
-    got = map_batches(picked.select("lang", "text"), _count_features, "lang string, ids array<int>, counts array<int>") \
+    many = pool.groupBy("lang").agg(F.approx_count_distinct(F.xxhash64("text")).alias("many")).orderBy(F.col("many").desc(), "lang").limit(max_langs)
+    many = [(r["lang"], r["many"]) for r in many.collect()]
+    each = min(per_lang, max_rows // max(1, len(many)))
+    share = docs.sparkSession.createDataFrame([(c, min(1.0, each / max(1, n))) for c, n in many], "lang string, share double")
+    spot = F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) / (1 << 30)
+    picked = pool.join(F.broadcast(share), "lang").where(spot < F.col("share")).select("lang", "text").distinct()
+    got = map_batches(picked, _count_features, "lang string, ids array<int>, counts array<int>") \
         .toArrow()
     rows = list(zip(got.column("lang").to_pylist(),
                     [np.asarray(x.values) for c in got.column("ids").chunks for x in c],
@@ -251,14 +305,15 @@ def _classifier():
                 p = m.probabilities(logits + m.bias)
                 best = p.argmax(1)
                 if m.usual is not None:
-                    usual[lo:lo + n] = np.bincount(rows, m.usual[ids, best[rows]], n) / np.maximum(count, 1)
+                    mean = np.bincount(rows, m.usual[ids, best[rows]], n) / np.maximum(count, 1)
+                    usual[lo:lo + n] = m.familiarity(mean, count) - m.unfamiliar_below[best]
                 langs[lo:lo + n] = np.array(m.langs, object)[best]
                 scores[lo:lo + n] = p.max(1)
             for i in range(lo, lo + n):
                 text = data[off[i]:off[i + 1]]
                 if not letters[text].any() and not has_letter(text.tobytes()):
                     langs[i], scores[i] = "und", 0.0
-        ok = (langs != "und") & (scores >= m.reject_below) & (usual >= m.unfamiliar_below)
+        ok = (langs != "und") & (scores >= m.reject_below) & (usual >= 0)
         return [pa.array(langs, pa.string()), pa.array(scores), pa.array(ok.astype(bool))]
 
     return classify

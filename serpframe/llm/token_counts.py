@@ -110,7 +110,7 @@ class Rollup:
             "doc_id", "source", "lang", F.lit(self.tokenizer.version).alias("tokenizer"),
             F.lit(1).cast("long").alias("n_docs"), "n_tokens", "n_bytes")
         held = self.current(batch)
-        taken = held.join(one.select("doc_id"), "doc_id", "left_semi").select(
+        taken = held.join(change.select("doc_id"), "doc_id", "left_semi").select(
             "doc_id", *KEYS, *[(-F.col(c)).alias(c) for c in SUMS])
         self._replace("rows", batch, added.unionByName(taken))
         mine = self.rows().where(F.col("batch") == batch)

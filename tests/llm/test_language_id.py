@@ -79,3 +79,37 @@ def test_a_language_left_out_is_rejected(spark):
         model = language_id.train(make(spark, [r for r in corpus() if r[2] != left]))
         got = language_id.predict(make(spark, [(i, text(left, 30, 900 + i)) for i in range(20)]), model).collect()
         assert not any(r.accepted for r in got)
+
+
+def test_the_stated_loss_holds_at_every_size(spark):
+    """Fresh rows of learned languages that are predicted rightly but rejected: about 0.5 % at most, with few rows too."""
+    fresh = [(10_000 + i, text(("aa", "bb", "cc")[i % 3], 5 + i % 60, 10_000 + i), ("aa", "bb", "cc")[i % 3]) for i in range(3000)]
+    docs = make(spark, fresh)
+    langs = {i: c for i, _, c in fresh}
+    for n in (20, 100, 1000):
+        rows = [(i, text(("aa", "bb", "cc")[i % 3], 5 + i % 60, i), ("aa", "bb", "cc")[i % 3]) for i in range(n * 4 // 3)]
+        got = language_id.predict(docs, language_id.train(make(spark, rows))).collect()
+        right = [r for r in got if r.lang_pred == langs[r.doc_id]]
+        assert np.mean([not r.accepted for r in right]) <= 0.008, n
+
+
+def test_lowest_needs_rows_for_its_loss():
+    rng = np.random.default_rng(2)
+    assert language_id.lowest(rng.normal(size=7), 0.005) == -np.inf
+    for n in (20, 100, 1000, 5000):
+        below = [np.mean(rng.normal(size=4000) < language_id.lowest(rng.normal(size=n), 0.005)) for _ in range(40)]
+        assert np.mean(below) <= 0.0055
+
+
+def test_many_languages_share_the_sample(spark):
+    rows = [(i, f"w{i} x{i % 50}", f"l{i % 50:02d}") for i in range(1000)]
+    model = language_id.train(make(spark, rows), max_rows=400)
+    assert len(model.langs) == 50  # about eight rows of each, drawn by a hash
+    assert len(language_id.train(make(spark, rows), max_langs=3).langs) == 3
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    rows = corpus() + [(1000 + i, "ba da ga", "aa") for i in range(2000)]
+    model = language_id.train(make(spark, rows), per_lang=300)
+    got = language_id.predict(make(spark, [(1, text("aa", 40, 5)), (2, text("bb", 40, 6))]), model).collect()
+    assert [r.lang_pred for r in sorted(got)] == ["aa", "bb"]
