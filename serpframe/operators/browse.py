@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from serpframe.operators.ordered import in_order, total_order
 from serpframe.options import SearchOptions
-from serpframe.session import scratch_path
 
 
 def filter_results(df: DataFrame, text: str | None, cols: Sequence[str] = ("query", "title", "url")) -> DataFrame:
@@ -22,30 +22,38 @@ def filter_results(df: DataFrame, text: str | None, cols: Sequence[str] = ("quer
     return df.filter(cond)
 
 
-def page_results(df: DataFrame, page: int, per_page: int = 100, order: Sequence[str] = ()) -> DataFrame:
-    """Rows of one page (1-based) in ``order``; the slice is the feature.
+def ranged_pages(df: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``df`` in sorted ranges, written once, for ``page_of``: keep it to turn many pages."""
+    return in_order(df, total_order(df, order), "pages")
+
+
+def page_of(ranged: DataFrame, page: int, per_page: int = 100) -> DataFrame:
+    """Rows of one page (1-based) of ``ranged_pages``, in order; reads the ranges that hold them only."""
+    skip = (max(1, int(page)) - 1) * per_page
+    sizes = ranged.groupBy(F.shiftright("_at", 33).alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect()
+    before, held = 0, F.lit(False)
+    for r in sizes:  # a row for each range
+        lo, hi = max(skip, before) - before, min(skip + per_page, before + r["n"]) - before
+        if lo < hi:
+            held = held | F.col("_at").between((r["part"] << 33) + lo, (r["part"] << 33) + hi - 1)
+        before += r["n"]
+    return ranged.where(held).orderBy("_at").drop("_at", "_chunk")
 
-    A first page is a top-k. For a page further on, the rows are ranged by
-    ``order`` into sorted partitions and written once; the partitions are
-    counted and only those that hold rows of the page are read on, so no task
-    orders the rows of all pages before it.
+
+def page_results(df: DataFrame, page: int, per_page: int = 100, order: Sequence[str] = ()) -> DataFrame:
+    """Rows of one page (1-based) in ``order``, which must name a column; the slice is the feature.
+
+    Rows that tie in ``order`` are ordered by their other columns, so the pages
+    together are the table, each row once. A first page is a top-k. For a
+    page further on, the rows are ranged into sorted partitions and written
+    once; the partitions are counted and only those that hold rows of the page
+    are read on, so no task orders the rows of all pages before it. To turn
+    many pages, keep ``ranged_pages`` and take ``page_of`` it.
     """
     page = max(1, int(page))
-    skip = (page - 1) * per_page
     if page <= 10:
-        return df.orderBy(*order).offset(skip).limit(per_page)
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order) \
-        .withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
-    path = scratch_path(df.sparkSession, "pages")
-    ranged.write.parquet(path)  # sampled ranges differ between runs
-    ranged = df.sparkSession.read.parquet(path)
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
-    w = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
-    starts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
-    rank = F.col("_before") + F.col("_at") - F.col("_first")
-    return (ranged.join(F.broadcast(starts.filter((F.col("_before") < skip + per_page)
-                                                  & (F.col("_before") + F.col("_n") > skip))), "_part")
-            .filter((rank >= skip) & (rank < skip + per_page)).select(*df.columns).orderBy(*order))
+        return df.orderBy(*total_order(df, order)).offset((page - 1) * per_page).limit(per_page)
+    return page_of(ranged_pages(df, order), page, per_page)
 
 
 def total_pages(df: DataFrame, per_page: int = 100) -> DataFrame:

@@ -7,9 +7,10 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from serpframe.operators.ordered import CHUNK_ROWS, in_order, orderable
 from serpframe.options import SearchOptions
 
 
@@ -88,6 +89,46 @@ def cache_misses(requests: DataFrame, responses: DataFrame, ttl_seconds: int, no
     return requests.join(live_responses(responses, ttl_seconds, now, key, ts).select(key), key, "left_anti")
 
 
+def cache_lookup_asof(requests: DataFrame, responses: DataFrame, ttl_seconds: int, key: str = "request_key",
+                      ts: str = "ts", fetched: str = "fetched_at", payload: Sequence[str] = (),
+                      chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Every request with the response that the cache held when it was made.
+
+    That is the last response of its key fetched at or before the request's own
+    time. Columns ``fetched`` and ``payload`` come from it, ``age_s`` is the
+    age in whole seconds, ``served`` whether that is within the TTL; else the
+    new columns are null and the request is a miss. A request without key or
+    time is a miss; of responses fetched at one time the greatest payload
+    counts.
+
+    Requests and responses are one table in the order of key and time, cut
+    into chunks. In a chunk the last response is carried forward by a window;
+    what a chunk is entered with is carried over one row a key and chunk. So a
+    key with a third of all rows is many groups, and nothing is joined by key
+    alone.
+    """
+    held = F.struct(F.col(fetched).alias("at"), *[F.col(c) for c in payload])
+    stored = responses.where(F.col(key).isNotNull() & F.col(fetched).isNotNull()) \
+        .select(F.col(key).alias("_key"), F.col(fetched).alias("_ts"), F.lit(0).alias("_kind"), held.alias("_held"))
+    asked = requests.select(F.col(key).alias("_key"), F.col(ts).alias("_ts"), F.lit(1).alias("_kind"),
+                            F.struct(*requests.columns).alias("_row"))
+    both = asked.unionByName(stored, allowMissingColumns=True)
+    last = F.col("_held") if orderable(both.schema["_held"].dataType) else F.to_json("_held")
+    line = in_order(both, ["_key", "_ts", "_kind", last], "asof", chunk_rows)
+    inside = Window.partitionBy("_key", "_chunk").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy("_key").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = line.groupBy("_key", "_chunk").agg(F.expr("max_by(_held, _at) filter (where _kind = 0)").alias("_left")) \
+        .select("_key", "_chunk", F.last("_left", ignorenulls=True).over(before).alias("_entered")) \
+        .where("_key is not null and _entered is not null")
+    found = line.withColumn("_held", F.last("_held", ignorenulls=True).over(inside)).where("_kind = 1") \
+        .join(carried, ["_key", "_chunk"], "left").withColumn("_held", F.coalesce("_held", "_entered"))
+    age = _epoch_s(F.col("_ts")) - _epoch_s(F.col("_held.at"))
+    served = F.coalesce(age <= ttl_seconds, F.lit(False))
+    given = lambda c, name: F.when(served, c).alias(name)
+    return found.select("_row.*", given(F.col("_held.at"), fetched), *[given(F.col(f"_held.{c}"), c) for c in payload],
+                        given(age, "age_s"), served.alias("served"))
+
+
 # A chunk of a key's time line spans this many TTLs; a task holds the distinct
 # seconds of one chunk at most.
 CHUNK_TTLS = 64

@@ -61,7 +61,8 @@ select doc_id, concat('term ', cast(n as varchar(20))) as term, cast(floor(r / 1
  concat(text, case doc_id % 2 when 0 then '...' else '' end,
    case doc_id % 7 when 0 then concat(' ', cast((doc_id * 37) % 5000 as varchar(20)), ' followers')
      when 1 then ' 1,234 followers' when 2 then ' 2.5K connections' when 3 then ' 500+ connections'
-     when 4 then ' 1.234 seguidores' else '' end) as snippet,
+     when 4 then ' 1.234 seguidores' when 5 then ' followers 500+' when 6 then ' Connections: 2,5K + connections 7 M+'
+     else '' end) as snippet,
  case doc_id % 3 when 0 then text else null end as og_description,
  case doc_id % 5 when 0 then concat(text, ' and more') else null end as twitter_description,
  case n % 3 when 1 then '0' when 2 then 'n/a' else '175' end as total_results
@@ -100,6 +101,12 @@ from v_raw""",
     "v_requests": """
 select event_id as request_id, ts, user_id as request_key,
  case when event_type = 'error' then 0 else 1 end as ok
+from events""",
+    # Requests of several units, some of none, of less than none, or of an unknown number.
+    "v_unit_requests": """
+select event_id as request_id, ts, case when event_type = 'error' then 0 else 1 end as ok,
+ cast(case event_id % 13 when 0 then 0 when 1 then -1 when 2 then null when 3 then 37 when 4 then 90
+  else event_id % 7 + 1 end as bigint) as units
 from events""",
     "v_error_bodies": """
 select event_id, case event_id % 5 when 3 then 500 when 2 then 403 else 429 end as http_status,

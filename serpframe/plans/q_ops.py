@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from serpframe.operators import compose, dedup, flatten, metrics, requests
+from serpframe.operators import admission, compose, dedup, flatten, metrics, requests
 from serpframe.options import SearchOptions
 from serpframe.plans import duck as D
 from serpframe.plans.fixtures import view, with_views
@@ -83,6 +83,24 @@ def q_cache_misses(spark, sf):
     return requests.cache_misses(_req_keys(spark, sf), _responses(spark, sf), TTL, _cache_now())
 
 
+@register("cache_lookup_asof", with_views(
+    f"""select request_id, case when served then fetched_at end as fetched_at, case when served then response_id end as response_id,
+  case when served then age end as age_s, served
+from (select *, coalesce(age <= {TTL}, false) as served from (
+  select q.request_id, s.ts as fetched_at, s.response_id,
+    cast(floor(epoch(q.ts)) - floor(epoch(s.ts)) as bigint) as age
+  from v_requests q asof left join (
+    select request_key, ts, max(request_id) as response_id from v_requests where ok = 1 and request_id % 3 = 0 group by all) s
+  on q.request_key = s.request_key and q.ts >= s.ts))""", "v_requests"))
+def q_cache_lookup_asof(spark, sf):
+    """Every request of the log against the responses that a third of it brought."""
+    log = _log(spark, sf)
+    kept = log.where("ok = 1 and request_id % 3 = 0").select("request_key", F.col("ts").alias("fetched_at"),
+                                                             F.col("request_id").alias("response_id"))
+    return requests.cache_lookup_asof(log, kept, TTL, payload=["response_id"]) \
+        .select("request_id", "fetched_at", "response_id", "age_s", "served")
+
+
 @register("ttl_refetch_filter", with_views(
     f""", secs as (select distinct request_key, cast(floor(epoch(ts)) as bigint) as sec from v_requests),
 chain(request_key, sec) as (
@@ -124,6 +142,23 @@ def q_quota_gate(spark, sf):
     return _day_text(metrics.quota_gate(_log(spark, sf), QUOTA))
 
 
+@register("quota_gate_units", with_views(
+    f""", r as (select *, cast(ts as date) as d, coalesce(units, 1) as n,
+    row_number() over (partition by cast(ts as date) order by ts, request_id) as rn from v_unit_requests),
+g(d, rn, before, used) as (
+  select d, 0, 0::bigint, 0::bigint from (select distinct d from r)
+  union all
+  select r.d, r.rn, g.used, g.used + case when r.ok = 1 and r.n > 0 and g.used + r.n <= {QUOTA} then r.n else 0 end
+  from g join r on r.d = g.d and r.rn = g.rn + 1)
+select request_id, strftime(g.d, '%Y-%m-%d') as day, units, before as used_before,
+  n < 0 or before + n <= {QUOTA} as accepted
+from g join r on r.d = g.d and r.rn = g.rn""", "v_unit_requests", recursive=True))
+def q_quota_gate_units(spark, sf):
+    """Requests of several units: a refused one leaves room for a smaller one."""
+    return _day_text(admission.quota_admission(view(spark, sf, "v_unit_requests"), QUOTA)) \
+        .select("request_id", "day", "units", "used_before", "accepted")
+
+
 @register("usage_level", with_views(
     f"""select *, case when percent >= 90 then 'danger' when percent >= 70 then 'warn' else 'ok' end as level,
   used >= quota as limit_reached

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from serpframe.operators import browse
@@ -111,6 +113,29 @@ def q_page_results_deep(spark, sf):
     return browse.page_results(q_flatten_organic(spark, sf), 51, 10, ("query", "page", "position"))
 
 
+_TIE_PAGES = (1, 10, 11, 12)
+
+
+def _ties_sql() -> str:
+    order = "query nulls first, page nulls first, position nulls first, fetched_at nulls first, title nulls first, url nulls first, " \
+        "displayed_url nulls first, snippet nulls first, connections_text nulls first, connections_count nulls first"
+    return (f"select page as result_page, position, url, connections_count, cast((rn - 1) // 7 + 1 as bigint) as turned "
+            f"from (select *, row_number() over (order by {order}) as rn from organic) "
+            f"where (rn - 1) // 7 + 1 in {_TIE_PAGES}")
+
+
+@register("page_results_ties", _organic_view(_ties_sql()))
+def q_page_results_ties(spark, sf):
+    """Pages in an order with many ties, before and after the change to ranges at page 10."""
+    rows = q_flatten_organic(spark, sf)
+    cols = [F.col("page").alias("result_page"), "position", "url", "connections_count"]
+    rows = rows.select("query", "page", "position", *[c for c in rows.columns if c not in ("query", "page", "position")])
+    kept = browse.ranged_pages(rows, ("query",))
+    turn = lambda n: browse.page_results(rows, n, 7, ("query",)) if n <= 10 else browse.page_of(kept, n, 7)
+    pages = [turn(n).select(*cols, F.lit(n).cast("bigint").alias("turned")) for n in _TIE_PAGES]
+    return reduce(lambda a, b: a.unionByName(b), pages)
+
+
 @register("total_pages", _organic_view(
     "select cast(greatest(1, ceil(count(*) / 100.0)) as bigint) as total_pages from organic"))
 def q_total_pages(spark, sf):

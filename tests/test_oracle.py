@@ -1,6 +1,7 @@
 """Registered queries against their DuckDB oracles on the smallest tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as E
@@ -26,7 +27,9 @@ def _rows(pdf):
     for rec in pdf[cols].itertuples(index=False, name=None):
         row = []
         for v in rec:
-            if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) in ("NaT", "<NA>"):
+            if isinstance(v, np.ndarray):
+                row.append(repr(v.tolist()))
+            elif v is None or (isinstance(v, float) and math.isnan(v)) or str(v) in ("NaT", "<NA>"):
                 row.append(None)
             elif isinstance(v, float) and v.is_integer():
                 row.append(int(v))

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from serpframe.operators import dedup, metrics, requests, results
@@ -104,3 +105,20 @@ def test_quota_errors(spark):
     got = {r.id: r for r in results.parse_quota_errors(df).collect()}
     assert got[1].is_quota_error and got[1].quota_limit_value == "100" and got[1].help_links == ["u1", "u2"]
     assert not got[2].is_quota_error and not got[3].is_quota_error
+
+
+def test_all_pages_together_are_the_table(spark):
+    from serpframe.operators import browse
+    rows = [(i % 3, None if i % 11 == 0 else f"t{i % 7}", {"k": str(i)}, [i % 2]) for i in range(130)]
+    rows += rows[:20]  # equal rows too
+    df = spark.createDataFrame(rows, "a int, t string, m map<string,string>, l array<int>")
+    kept = browse.ranged_pages(df, ("a",))
+    by_page, by_range = [], []
+    for n in range(1, 17):
+        if n in (1, 9, 10, 11, 12):
+            by_page.append((n, [str(r) for r in browse.page_results(df, n, 10, ("a",)).collect()]))
+        by_range.append([str(r) for r in browse.page_of(kept, n, 10).collect()])
+    assert sorted(x for p in by_range for x in p) == sorted(str(r) for r in df.collect())
+    assert all(got == by_range[n - 1] for n, got in by_page)
+    with pytest.raises(ValueError):
+        browse.page_results(df, 1, 10)
