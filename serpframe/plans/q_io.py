@@ -299,12 +299,23 @@ def _run(query_df, spark, name, keys=()):
     """Run a streaming query with availableNow and read back what it wrote:
     in append mode, or with ``keys`` in update mode, merged by key."""
     out = scratch_path(spark, f"{name}-out")
-    w = query_df.writeStream.option("checkpointLocation", scratch_path(spark, f"{name}-ckpt")).trigger(availableNow=True)
-    if keys:
-        w.foreachBatch(K.merge_sink(out)).outputMode("update").start().awaitTermination()
-        return K.merged(spark, out, keys)
-    w.format("parquet").option("path", out).outputMode("append").start().awaitTermination()
-    return spark.read.parquet(out)
+    _go(query_df, out, scratch_path(spark, f"{name}-ckpt"), keys)
+    return K.merged(spark, out, keys) if keys else spark.read.parquet(out)
+
+
+def _go(query_df, out, checkpoint, keys=()):
+    w = query_df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    w = w.foreachBatch(K.merge_sink(out)).outputMode("update") if keys else w.format("parquet").option("path", out).outputMode("append")
+    w.start().awaitTermination()
+
+
+def _in_slices(spark, df, ts, cuts, name, stream, out):
+    """Write ``df`` in slices of time and run the query over each, from the same checkpoint every time."""
+    src, checkpoint = scratch_path(spark, f"{name}-src"), scratch_path(spark, f"{name}-ckpt")
+    for lo, hi in zip([None, *cuts], [*cuts, None]):
+        part = df.where((F.lit(True) if lo is None else F.col(ts) >= lo) & (F.lit(True) if hi is None else F.col(ts) < hi))
+        part.write.mode("append").parquet(src)
+        _go(stream(spark.readStream.schema(df.schema).parquet(src)), out, checkpoint)
 
 
 @register("stream_organic", with_views(
@@ -342,8 +353,47 @@ def q_stream_daily_usage(spark, sf):
 
 @register("stream_ttl_refetch", ORACLES["ttl_refetch_filter"])  # that of its batch twin
 def q_stream_ttl_refetch(spark, sf):
-    stream = _stream_src(spark, sf, "stream-log", "v_requests")
-    return _run(K.stream_ttl_refetch(stream, "request_key", "ts", TTL, "request_id"), spark, "stream-ttl")
+    """The log in three slices of time, the query started anew from its checkpoint for each."""
+    out = scratch_path(spark, "stream-ttl-out")
+    with K.rocksdb_state(spark):
+        _in_slices(spark, view(spark, sf, "v_requests"), "ts", ["2024-01-10", "2024-01-20"], "stream-ttl",
+                   lambda log: K.stream_ttl_refetch(log, "request_key", "ts", TTL, "request_id", columns=["ok"]), out)
+    return spark.read.parquet(out)
+
+
+def _closed(df, ts):
+    """A row long after all others, so that the watermark passes them; without a partner it is never sent."""
+    end = df.agg(F.max_by(F.struct(*df.columns), F.col(ts)).alias("r")).select("r.*")
+    return df.unionByName(end.withColumn(ts, F.col(ts) + F.expr("interval 30 days"))
+                          .withColumn("request_key", F.lit(-1).cast(df.schema["request_key"].dataType)))
+
+
+def _cache_streams(spark, sf):
+    log = view(spark, sf, "v_requests")
+    kept = log.where("ok = 1 and request_id % 3 = 0").select("request_key", F.col("ts").alias("fetched_at"),
+                                                             F.col("request_id").alias("response_id"))
+    streams = []
+    for df, ts, name in ((log, "ts", "asked"), (kept, "fetched_at", "stored")):
+        src = scratch_path(spark, f"stream-{name}")
+        _closed(df, ts).write.parquet(src)
+        streams.append(spark.readStream.schema(df.schema).parquet(src))
+    return streams
+
+
+@register("stream_cache_lookup", ORACLES["cache_lookup_asof"])  # that of its batch twin
+def q_stream_cache_lookup(spark, sf):
+    asked, stored = _cache_streams(spark, sf)
+    out = _run(K.stream_cache_lookup(asked, stored, TTL, payload=["response_id"]), spark, "stream-cache")
+    return out.select("request_id", "fetched_at", "response_id", "age_s", "served")
+
+
+@register("stream_cache_misses", with_views(
+    f"""select request_id from v_requests q where not exists (
+  select 1 from v_requests s where s.ok = 1 and s.request_id % 3 = 0 and s.request_key = q.request_key and s.ts <= q.ts
+    and floor(epoch(q.ts)) - floor(epoch(s.ts)) <= {TTL})""", "v_requests"))
+def q_stream_cache_misses(spark, sf):
+    asked, stored = _cache_streams(spark, sf)
+    return _run(K.stream_cache_misses(asked, stored, TTL), spark, "stream-misses").select("request_id")
 
 
 @register("stream_job_status", with_views(_JOB, "v_job_events"))
