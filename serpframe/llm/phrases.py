@@ -37,10 +37,12 @@ PIECE_END = np.zeros(256, bool)
 PIECE_END[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 GAP = PIECE_END.copy()
 GAP[[0x20, 0x09]] = True
-#: Distinct phrases that a task holds before it sends them on.
-HELD = 300_000
+#: Bytes of text whose phrases a task counts before it sends them on; a longer text is counted by itself.
+COUNTED = 1 << 20
 _NEVER = 255
-_ROWS = "lang string, k int, phrase string, c long"
+_ROWS = "lang string, phrase string, c long"
+#: Words of a phrase.
+_K = "length(phrase) - length(replace(phrase, ' ', '')) + 1"
 
 
 def _lang_marks(langs: pa.Array) -> np.ndarray:
@@ -73,7 +75,8 @@ class _Grams:
 
     def runs(self, at: np.ndarray, k: int) -> np.ndarray:
         """Hash of the k words from each word in ``at`` on, by language."""
-        return tb.mix(tb.range_hash(self.hash, at, at + k) ^ self.mark[at])
+        h = self.hash[at] if k == 1 else tb.range_hash(self.hash, at, at + k)
+        return tb.mix(h ^ self.mark[at])
 
     def text(self, at: np.ndarray, k: int) -> pa.Array:
         if self.strings is None:
@@ -86,24 +89,22 @@ class _Grams:
 
 
 class Reached:
-    """When phrases reached the threshold: first and last step for each slot."""
+    """When phrases reached the threshold: first and last step for each slot, in the bytes of one number."""
 
     def __init__(self, bits: int):
         self.mask = np.uint64((1 << bits) - 1)
-        self.first = np.full(1 << bits, _NEVER, np.uint8)
-        self.last = np.zeros(1 << bits, np.uint8)
+        self.steps = np.full(1 << bits, _NEVER, np.uint16)  # last step in the upper byte, first in the lower
 
     def slots(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return (h & self.mask).astype(np.int64), ((h >> np.uint64(32)) & self.mask).astype(np.int64)
 
     def add(self, slots: np.ndarray, step: int) -> None:
-        self.first[slots] = np.minimum(self.first[slots], step)
-        self.last[slots] = step
+        self.steps[slots] = np.minimum(self.steps[slots] & 0xFF, step) | step << 8
 
     def span(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        a, b = self.slots(h)
-        return np.maximum(self.first[a], self.first[b]).astype(np.int16), \
-            np.minimum(self.last[a], self.last[b]).astype(np.int16)
+        """The latest first step and the earliest last step of the two slots of each hash."""
+        a, b = (self.steps[x] for x in self.slots(h))
+        return np.maximum(a & 0xFF, b & 0xFF), np.minimum(a >> 8, b >> 8)
 
 
 def _active(g: _Grams, reached: Reached, step: int, shards: int, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -120,7 +121,7 @@ def _active(g: _Grams, reached: Reached, step: int, shards: int, longest: int) -
         both = np.flatnonzero((at[1:] == at[:-1] + 1) & (g.piece[at[:-1]] == g.piece[np.minimum(at[:-1] + k - 1, len(g.piece) - 1)]))
         if not len(both):
             return
-        until = np.maximum(last[both], last[both + 1]) + shards
+        until = np.maximum(last[both], last[both + 1]) + np.uint16(shards)
         at = at[both]
         h = g.runs(at, k)
         on = step <= until
@@ -128,45 +129,30 @@ def _active(g: _Grams, reached: Reached, step: int, shards: int, longest: int) -
             yield k, at[on], h[on]
 
 
-def _merged(tables: list[pa.Table]) -> pa.Table:
-    return pa.concat_tables(tables).group_by(["lang", "k", "phrase"], use_threads=False).aggregate([("c", "sum")]) \
-        .rename_columns(["lang", "k", "phrase", "c"])
-
-
 def _counter(reached, step: int, shards: int, longest: int):
-    """Counts of the active phrases of a task's rows, and under k = 0 of all words."""
+    """Counts of the active phrases of a task's rows, a stretch of text at a time; of all words under the empty phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.Table] = []
-        seen = base = 0
         for batch in batches:
             lang, text = batch.column(0), batch.column(1)
             marks = _lang_marks(lang)
-            for w in tb.chunks(text, lower=True, space=GAP):
+            for w in tb.chunks(text, lower=True, limit=COUNTED, space=GAP):
                 if not len(w.start):
                     continue
                 own = lang.slice(w.lo, w.hi - w.lo)
                 if step < shards:
-                    held.append(pa.table({"lang": own, "k": pa.array(np.zeros(len(own), np.int32)),
-                                          "phrase": pa.array([""] * len(own)), "c": pa.array(w.count.astype(np.int64))}))
+                    yield pa.RecordBatch.from_arrays([own, pa.array([""] * len(own)), pa.array(w.count.astype(np.int64))],
+                                                     names=["lang", "phrase", "c"])
                 g = _Grams(w, marks)
                 for k, at, h in _active(g, reached.value, step, shards, longest):
                     _, first, which, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
-                    second = g.check(at, k)
-                    if (second != second[first][which]).any():  # two phrases of one hash
+                    again = np.flatnonzero(count[which] > 1)
+                    second = g.check(at[again], k)
+                    if (second != g.check(at[first[which[again]]], k)).any():  # two phrases of one hash
                         first, count = np.arange(len(at)), np.ones(len(at), np.int64)
-                    held.append(pa.table({"lang": own.take(pa.array(w.row[at[first]])),
-                                          "k": pa.array(np.full(len(first), k, np.int32)),
-                                          "phrase": g.text(at[first], k), "c": pa.array(count.astype(np.int64))}))
-                    seen += len(first)
-                if seen > base + HELD:
-                    held = [_merged(held)]
-                    seen = base = held[0].num_rows
-                    if base > HELD:
-                        yield from held[0].combine_chunks().to_batches(max_chunksize=20_000)
-                        held, seen, base = [], 0, 0
-        if held:
-            yield from _merged(held).combine_chunks().to_batches(max_chunksize=20_000)
+                    yield pa.RecordBatch.from_arrays(
+                        [own.take(pa.array(w.row[at[first]])), g.text(at[first], k), pa.array(count.astype(np.int64))],
+                        names=["lang", "phrase", "c"])
 
     return run
 
@@ -186,7 +172,7 @@ def _slots_of(reached: Reached):
     return run
 
 
-def frequent(docs: DataFrame, least: int = 100, longest: int = 5, shards: int = 4, slot_bits: int = 22) -> DataFrame:
+def frequent(docs: DataFrame, least: int = 100, longest: int = 5, shards: int = 2, slot_bits: int = 22) -> DataFrame:
     """lang, k, phrase, c of every phrase of up to ``longest`` words that occurs ``least`` times in its language.
 
     Rows with k = 0 hold the number of all words of a language (if it has
@@ -205,40 +191,44 @@ def frequent(docs: DataFrame, least: int = 100, longest: int = 5, shards: int =
         shard = spark.read.schema("lang string, text string, shard int").parquet(place).where(F.col("shard") == step % shards)
         sent = spark.sparkContext.broadcast(reached)
         new = map_batches(shard.select("lang", "text"), _counter(sent, step, shards, longest), _ROWS) \
-            .select("lang", "k", "phrase", F.lit(0).cast("long").alias("c"), F.col("c").alias("more"), F.lit(0).alias("met"),
-                    F.lit(None).cast("int").alias("at"), F.lit(step).alias("last"))
+            .select("lang", "phrase", F.lit(0).cast("long").alias("c"), F.col("c").alias("more"), F.lit(0).cast("long").alias("info"))
         if state is not None:
-            new = state.withColumn("more", F.lit(0).cast("long")).select(new.columns).unionByName(new)
+            new = state.select("lang", "phrase", "c", F.lit(0).cast("long").alias("more"), "info").unionByName(new)
+        # info: step of reaching the threshold + 1, step of the last count + 1, a bit for each shard that is counted
         bit = 1 << (step % shards)
-        fresh = (F.col("more") > 0) & (F.col("met").bitwiseAND(F.lit(bit)) == 0)
-        new = new.groupBy("lang", "k", "phrase") \
-            .agg(F.sum("c").alias("c"), F.sum("more").alias("more"), F.max("met").alias("met"), F.max("at").alias("at"),
-                 F.max("last").alias("last")) \
-            .withColumn("c", F.col("c") + F.when(fresh, F.col("more")).otherwise(0)) \
-            .withColumn("met", F.when(fresh, F.col("met").bitwiseOR(F.lit(bit))).otherwise(F.col("met"))) \
-            .withColumn("at", F.coalesce("at", F.when(F.col("c") >= least, F.lit(step)))) \
-            .drop("more")
-        over = (F.col("last") <= step - shards) | ((F.col("k") == 1) & F.lit(step >= shards - 1))
-        new = new.where((F.col("c") >= least) | (F.col("k") == 0) | ~over)  # what ended its cycle below the threshold goes
+        at, last, met = (F.expr(x) for x in ("shiftright(info, 48)", "shiftright(info, 32) & 65535", "info & 4294967295"))
+        fresh = (F.col("more") > 0) & (met.bitwiseAND(F.lit(bit)) == 0)
+        new = new.groupBy("lang", "phrase").agg(F.sum("c").alias("c"), F.sum("more").alias("more"), F.max("info").alias("info")) \
+            .select("lang", "phrase", (F.col("c") + F.when(fresh, F.col("more")).otherwise(0)).alias("c"),
+                    F.when(F.col("more") > 0, F.lit(step + 1)).otherwise(last).alias("last"), at.alias("at"),
+                    F.when(fresh, met.bitwiseOR(F.lit(bit))).otherwise(met).alias("met"))
+        over = F.col("last") <= step + 1 - shards
+        if step >= shards - 1:
+            over = over | (F.instr("phrase", " ") == 0)  # words have run since the first step
+        reach = F.when(F.col("at") > 0, F.col("at")).when(F.col("c") >= least, F.lit(step + 1)).otherwise(0)
+        new = new.where((F.col("c") >= least) | (F.col("phrase") == "") | ~over) \
+            .select("lang", "phrase", "c", (F.shiftleft(reach.cast("long"), 48) + F.shiftleft(F.col("last").cast("long"), 32)
+                                            + F.col("met")).alias("info"))  # what ended its cycle below the threshold is gone
         to = scratch_path(spark, "phrase-counts")
         new.write.parquet(to)
         state = spark.read.schema(new.schema).parquet(to)
         if held:
             remove_folder(spark, held)
         held = to
-        got = map_batches(state.where(f"at = {step} and k between 1 and {longest - 1}").select("lang", "phrase"),
-                          _slots_of(reached), "slot int").distinct().toArrow()  # at most all slots
+        got = map_batches(state.where(f"shiftright(info, 48) = {step + 1} and phrase <> '' and {_K} < {longest}")
+                          .select("lang", "phrase"), _slots_of(reached), "slot int").distinct().toArrow()  # at most all slots
         if got.num_rows:
             reached.add(got.column("slot").to_numpy(), step)
             until = max(until, step + shards)
         sent.destroy()
         step += 1
     remove_folder(spark, place)
-    return state.where((F.col("c") >= least) | (F.col("k") == 0)).select("lang", "k", "phrase", "c")
+    return state.where((F.col("c") >= least) | (F.col("phrase") == "")) \
+        .select("lang", F.expr(f"cast(if(phrase = '', 0, {_K}) as int)").alias("k"), "phrase", "c")
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, percent: int = 100, top: int = 2000,
-                 shards: int = 4, slot_bits: int = 22) -> DataFrame:
+                 shards: int = 2, slot_bits: int = 22) -> DataFrame:
     """The ``top`` phrases of each language: lang, rank, phrase, a, l, r, n, score.
 
     A phrase of 2 to ``longest`` words scores floor(1000 * a * n / (l * r)) at
