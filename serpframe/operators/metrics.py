@@ -191,7 +191,13 @@ def run_summary(queries: DataFrame, results: DataFrame, hash_col: str = "normali
 
 
 def log_rollup(logs: DataFrame) -> DataFrame:
-    """Log lines per logger, action, status and level; missing context is ``-``."""
+    """Log lines per logger, action, status and level; missing context is ``-``. Broken lines are left out."""
     dash = [F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("-")).alias(c)
             for c in ("logger", "action", "status", "level")]
-    return logs.select(*dash).groupBy("logger", "action", "status", "level").agg(F.count(F.lit(1)).alias("n"))
+    whole = logs.where(F.col("broken").isNull()) if "broken" in logs.columns else logs
+    return whole.select(*dash).groupBy("logger", "action", "status", "level").agg(F.count(F.lit(1)).alias("n"))
+
+
+def log_quality(logs: DataFrame) -> DataFrame:
+    """One row: lines, those that are broken, and those with keys beyond the known ones."""
+    return logs.agg(F.count(F.lit(1)).alias("lines"), F.count("broken").alias("broken"), F.count("extra").alias("with_extra"))

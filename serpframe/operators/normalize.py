@@ -123,6 +123,11 @@ def normalize_ai_overview(raw) -> Column:
     return F.coalesce(json_truthy(r["aiOverview"]), json_truthy(r["ai_overview"]))
 
 
+def typed_ai_overview(raw) -> Column:
+    """The AI overview as a VARIANT, which keeps the type of all that is nested in it; null for broken JSON."""
+    return F.try_parse_json(normalize_ai_overview(raw))
+
+
 def normalize_record(raw) -> Column:
     """The unified record of one raw record."""
     return F.struct(

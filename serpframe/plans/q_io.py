@@ -10,7 +10,7 @@ import os
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from serpframe.operators import compose, dedup, flatten, metrics, results
+from serpframe.operators import compose, dedup, flatten, metrics, results, rollups
 from serpframe.plans import duck as D
 from serpframe.plans.fixtures import view, with_views
 from serpframe.plans.inputs import landed_pages
@@ -19,9 +19,11 @@ from serpframe.plans.q_results import _CANDS, _M, _WEB, _deduped, _g2_sql
 from serpframe.plans.q_text import _DUCK_AUDIT
 from serpframe.plans.registry import OPTS, ORACLES, now_col, register
 from serpframe.session import scratch_path
+from serpframe.sinks import audit_log
 from serpframe.sinks import writers as W
 from serpframe.sources import queries as SQ
 from serpframe.sources import responses as SR
+from serpframe.sources.json_list import read_json_elements
 from serpframe.streaming import streams as K
 
 def _composed(cells: str, src: str) -> str:
@@ -103,6 +105,26 @@ def q_read_queries_json_list(spark, sf):
     return _documents(spark, sf, "json-list", F.col("els"))
 
 
+@register("read_queries_json_split", _ELEMENTS)
+def q_read_queries_json_split(spark, sf):
+    """The lists again, by the reader that cuts files at element borders."""
+    path = scratch_path(spark, "json-split")
+    _grouped(spark, sf).select(F.col("els").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    return SQ.read_queries_json_list(spark, path).select("original_input")
+
+
+@register("read_json_elements", with_views(
+    """select '["a, ' || p_name || ' \\" ] {", {"k": [' || element || ', [1, ""]]}]' as element from v_json_rows""", "v_json_rows"))
+def q_read_json_elements(spark, sf):
+    """Nested elements with commas, quotes and brackets inside strings."""
+    path = scratch_path(spark, "json-nested")
+    rows = view(spark, sf, "v_json_rows").withColumn("slice", F.floor(F.col("p_partkey") / DOCUMENT_ROWS))
+    nested = F.concat(F.lit('["a, '), "p_name", F.lit(' \\" ] {", {"k": ['), "element", F.lit(', [1, ""]]}]'))
+    rows.groupBy("slice").agg(F.concat(F.lit(" [\n"), F.array_join(F.collect_list(nested), "\n,"), F.lit("]\n")).alias("value")) \
+        .select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_json_elements(spark, path).select("element")
+
+
 @register("read_queries_json_keyed", _ELEMENTS)
 def q_read_queries_json_keyed(spark, sf):
     return _documents(spark, sf, "json-keyed", F.concat(
@@ -156,27 +178,58 @@ def q_read_responses(spark, sf):
 _LOGS = """select 'app' as logger, outcome as action,
   case outcome when 'done' then 'success' when 'duplicate' then 'skipped' else 'fail' end as status,
   case outcome when 'done' then 'INFO' when 'duplicate' then 'INFO' else 'WARNING' end as level,
-  cast(job_id as varchar) as query_id, n_results as items_count, event_id from v_job_events"""
+  cast(job_id as varchar) as query_id, n_results as items_count, event_id,
+  case when event_id % 6 = 0 then event_id / 4.0 end as ratio
+  from v_job_events where event_id % 50 <> 7"""
 
 
 def _logs(spark, sf):
+    """The job events as log lines with nested extras; every fiftieth line is cut short."""
     path = scratch_path(spark, "logs")
     o = F.col("outcome")
-    view(spark, sf, "v_job_events").select(
+    detail = F.struct((F.col("event_id") / 4.0).cast("decimal(20,2)").alias("ratio"), F.array(o, F.lit("x,y")).alias("tags"),
+                      (F.col("event_id") % 2 == 0).alias("even"))
+    line = F.to_json(F.struct(
         F.lit("app").alias("logger"), o.alias("action"),
         F.when(o == "done", "success").when(o == "duplicate", "skipped").otherwise("fail").alias("status"),
         F.when(o.isin("done", "duplicate"), "INFO").otherwise("WARNING").alias("level"),
         F.col("job_id").cast("string").alias("query_id"), F.col("n_results").alias("items_count"),
-        "event_id").write.json(path)
+        "event_id", F.when(F.col("event_id") % 6 == 0, detail).alias("detail")))
+    view(spark, sf, "v_job_events").select(F.when(F.col("event_id") % 50 == 7, F.substring(line, 1, 27)).otherwise(line).alias("value")) \
+        .write.text(path)
     return SR.read_log_events(spark, path)
 
 
 @register("read_log_events", with_views(
-    f"select query_id, action, items_count, cast(event_id as varchar) as event_id from ({_LOGS})", "v_job_events"))
+    f"""select query_id, action, items_count, event_id, cast(ratio as double) as ratio, null as broken from ({_LOGS})
+union all select null, null, null, null, null, '{{"logger":"app","action":"' || substr(outcome, 1, 1)
+from v_job_events where event_id % 50 = 7""", "v_job_events"))
 def q_read_log_events(spark, sf):
-    """Known keys typed, any other key from ``extra``."""
+    """Known keys typed, other keys by path and type from ``extra``, broken lines kept."""
     return _logs(spark, sf).select("query_id", "action", "items_count",
-                                   F.try_element_at("extra", F.lit("event_id")).alias("event_id"))
+                                   F.try_variant_get("extra", "$.event_id", "bigint").alias("event_id"),
+                                   F.try_variant_get("extra", "$.detail.ratio", "double").alias("ratio"), "broken")
+
+
+@register("log_extras", with_views(
+    """select event_id, key, kind, second_tag, even from (
+  select event_id, 'event_id' as key, 'BIGINT' as kind, null as second_tag, null as even from v_job_events
+  union all
+  select event_id, 'detail', 'OBJECT', 'x,y', event_id % 2 = 0 from v_job_events where event_id % 6 = 0)
+where event_id % 50 <> 7""", "v_job_events"))
+def q_log_extras(spark, sf):
+    """The extras of each line by key, with their JSON types and what is nested in them."""
+    logs = _logs(spark, sf)
+    spread = SR.extra_fields(logs.withColumn("event_id", F.try_variant_get("extra", "$.event_id", "bigint")))
+    return spread.select("event_id", "key", "kind", F.try_variant_get("value", "$.tags[1]", "string").alias("second_tag"),
+                         F.try_variant_get("value", "$.even", "boolean").alias("even"))
+
+
+@register("log_quality", with_views(
+    "select count(*) as lines, count(*) filter (event_id % 50 = 7) as broken, count(*) filter (event_id % 50 <> 7) as with_extra "
+    "from v_job_events", "v_job_events"))
+def q_log_quality(spark, sf):
+    return metrics.log_quality(_logs(spark, sf))
 
 
 @register("log_rollup", with_views(
@@ -185,6 +238,19 @@ def q_log_rollup(spark, sf):
     return metrics.log_rollup(_logs(spark, sf))
 
 
+# Some statuses are missing here, so a null key and a total over the key stand side by side.
+_SET_LOGS = f"select logger, action, nullif(status, 'skipped') as status, level, items_count from ({_LOGS})"
+
+
+@register("log_rollup_sets", with_views(
+    f"""select logger, action, status, level, cast(grouping(logger, action, status, level) as bigint) as grouping_id,
+  count(*) as n, cast(sum(items_count) as bigint) as items from ({_SET_LOGS})
+group by grouping sets ((logger, action, status, level), (logger, level), (action, status), (level), ())""", "v_job_events"))
+def q_log_rollup_sets(spark, sf):
+    logs = _logs(spark, sf).where("broken is null").withColumn("status", F.nullif("status", F.lit("skipped")))
+    return rollups.log_rollup_sets(logs)
+
+
 # ------------------------------------------------------------------ sinks: write, read back
 
 def _organic(spark, sf):
@@ -280,6 +346,20 @@ def q_write_query_audit(spark, sf):
                        run.cast("bigint").alias("run"))
 
 
+@register("append_audit", with_views(
+    f"""select a.*, t.batch from (select input_row_id, original_input, final_query, normalized_query_hash,
+  input_row_id > min(input_row_id) over (partition by normalized_query_hash) as deduplicated from ({_DUCK_AUDIT})) a,
+  (values ('run-1'), ('run-2')) t(batch)""", "v_queries"))
+def q_append_audit(spark, sf):
+    """Two batches; the second is run again, and a third is written but never committed."""
+    path = scratch_path(spark, "audit-log")
+    audit = dedup.query_audit(view(spark, sf, "v_queries"), OPTS, now_col())
+    for batch in ("run-1", "run-2", "run-2"):
+        audit_log.append_audit(audit, path, batch)
+    audit_log.stage_audit(audit, path, "run-3")
+    return audit_log.read_audit(spark, path, audit.schema).drop("timestamp")
+
+
 @register("write_unified_snapshot", with_views(
     f""", {_M}
 select position, nullif(title, '') as title, nullif(url, '') as url, snip as snippet

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from serpframe.operators import admission, compose, dedup, flatten, metrics, requests
+from serpframe.operators import admission, compose, dedup, flatten, metrics, requests, rollups, spans
 from serpframe.options import SearchOptions
 from serpframe.plans import duck as D
 from serpframe.plans.fixtures import view, with_views
@@ -13,6 +13,7 @@ from serpframe.plans.inputs import raw_records
 from serpframe.plans.q_results import _M, _deduped
 from serpframe.plans.q_text import _DUCK_AUDIT, FINAL_SUBQUERIES_SQL
 from serpframe.plans.registry import NOW, OPTS, SITES, now_col, register
+from serpframe.session import scratch_path
 
 TTL = 86400
 # The cache is looked at late on the last day of the event log.
@@ -159,6 +160,73 @@ def q_quota_gate_units(spark, sf):
         .select("request_id", "day", "units", "used_before", "accepted")
 
 
+@register("usage_cube", with_views(
+    "select strftime(day, '%Y-%m-%d') as day, ok, cast(grouping(day, ok) as bigint) as grouping_id, count(*) as n "
+    "from (select cast(ts as date) as day, ok from v_requests) group by cube (day, ok)", "v_requests"))
+def q_usage_cube(spark, sf):
+    return _day_text(rollups.usage_cube(_log(spark, sf)))
+
+
+_SKETCH_RANGES = (("2024-01-01", "2024-01-07"), ("2024-01-05", "2024-01-20"), ("2024-01-01", "2024-01-31"), ("2025-01-01", "2025-01-02"))
+
+
+@register("daily_sketches", with_views(
+    " union all ".join(
+        f"select '{a}' as first_day, '{b}' as last_day, count(*) as n, true as within "
+        f"from v_requests where cast(ts as date) between date '{a}' and date '{b}'" for a, b in _SKETCH_RANGES)
+    + f" union all select 'both', 'both', 0, true", "v_requests"))
+def q_daily_sketches(spark, sf):
+    """Distinct requests of ranges of days from merged daily sketches; ``within``: four standard errors of the exact count.
+
+    The log comes in two batches, the second of them twice.
+    """
+    log = _log(spark, sf)
+    kept = rollups.DailySketches(spark, scratch_path(spark, "sketches"))
+    for batch, part in ((1, log.where("request_id % 2 = 0")), (2, log.where("request_id % 2 = 1")), (2, log.where("request_id % 2 = 1"))):
+        kept.add(batch, part, "request_id")
+    day = F.to_date("ts")
+    in_range = lambda a, b: day.between(F.lit(a).cast("date"), F.lit(b).cast("date"))
+    exact = log.agg(*[F.count_distinct(F.when(in_range(a, b), F.col("request_id"))).alias(f"c{k}") for k, (a, b) in enumerate(_SKETCH_RANGES)],
+                    F.count_distinct(F.when(in_range("2024-01-05", "2024-01-07"), F.col("request_id"))).alias("both"))
+    exact = exact.select(F.explode(F.array(*[F.struct(F.lit(a).alias("first_day"), F.lit(b).alias("last_day"), F.col(f"c{k}").alias("exact"))
+                                             for k, (a, b) in enumerate(_SKETCH_RANGES)],
+                                           F.struct(F.lit("both").alias("first_day"), F.lit("both").alias("last_day"),
+                                                    F.col("both").alias("exact")))).alias("x")).select("x.*")
+    ranges = kept.distinct(_SKETCH_RANGES).select(F.date_format("first_day", "yyyy-MM-dd").alias("first_day"),
+                                                  F.date_format("last_day", "yyyy-MM-dd").alias("last_day"), "n", "distinct")
+    # ids that both of the first two ranges hold; its error is that of the larger of them
+    both = kept.in_both(*_SKETCH_RANGES[:2]).select(F.lit("both").alias("first_day"), F.lit("both").alias("last_day"),
+                                                    F.lit(0).cast("bigint").alias("n"), F.col("in_both").cast("bigint").alias("distinct"))
+    near = F.abs(F.col("distinct") - F.col("exact")) <= F.lit(4 * kept.relative_error) * F.greatest("exact", F.lit(1)) \
+        * F.when(F.col("first_day") == "both", 6).otherwise(1)
+    return ranges.unionByName(both).join(F.broadcast(exact), ["first_day", "last_day"]).select("first_day", "last_day", "n", near.alias("within"))
+
+
+_SPANS = """spans as (
+  select job_id, min(ts) as start_at, max(ts) + interval 600 seconds as end_at, count(*) as errors from (
+    select *, sum(new) over (partition by job_id order by ts, event_id) as session from (
+      select *, case when lag(ts) over (partition by job_id order by ts, event_id) >= ts - interval 600 seconds then 0 else 1 end as new
+      from v_job_events where outcome = 'quota_error'))
+  group by job_id, session)"""
+
+
+@register("quota_spans", with_views(f", {_SPANS} select * from spans", "v_job_events"))
+def q_quota_spans(spark, sf):
+    return spans.quota_spans(view(spark, sf, "v_job_events"), 600)
+
+
+@register("events_in_incidents", with_views(
+    f""", {_SPANS}, wide as (
+  select job_id as incident_job, start_at, case when job_id % 40 = 1 then end_at + interval 9 days else end_at end as end_at from spans)
+select event_id, incident_job, start_at from v_job_events join wide on ts between start_at and end_at""", "v_job_events"))
+def q_events_in_incidents(spark, sf):
+    """All events during each quota incident, of any job; some incidents last for days."""
+    events = view(spark, sf, "v_job_events")
+    far = F.when(F.col("job_id") % 40 == 1, F.expr("end_at + interval 9 days")).otherwise(F.col("end_at"))
+    wide = spans.quota_spans(events, 600).select(F.col("job_id").alias("incident_job"), "start_at", far.alias("end_at"))
+    return spans.points_in_spans(events.select("event_id", "ts"), wide).select("event_id", "incident_job", "start_at")
+
+
 @register("usage_level", with_views(
     f"""select *, case when percent >= 90 then 'danger' when percent >= 70 then 'warn' else 'ok' end as level,
   used >= quota as limit_reached

@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from serpframe.functions import followers as FO
 from serpframe.functions import numbers as N
 from serpframe.functions import snippets as SN
+from serpframe.functions import sql as sql_functions
 from serpframe.operators import dedup, flatten, normalize, results
 from serpframe.plans import duck as D
 from serpframe.plans.fixtures import view, with_views
 from serpframe.plans.inputs import landed_pages, mapped_to_raw, raw_records
-from serpframe.plans.registry import NOW, OPTS, now_col, register
+from serpframe.plans.registry import NOW, OPTS, SITES, now_col, register
+from serpframe.session import scratch_path
 
 PER_PAGE = 10
 
@@ -273,6 +275,56 @@ def q_normalize_ai_overview(spark, sf):
     return r.select("doc_id", normalize.normalize_ai_overview("raw").alias("ai_overview"))
 
 
+@register("typed_ai_overview", with_views(
+    f"""select doc_id, case when json_type(v) = 'OBJECT' then 'OBJECT' when json_type(v) = 'ARRAY' then 'ARRAY' end as kind,
+  json_extract_string(v, '$.text') as text, cast(json_extract(v, '$.alt') as bigint) as alt
+from (select doc_id, coalesce({_truthy('ai_main')}, {_truthy('ai_alt')}) as v from v_raw_flat)""", "v_raw_flat"))
+def q_typed_ai_overview(spark, sf):
+    """The overview as a variant: written, read back, and read by path and type."""
+    typed = _raw(spark, sf).select("doc_id", normalize.typed_ai_overview("raw").alias("v"))
+    path = scratch_path(spark, "ai-overview")
+    typed.write.parquet(path)
+    v = spark.read.schema(typed.schema).parquet(path)
+    return v.select("doc_id", F.regexp_extract(F.schema_of_variant("v"), "^[A-Z]+", 0).alias("kind"),
+                    F.try_variant_get("v", "$.text", "string").alias("text"), F.try_variant_get("v", "$.alt", "bigint").alias("alt"))
+
+
+# ------------------------------------------------------------------ SQL functions (2.L)
+
+def _sql(spark, df, expression):
+    """``expression`` over the temporary SQL functions."""
+    sql_functions.register(spark)
+    return df.select("id", F.expr(expression).alias("out"))
+
+
+@register("sql_clean_query", with_views(f"select input_row_id as id, {D.clean_query('original_input')} as out from v_queries", "v_queries"))
+def q_sql_clean_query(spark, sf):
+    return _sql(spark, view(spark, sf, "v_queries").withColumnRenamed("input_row_id", "id"), "clean_query(original_input)")
+
+
+@register("sql_normalize_query", with_views(
+    f"select input_row_id as id, {D.normalize_query('original_input', SITES)} as out from v_queries", "v_queries"))
+def q_sql_normalize_query(spark, sf):
+    sites = ", ".join(f"'{s}'" for s in SITES)
+    return _sql(spark, view(spark, sf, "v_queries").withColumnRenamed("input_row_id", "id"), f"normalize_query(original_input, array({sites}))")
+
+
+@register("sql_extract_followers", with_views(
+    f"select id, f.followersText || '|' || f.followersCount as out from (select doc_id as id, {D.extract_followers('snippet')} as f from v_items)",
+    "v_items"))
+def q_sql_extract_followers(spark, sf):
+    items = view(spark, sf, "v_items").select(F.col("doc_id").alias("id"), "snippet")
+    out = _sql(spark, items, "extract_followers(snippet)")
+    return out.select("id", F.concat("out.followersText", F.lit("|"), F.col("out.followersCount").cast("string")).alias("out"))
+
+
+@register("sql_parse_human_number", with_views(
+    f"select doc_id as id, {D.parse_human_number('position', "substr('kMb', cast(doc_id % 4 as int) + 1, 1)")} as out from v_raw", "v_raw"))
+def q_sql_parse_human_number(spark, sf):
+    raw = view(spark, sf, "v_raw").select(F.col("doc_id").alias("id"), "position")
+    return _sql(spark, raw, "parse_human_number(position, substr('kMb', cast(id % 4 as int) + 1, 1))")
+
+
 # ------------------------------------------------------------------ 2.G and the web path
 
 def _g2_sql(src: str, text_expr: str, count_expr: str, missing: str, cands: list[str]) -> str:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from serpframe.functions import text as T
 from serpframe.operators.compose import compose_queries, merge_columns
+from serpframe.sources.json_list import read_json_elements
 
 # ---------------------------------------------------------------- fixed values
 # Texts pandas reads as missing by default (its documented ``na_values``).
@@ -95,6 +96,24 @@ def _elements(text):
                        lambda e: F.struct(e["kind"].alias("kind"), e["text"].alias("text")))
 
 
+def _from_text(df, value: str, what: str):
+    """Queries from rows whose column ``value`` is the text of one JSON value."""
+    v = F.try_parse_json(F.col(value))
+    kind = F.when(T.strip(value) == "", "VOID").when(v.isNull(), F.raise_error(
+        F.concat(F.lit(f"not {what}: "), F.substring(value, 1, 80)))).otherwise(_kind(v))
+    text = F.when(kind == "OBJECT", F.col(value)).otherwise(F.try_variant_get(v, "$", "string"))
+    return (df.select("input_row_id", kind.alias("kind"), text.alias("text"))
+            .select("input_row_id", _element(F.col("kind"), F.col("text")).alias("original_input"))
+            .filter(F.col("original_input").isNotNull()))
+
+
+def read_queries_json_list(spark: SparkSession, path: str) -> DataFrame:
+    """Queries from JSON lists of any size, each file one list: the first shape
+    of ``read_queries_json``, with the same rows, but a file is read by as many
+    tasks as it has splits. Other shapes and broken JSON are errors."""
+    return _from_text(read_json_elements(spark, path), "element", "a JSON element")
+
+
 def read_queries_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """Queries from JSON.
 
@@ -103,18 +122,12 @@ def read_queries_json(spark: SparkSession, path: str, lines: bool = False) -> Da
     object of other lists and strings (all their values in order; values of
     other types are passed over). Anything else, and broken JSON, is an error.
     A whole document is one value, so large inputs should be JSON Lines
-    (``lines=True``: one scalar or object per line), which split. JSON nulls
-    are dropped.
+    (``lines=True``: one scalar or object per line) or go through
+    ``read_queries_json_list``, which split. JSON nulls are dropped.
     """
     if lines:
         df = with_input_order(spark.read.text(path))
-        v = F.try_parse_json(F.col("value"))
-        kind = F.when(T.strip("value") == "", "VOID").when(v.isNull(), F.raise_error(F.concat(F.lit("not a JSON line: "), F.substring("value", 1, 80)))) \
-            .otherwise(_kind(v))
-        text = F.when(kind == "OBJECT", F.col("value")).otherwise(F.try_variant_get(v, "$", "string"))
-        return (df.select("input_row_id", kind.alias("kind"), text.alias("text"))
-                .select("input_row_id", _element(F.col("kind"), F.col("text")).alias("original_input"))
-                .filter(F.col("original_input").isNotNull()))
+        return _from_text(df, "value", "a JSON line")
     docs = with_input_order(spark.read.option("wholetext", True).text(path))
     doc = F.col("value")
     docs = docs.select("input_row_id", "value", _kind(F.try_parse_json(doc)).alias("kind"),

@@ -88,7 +88,7 @@ def test_empty_result_tables_leave_no_folder(spark, tmp_path):
 def test_log_lines_keep_other_keys(spark, tmp_path):
     (tmp_path / "log").write_text('{"action": "a", "page": 2, "total_results": "n/a", "mine": {"k": 1}}\n{"action": "b"}\n')
     got = SR.read_log_events(spark, str(tmp_path / "log")).orderBy("action").collect()
-    assert got[0].page == 2 and got[0].total_results == "n/a" and got[0].extra == {"mine": '{"k":1}'}
+    assert got[0].page == 2 and got[0].total_results == "n/a" and got[0].extra.toPython() == {"mine": {"k": 1}}
     assert got[1].extra is None
 
 
