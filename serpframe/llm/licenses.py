@@ -3,16 +3,25 @@
 A paragraph is a line of a text, or neighbouring lines that hold a notice
 together which none of them holds alone (a wrapped notice). Its features are the hashed words and word
 pairs (letters and digits, lower-cased). A sparse logistic regression, one
-weight vector per licence family and one for "none", is trained in numpy on
-the notices below (whole, cut, with words dropped, and inside other words) and
+weight vector per licence family, one for licences of no family ("unknown")
+and one for "none", is trained in numpy on
+the notices below (whole, cut, with words dropped, and inside other words), on
+notices of other licences and
 on paragraphs without a licence: invented ones and a bounded sample of the
-corpus. On a part that training never sees, a limit is fixed below which a
-paragraph that is not "none" is "unknown". A family is confirmed when the
-paragraph holds enough of the word pairs of one of the family's notices.
+corpus. On a part that training never sees, the limit is fixed below which a
+family is "unknown" after all: where right families kept and other licences
+rejected are most, on licences whose names training has not seen.
+
+The comparison with the notices confirms a predicted family. A feature counts
+the more, the fewer families' notices hold it; of those that one family alone
+holds, most must be there. A notice that is denied ("is not licensed under")
+is never confirmed. An SPDX identifier is read whole and settles its line.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,41 +40,104 @@ NONE, UNKNOWN = "none", "unknown"
 NOTICES = {
     "apache": ("Licensed under the Apache License, Version 2.0.",
                "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-               "compliance with the License.", "SPDX-License-Identifier: Apache-2.0"),
+               "compliance with the License."),
     "gpl": ("This work is licensed under the GNU General Public License, version 3.",
             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
-            "Public License as published by the Free Software Foundation.", "SPDX-License-Identifier: GPL-3.0-or-later"),
+            "Public License as published by the Free Software Foundation."),
+    "lgpl": ("This work is licensed under the GNU Lesser General Public License, version 3.",
+             "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+             "General Public License as published by the Free Software Foundation."),
+    "agpl": ("This work is licensed under the GNU Affero General Public License, version 3.",
+             "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+             "General Public License as published by the Free Software Foundation."),
     "mit": ("Released under the MIT License.", "This project is licensed under the terms of the MIT license.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-            "associated documentation files", "SPDX-License-Identifier: MIT"),
+            "associated documentation files"),
+    "isc": ("Released under the ISC License.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+            "hereby granted"),
     "bsd": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-            "that the following conditions are met", "Distributed under the BSD 3-Clause License.",
-            "SPDX-License-Identifier: BSD-3-Clause"),
-    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-            "SPDX-License-Identifier: MPL-2.0"),
+            "that the following conditions are met", "Distributed under the BSD 3-Clause License."),
+    "mpl": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",),
+    "epl": ("This program and the accompanying materials are made available under the terms of the Eclipse Public "
+            "License v2.0",),
     "cc-by": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 "
               "International License."),
     "cc-by-sa": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons "
                  "Attribution-ShareAlike 4.0 International License."),
     "cc-by-nc": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons "
                  "Attribution-NonCommercial 4.0 International License."),
+    "cc-by-nd": ("Licensed under CC BY-ND 4.0.", "This work is licensed under a Creative Commons "
+                 "Attribution-NoDerivatives 4.0 International License."),
+    "cc-by-nc-sa": ("Licensed under CC BY-NC-SA 4.0.", "This work is licensed under a Creative Commons "
+                    "Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    "cc-by-nc-nd": ("Licensed under CC BY-NC-ND 4.0.", "This work is licensed under a Creative Commons "
+                    "Attribution-NonCommercial-NoDerivatives 4.0 International License."),
     "cc0": ("Dedicated to the public domain under CC0 1.0 Universal.",
             "To the extent possible under law, the author has waived all copyright and related rights to this work."),
     "reserved": ("All rights reserved.", "Copyright (c) 2020 Example Company. All rights reserved.",
                  "No part of this publication may be reproduced without written permission of the publisher."),
 }
-# Sentences near the subject that are no licence, and licences of no family above.
+# How the SPDX identifiers of each family read, lower-cased.
+SPDX = {
+    "apache": r"apache-\d.*", "gpl": r"gpl-\d.*", "lgpl": r"lgpl-\d.*", "agpl": r"agpl-\d.*", "mit": r"mit", "isc": r"isc",
+    "bsd": r"bsd-\d.*", "mpl": r"mpl-\d.*", "epl": r"epl-\d.*", "cc-by": r"cc-by-\d.*", "cc-by-sa": r"cc-by-sa-\d.*",
+    "cc-by-nc": r"cc-by-nc-\d.*", "cc-by-nd": r"cc-by-nd-\d.*", "cc-by-nc-sa": r"cc-by-nc-sa-\d.*",
+    "cc-by-nc-nd": r"cc-by-nc-nd-\d.*", "cc0": r"cc0-\d.*",
+}
+# Sentences near the subject that are no licence.
 _PLAIN = ("You need a driving license to rent a car.", "The committee released the report under pressure.",
           "The public version of the general plan was permitted by law.", "All seats are reserved for guests.",
           "She studied at MIT before joining the foundation.", "The work is subject to approval by the board.")
-_OTHER = ("Licensed under the Example Community License, version 7.", "This file is covered by the Acme Source License.",
-          "Use of this work is governed by the Foobar Content Agreement.", "Distributed under the Widget Free License 1.2.")
+# How licences of no family above are named, and names: the last third of them calibrates only.
+_OTHER_FORMS = ("Licensed under the {}, version {}.", "This file is covered by the {}.", "Use of this work is governed by the {}.",
+                "Distributed under the {} {}.", "This work is licensed under the {}.", "Released under the {}.",
+                "You can redistribute it under the terms of the {}.", "This program is made available under the {}, v. {}.")
+_OTHER_NAMES = ("Boost Software License", "Academic Free License", "Zlib License", "Open Software License", "Acme Source License",
+                "Example Community License", "Foobar Content Agreement", "Widget Free License", "Common Public License",
+                "Artistic License", "European Union Public Licence", "Unlicense")
+# What denies a notice: one of these words right before one of those.
+_DENIALS = ("not", "never", "t", "longer", "nor", "neither", "cannot")
+_VERBS = ("licensed", "released", "distributed", "dedicated", "subject", "covered", "governed", "available", "under", "be")
+
+
+def _word(text: str) -> np.ndarray:
+    return next(tb.chunks(pa.array([text]), lower=True, space=tb.PUNCT)).hashes()
+
+
+def _pairs(firsts: tuple[str, ...], seconds: tuple[str, ...]) -> np.ndarray:
+    a, b = _word(" ".join(firsts)), _word(" ".join(seconds))
+    return np.sort(tb.mix((a[:, None] * np.uint64(3) + b[None, :]).ravel()))
+
+
+_DENIED = _pairs(_DENIALS, _VERBS)
+_SPDX_MARK = _pairs(("spdx",), ("license",))
 
 
-def paragraphs(col: pa.Array) -> Iterator[tuple[tb.Words, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def spdx_families(line: bytes) -> list[str]:
+    """Families of the SPDX expression in a lower-cased line, ``unknown`` for identifiers of none; empty without one."""
+    m = re.search(rb"spdx-license-identifier\s*:\s*(.*)", line)
+    if not m:
+        return []
+    out, expect, skip = [], True, False
+    for token in re.findall(rb"[a-z0-9][a-z0-9.+-]*", m[1]):
+        name = token.decode().rstrip(".")
+        if name in ("or", "and", "with"):
+            expect, skip = True, name == "with"
+        elif not expect:
+            break
+        else:
+            if not skip:
+                out.append(next((f for f, p in SPDX.items() if re.fullmatch(p, name)), UNKNOWN))
+            expect = skip = False
+    return list(dict.fromkeys(out))
+
+
+def paragraphs(col: pa.Array) -> Iterator[tuple[tb.Words, np.ndarray, np.ndarray, np.ndarray, tuple, list]]:
     """Words of each chunk, with the paragraph of each word and, by paragraph, its row, line number and features.
 
-    Yields (words, paragraph of each word, row, line, (features, paragraph of each, pair over the end of each)).
+    Yields (words, paragraph of each word, row, line, (features, paragraph of each, pair over the end of each),
+    (whether a notice is denied in each paragraph, whether it has an SPDX mark)).
     """
     for w in tb.chunks(col, lower=True, space=tb.PUNCT):
         breaks = np.cumsum(w.data == 10)
@@ -80,13 +152,15 @@ def paragraphs(col: pa.Array) -> Iterator[tuple[tb.Words, np.ndarray, np.ndarray
         feats = (np.concatenate([h, pair]) >> np.uint64(64 - BITS)).astype(np.int32)
         at = np.flatnonzero(new)[1:]
         over = (tb.mix(h[at - 1] * np.uint64(3) + h[at]) >> np.uint64(64 - BITS)).astype(np.int32)
-        yield w, para, w.row[new], line[new], (feats, np.concatenate([para, of]), over)
+        n = len(at) + 1 if len(h) else 0
+        marks = [np.bincount(of[np.isin(pair, known)], minlength=n) > 0 for known in (_DENIED, _SPDX_MARK)]
+        yield w, para, w.row[new], line[new], (feats, np.concatenate([para, of]), over), marks
 
 
 def _bags(texts: list[str]) -> list[np.ndarray]:
     """Distinct features of each text taken as one paragraph."""
     out: list[np.ndarray] = []
-    for w, _, _, _, (f, p, _) in paragraphs(pa.array([t.replace("\n", " ") for t in texts], pa.string())):
+    for w, _, _, _, (f, p, _), _ in paragraphs(pa.array([t.replace("\n", " ") for t in texts], pa.string())):
         row = np.searchsorted(w.first, np.arange(len(w.start)), side="right") - 1  # of each word
         first = np.full(int(p.max(initial=-1)) + 1, 0)
         first[p[:len(w.start)]] = row
@@ -97,24 +171,63 @@ def _bags(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+@dataclass
+class Notice:
+    family: int
+    features: np.ndarray
+    weight: np.ndarray  # one over the number of families whose notices hold the feature
+    own: np.ndarray  # whether this family alone holds it
+
+
 @dataclass
 class Model:
     families: list[str]
-    weight: np.ndarray  # features x (families + none)
+    weight: np.ndarray  # features x (families + unknown + none)
     bias: np.ndarray
     unknown_below: float
-    templates: list[tuple[int, np.ndarray]]  # family, features of a notice
+    templates: list[Notice]
     screen: np.ndarray  # features that make a paragraph worth scoring
 
 
-def examples(corpus: list[str], seed: int = 23) -> tuple[list[str], list[str]]:
-    """Training paragraphs and their classes; ``corpus``: paragraphs of the corpus, none of a licence for the most part."""
+def notices() -> list[Notice]:
+    bags = [(k, b) for k, texts in enumerate(NOTICES.values()) for b in _bags(list(texts))]
+    held = Counter(f for k in range(len(NOTICES)) for f in {x for j, b in bags if j == k for x in b.tolist()})
+    out = []
+    for k, b in bags:
+        many = np.array([held[x] for x in b.tolist()])
+        out.append(Notice(k, b, 1 / many, many == 1))
+    return out
+
+
+def others(names: tuple[str, ...], rng: np.random.Generator, draw) -> list[str]:
+    """Notices of other licences: those of ``names``, and as many by invented ones."""
+    out = []
+    for form in _OTHER_FORMS:
+        for name in names:
+            version = f"{rng.integers(1, 9)}.{rng.integers(0, 4)}"
+            out.append(form.format(name, version))
+            made = " ".join(w.capitalize() for w in draw(int(rng.integers(1, 3))))
+            out.append(form.format(f"{made} {name.split()[-1]}", version))
+    return out
+
+
+def examples(corpus: list[str], seed: int = 23) -> tuple[list[str], list[str], list[bool]]:
+    """Training paragraphs, their classes, and whether one calibrates only whatever its fold.
+
+    ``corpus``: paragraphs of the corpus, none of a licence for the most part.
+    """
     rng = np.random.default_rng(seed)
-    filler = [w for t in corpus[:2000] for w in t.split()][:50_000] or ["lorem", "ipsum", "dolor", "amet"]
+    filler = [w for t in corpus for w in t.split()] or ["lorem", "ipsum", "dolor", "amet"]
     draw = lambda n: [filler[i] for i in rng.integers(0, len(filler), n)]
-    text, mark = [], []
-    for family, notices in NOTICES.items():
-        for notice in notices:
+    text, mark, late = [], [], []
+
+    def add(t: list[str], m: str, calibrates: bool = False) -> None:
+        text.extend(t)
+        mark.extend([m] * len(t))
+        late.extend([calibrates] * len(t))
+
+    for family, texts in NOTICES.items():
+        for notice in texts:
             words = notice.split()
             for k in range(60):
                 part = list(words)
@@ -123,31 +236,27 @@ def examples(corpus: list[str], seed: int = 23) -> tuple[list[str], list[str]]:
                 if k % 3 == 2:
                     extra = draw(rng.integers(1, 12))
                     part = extra + part if k % 2 else part + extra
-                text.append(" ".join(part))
-                mark.append(family)
-    for sentence in _OTHER:
-        text += [sentence] * 5
-        mark += [UNKNOWN] * 5
-    for k in range(3000):
-        text.append(" ".join(draw(rng.integers(3, 40))))
-        mark.append(NONE)
-    for sentence in _PLAIN:
-        text += [sentence] * 20
-        mark += [NONE] * 20
+                add([" ".join(part)], family)
+    cut = 2 * len(_OTHER_NAMES) // 3
+    for names, calibrates in ((_OTHER_NAMES[:cut], False), (_OTHER_NAMES[cut:], True)):
+        for _ in range(3):
+            add(others(names, rng, draw), UNKNOWN, calibrates)
+    add([" ".join(draw(rng.integers(3, 40))) for _ in range(3000)], NONE)
+    add([t for t in _PLAIN for _ in range(20)], NONE)
     known = {w for n in NOTICES.values() for t in n for w in t.lower().split()}
-    clean = [t for t in corpus if sum(w.lower() in known for w in set(t.split())) < 4]
-    return text + clean[:3000], mark + [NONE] * len(clean[:3000])
+    add([t for t in corpus if sum(w.lower() in known for w in set(t.split())) < 4], NONE)
+    return text, mark, late
 
 
 def fit(corpus: list[str], epochs: int = 6, rate: float = 0.5, decay: float = 1e-5) -> Model:
     """Train by stochastic gradient descent; every fourth example calibrates."""
-    text, mark = examples(corpus)
+    text, mark, late = examples(corpus)
     bags = _bags(text)
-    classes = [*NOTICES, NONE]
-    y = np.array([classes.index(m) if m in classes else -1 for m in mark])
+    classes = [*NOTICES, UNKNOWN, NONE]
+    y = np.array([classes.index(m) for m in mark])
     rng = np.random.default_rng(2)
-    fold = rng.random(len(y)) < 0.25
-    train = np.flatnonzero(~fold & (y >= 0))
+    fold = (rng.random(len(y)) < 0.25) & (y != len(NOTICES)) | np.array(late)
+    train = np.flatnonzero(~fold)
     weight = np.zeros((1 << BITS, len(classes)), np.float32)
     bias = np.zeros(len(classes), np.float32)
     for epoch in range(epochs):
@@ -163,20 +272,23 @@ def fit(corpus: list[str], epochs: int = 6, rate: float = 0.5, decay: float = 1e
                 grad_b += p
                 weight[f] -= rate / (1 + epoch) ** 0.5 * p / np.sqrt(max(1, len(f))) + decay * weight[f]
             bias -= 0.02 * rate * grad_b / 16
-    templates = [(k, b) for k, (_, notices) in enumerate(NOTICES.items()) for b in _bags(list(notices))]
+    templates = notices()
     screen = np.zeros(1 << BITS, bool)
-    for _, b in templates:
-        screen[b] = True
+    for t in templates:
+        screen[t.features] = True
     screen |= weight[:, :-1].max(1) > weight[:, -1] + 0.5
     model = Model(list(NOTICES), weight, bias, 0.0, templates, screen)
-    right = []
+    right, wrong = [], []
     for i in np.flatnonzero(fold):
         p = probabilities(model, bags[i])
-        if p.argmax() == y[i] and p.argmax() < len(NOTICES):
+        if y[i] == len(NOTICES):
+            wrong.append(float(p[:-2].max()) if p.argmax() < len(NOTICES) else 0.0)
+        elif p.argmax() == y[i] < len(NOTICES):
             right.append(float(p.max()))
-    # the limit that keeps 99 % of what is recognised rightly
-    low = float(np.quantile(right, 0.01)) if right else 0.5
-    model.unknown_below = max(0.5, min(low, 0.95))
+    if right and wrong:
+        # where right families kept and other licences rejected are most
+        right, wrong, at = np.array(right), np.array(wrong), np.linspace(0.3, 0.95, 66)
+        model.unknown_below = float(at[np.argmax([(right >= t).mean() + (wrong < t).mean() for t in at])])
     return model
 
 
@@ -186,21 +298,41 @@ def probabilities(model: Model, bag: np.ndarray) -> np.ndarray:
     return p / p.sum()
 
 
-def judge(model: Model, bag: np.ndarray, confirm: float) -> tuple[str, float, float, bool] | None:
-    """(family, probability, share of the best notice held, confirmed), or None for no licence."""
+def compare(model: Model, bag: np.ndarray, least_own: float = 0.6) -> np.ndarray:
+    """The weighted share of its best notice that a paragraph holds, for each family.
+
+    0 for a notice of whose features that no other family's has fewer than ``least_own`` are there.
+    """
+    best = np.zeros(len(model.families))
+    for t in model.templates:
+        there = np.isin(t.features, bag, assume_unique=True)
+        if t.own.any() and there[t.own].mean() < least_own:
+            continue
+        best[t.family] = max(best[t.family], t.weight[there].sum() / t.weight.sum())
+    return best
+
+
+def judge(model: Model, bag: np.ndarray, confirm: float, denied: bool = False) -> tuple[str, float, float, bool] | None:
+    """(family, probability, share of its best notice held, confirmed), or None for no licence.
+
+    Confirmed is what the model predicts if no other family's notice is held
+    better. A prediction that the comparison contradicts is ``unknown``,
+    unless the model takes the better held family for likely too.
+    """
     p = probabilities(model, bag)
     k = int(p.argmax())
-    if k == len(model.families):
+    if k == len(model.families) + 1:
         return None
-    held = [(len(np.intersect1d(bag, t, assume_unique=True)) / len(t), f) for f, t in model.templates]
-    own = max(s for s, f in held if f == k)
-    best, f = max(held)
-    if own < confirm <= best:  # the comparison corrects a prediction that it contradicts
-        k, own = f, best
-    sure = own >= confirm
-    if not sure and p.max() < model.unknown_below:
-        return UNKNOWN, float(p.max()), own, False
-    return model.families[k], float(p[k]), own, sure
+    share = compare(model, bag)
+    top = int(share.argmax())
+    if top != k and share[top] >= confirm and p[top] >= 0.05:
+        k = top
+    if k == len(model.families) or share[top] > share[k] and share[top] >= confirm:
+        return UNKNOWN, float(p[k]), float(share[top]), False
+    sure = share[k] >= confirm and not denied
+    if not sure and p[k] < model.unknown_below:
+        return UNKNOWN, float(p[k]), float(share[k]), False
+    return model.families[k], float(p[k]), float(share[k]), bool(sure)
 
 
 def wrapped(model: Model, n_words: np.ndarray, follows: np.ndarray, feats: np.ndarray, of: np.ndarray,
@@ -213,7 +345,7 @@ def wrapped(model: Model, n_words: np.ndarray, follows: np.ndarray, feats: np.nd
     features (about two a word).
     """
     out = []
-    for _, notice in model.templates:
+    for notice in (t.features for t in model.templates):
         place = np.full(1 << BITS, -1)
         place[notice] = np.arange(len(notice))
         held = place[feats]
@@ -247,8 +379,10 @@ def wrapped(model: Model, n_words: np.ndarray, follows: np.ndarray, feats: np.nd
 def scan(docs: DataFrame, sample_rows: int = 400, least_held: int = 2, confirm: float = 0.7) -> DataFrame:
     """One row per licence paragraph: doc_id, line, family, probability, held, confirmed.
 
-    ``line`` counts from 0. ``sample_rows`` documents, drawn by a hash of their
-    text, give the corpus side of the training set (at most 20 lines of each).
+    ``line`` counts from 0. ``held`` is the share of the family's notice that
+    is there, 1 for an SPDX identifier; a line with identifiers of several
+    families gives a row for each. ``sample_rows`` documents, drawn by a hash of their
+    text, give the corpus side of the training set (at most 20 lines of each, of 2,000 characters at most).
     A paragraph is scored when it holds at least ``least_held`` features that
     speak for some family. Neighbouring lines that hold a notice only together
     give one confirmed row at the first of them in place of their own
@@ -260,7 +394,8 @@ def scan(docs: DataFrame, sample_rows: int = 400, least_held: int = 2, confirm:
     n = docs.count()
     spot = F.pmod(F.xxhash64("text"), F.lit(1 << 40))
     rows = docs.where(spot < int(min(1.0, sample_rows / max(1, n)) * (1 << 40))) \
-        .select(F.slice(F.split("text", "\n"), 1, 20).alias("lines")).limit(2 * sample_rows).collect()
+        .select(F.slice(F.filter(F.split("text", "\n"), lambda x: F.length(x) <= 2000), 1, 20).alias("lines")) \
+        .distinct().limit(2 * sample_rows).collect()
     corpus = sorted({line for r in rows for line in r["lines"] if line.strip()})
     sent = docs.sparkSession.sparkContext.broadcast(fit(corpus))
 
@@ -268,9 +403,15 @@ def scan(docs: DataFrame, sample_rows: int = 400, least_held: int = 2, confirm:
         model = sent.value
         for batch in batches:
             out = []
-            for w, para, row, line, (feats, of, over) in paragraphs(batch.column(1)):
+            for w, para, row, line, (feats, of, over), (denied, spdx) in paragraphs(batch.column(1)):
                 hit = model.screen[feats]
                 held = np.bincount(of[hit], minlength=len(row))
+                ends_at = np.searchsorted(para, np.arange(len(row) + 1))
+                for k in np.flatnonzero(spdx).tolist():
+                    given = spdx_families(w.data[w.start[ends_at[k]]:w.end[ends_at[k + 1] - 1]].tobytes())
+                    out += [(int(row[k]) + w.lo, int(line[k]), f, 1.0, 1.0, f != UNKNOWN) for f in given]
+                    if given:
+                        held[k] = 0
                 if not held.any():
                     continue
                 mine = held[of] > 0
@@ -280,7 +421,7 @@ def scan(docs: DataFrame, sample_rows: int = 400, least_held: int = 2, confirm:
                 ends = np.searchsorted(p, np.arange(len(row) + 1))
                 found = {}
                 for k in np.flatnonzero(held >= least_held).tolist():
-                    got = judge(model, np.unique(f[ends[k]:ends[k + 1]]), confirm)
+                    got = judge(model, np.unique(f[ends[k]:ends[k + 1]]), confirm, bool(denied[k]))
                     if got:
                         found[k] = got
                 follows = (np.diff(row) == 0) & (np.diff(line) == 1)
@@ -288,7 +429,8 @@ def scan(docs: DataFrame, sample_rows: int = 400, least_held: int = 2, confirm:
                 for _, _, a, b in wrapped(model, np.bincount(para, minlength=len(row)), follows, f, p, over, confirm):
                     if not taken.isdisjoint(range(a, b + 1)):
                         continue
-                    got = judge(model, np.unique(np.concatenate([f[ends[a]:ends[b + 1]], over[a:b]])), confirm)
+                    got = judge(model, np.unique(np.concatenate([f[ends[a]:ends[b + 1]], over[a:b]])), confirm,
+                                bool(denied[a:b + 1].any()))
                     inside = [k for k in range(a, b + 1) if k in found]
                     if not got or not got[3] or any(found[k][3] and found[k][0] == got[0] for k in inside):
                         continue

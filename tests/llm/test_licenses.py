@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import EDGE, make, words  # noqa: F401
 from serpframe.llm import licenses
@@ -11,7 +12,7 @@ def model():
 
 def test_held_out_accuracy(model):
     """Notices with words dropped and words around them that training has not seen."""
-    text, mark = licenses.examples([], seed=99)
+    text, mark, _ = licenses.examples([], seed=99)
     right = total = false = plain = 0
     for bag, want in zip(licenses._bags(text), mark):
         got = licenses.judge(model, bag, 0.7)
@@ -24,10 +25,67 @@ def test_held_out_accuracy(model):
     assert right / total > 0.95 and false / plain < 0.005
 
 
-def test_unknown_licences_are_not_confirmed(model):
-    for t in licenses._OTHER:
-        got = licenses.judge(model, licenses._bags([t])[0], 0.7)
-        assert got is None or not got[3]
+#: Licences of no family, under names that neither training nor calibration holds.
+OTHERS = ("Licensed under the Eiffel Forum License, version 2.", "This file is covered by the Sleepycat License.",
+          "This work is licensed under the GNU Free Documentation License, version 1.3.", "Distributed under the WTFPL.",
+          "Released under the Microsoft Public License.", "This font software is licensed under the SIL Open Font License, Version 1.1.",
+          "Use of this data is governed by the Open Database License.", "Licensed under the Python Software Foundation License, version 2.")
+
+
+def judged(model, text):
+    (_, _, _, _, _, (denied, _)), = licenses.paragraphs(pa.array([text]))
+    return licenses.judge(model, licenses._bags([text])[0], 0.7, bool(denied.any()))
+
+
+def test_other_licences_are_unknown(model):
+    got = [judged(model, t) for t in OTHERS]
+    assert all(g is None or not g[3] for g in got)
+    assert sum(g is not None and g[0] == licenses.UNKNOWN for g in got) >= 6
+
+
+@pytest.mark.parametrize("text,family", [
+    ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General "
+     "Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version.", "lgpl"),
+    ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General "
+     "Public License as published by the Free Software Foundation, either version 3 of the License.", "agpl"),
+    ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+     "License as published by the Free Software Foundation; either version 2 of the License, or any later version.", "gpl"),
+    ("Licensed under CC BY-ND 4.0.", "cc-by-nd"), ("Licensed under CC BY-NC-SA 4.0.", "cc-by-nc-sa"),
+    ("Licensed under CC BY 4.0.", "cc-by"), ("Licensed under CC BY-SA 4.0.", "cc-by-sa"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.", "cc-by-nc-nd"),
+    ("This work is licensed under the Creative Commons Attribution 4.0 International License.", "cc-by"),
+    ("Licensed under the Apache License, Version 2.0.", "apache"),
+])
+def test_near_families_are_told_apart(model, text, family):
+    got = judged(model, text)
+    assert got[0] == family and got[3]
+
+
+@pytest.mark.parametrize("text", [
+    "This file is not licensed under the Apache License, Version 2.0.",
+    "The tool was never released under the MIT License.", "It is no longer distributed under the BSD 3-Clause License.",
+    "This project isn't licensed under the terms of the MIT license."])
+def test_denied_notices_are_not_confirmed(model, text):
+    got = judged(model, text)
+    assert got is None or not got[3]
+
+
+@pytest.mark.parametrize("line,families", [
+    ("// SPDX-License-Identifier: ISC", ["isc"]), ("# SPDX-License-Identifier: LGPL-2.1-only", ["lgpl"]),
+    ("SPDX-License-Identifier: GPL-2.0-only", ["gpl"]), ("SPDX-License-Identifier: EPL-2.0", ["epl"]),
+    ("/* SPDX-License-Identifier: (MIT OR Apache-2.0) */", ["mit", "apache"]), ("SPDX-License-Identifier: MIT-0", ["unknown"]),
+    ("SPDX-License-Identifier: GPL-2.0+ WITH Classpath-exception-2.0", ["gpl"]), ("SPDX-License-Identifier: Zlib", ["unknown"]),
+    ("SPDX-License-Identifier: CC-BY-NC-SA-4.0 more words", ["cc-by-nc-sa"]), ("SPDX license identifiers are useful", []),
+    ("SPDX-License-Identifier:", [])])
+def test_spdx_identifiers_are_read_whole(spark, line, families):
+    assert licenses.spdx_families(line.lower().encode()) == families
+
+
+def test_spdx_lines_in_documents(spark, words):  # noqa: F811
+    rows = [(1, words(9, 1) + "\n * SPDX-License-Identifier: LGPL-2.1-only\n" + words(9, 2)),
+            (2, "SPDX-License-Identifier: Zlib"), (3, "SPDX-License-Identifier: MIT OR BSD-3-Clause")]
+    got = {(r.doc_id, r.line, r.family, r.confirmed) for r in licenses.scan(make(spark, rows)).collect()}
+    assert got == {(1, 1, "lgpl", True), (2, 0, "unknown", False), (3, 0, "mit", True), (3, 0, "bsd", True)}
 
 
 def test_scan_finds_the_lines(spark, words):  # noqa: F811
