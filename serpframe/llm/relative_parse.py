@@ -1,8 +1,12 @@
 """Substring dedup by relative Lempel-Ziv parsing (operator 3).
 
-Every document is parsed against the blocks of all documents with a smaller
-doc_id. A factor is a stretch of words that also stands in an earlier
-document; only factors of at least ``window`` words matter.
+Every document is parsed against reference blocks: the stretches of text in
+which windows of ``window`` words stand for the first time, that is in the
+smallest doc_id that holds them, at their first place there. A factor is a stretch of
+words of a document that stands word for word in one block; only factors of
+at least ``window`` words matter. Every window stands in the index once, so
+from where a factor starts there is one place in the reference to follow, and
+following it as far as the words agree gives the longest factor.
 
 1. One pass gives each document's word count, the SHA-256 of its words and
    its block anchors: of the ``window - SEED + 1`` seeds (``SEED`` words) in
@@ -11,12 +15,12 @@ document; only factors of at least ``window`` words matter.
 2. Documents with equal words need no parse: all but the smallest doc_id are
    one factor from end to end, and that one stands for them.
 3. Anchors found in two or more documents are the index of reference blocks.
-   Only windows whose anchor is in it can repeat; their 128-bit hashes with
-   the smallest doc_id that holds them tell where a factor can start.
+   Only windows whose anchor is in it can repeat; their 128-bit hashes give
+   the reference document and the place in it.
 4. Each document is factored greedily: a factor starts at the first position
-   whose window stands in an earlier document and runs while the following
-   windows stand in the same one. At its end the windows that straddle the
-   boundary are checked: one that stands in another earlier document starts
+   whose window is in the index and runs while the following windows follow
+   each other in the reference as well. At its end the windows that straddle
+   the boundary are checked: one that stands elsewhere in the reference starts
    the next factor before the first one ends.
 """
 
@@ -117,40 +121,39 @@ def _windows(window: int):
     return run
 
 
-def factors(at: np.ndarray, ref: np.ndarray, window: int) -> list[tuple[int, int, int]]:
-    """Greedy factors (start, length, reference doc_id) from the windows found.
+def factors(at: np.ndarray, ref: np.ndarray, ref_at: np.ndarray, window: int) -> list[tuple[int, int, int, int]]:
+    """Greedy factors (start, length, reference doc_id, place in it) from the windows found.
 
     ``at``: sorted starts of the windows that stand in an earlier document;
-    ``ref``: the smallest such doc_id.
+    ``ref`` and ``ref_at``: the smallest such doc_id and the place in it.
     """
     if not len(at):
         return []
     new = np.ones(len(at), bool)
-    new[1:] = (at[1:] != at[:-1] + 1) | (ref[1:] != ref[:-1])
+    new[1:] = (at[1:] != at[:-1] + 1) | (ref[1:] != ref[:-1]) | (ref_at[1:] != ref_at[:-1] + 1)
     lo = np.flatnonzero(new)
     hi = np.append(lo[1:], len(at)) - 1
-    return [(int(at[a]), int(at[b] - at[a]) + window, int(ref[a])) for a, b in zip(lo, hi)]
+    return [(int(at[a]), int(at[b] - at[a]) + window, int(ref[a]), int(ref_at[a])) for a, b in zip(lo, hi)]
 
 
-def _everywhere(h1: np.ndarray, h2: np.ndarray, at: np.ndarray, ref: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places of a row's windows that are found, from the first place of each."""
+def _everywhere(h1: np.ndarray, h2: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places of a row's windows that are found, from the first place of each, and which of them each is."""
     order = np.lexsort((h2, h1))
     new = np.ones(len(h1), bool)
     new[1:] = (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)
     code = np.empty(len(h1), np.int64)
     code[order] = np.cumsum(new) - 1
-    refs = np.zeros(len(h1), np.int64)
-    known = np.zeros(len(h1), bool)
-    refs[code[at]], known[code[at]] = ref, True
-    places = np.flatnonzero(known[code])
-    return places, refs[code[places]]
+    which = np.full(len(h1), -1)
+    which[code[at]] = np.arange(len(at))
+    places = np.flatnonzero(which[code] >= 0)
+    return places, which[code[places]]
 
 
 def _parse(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            hits, refs = batch.column("at"), batch.column("ref")
+            hits, refs, spots = (batch.column(c) for c in ("at", "ref", "ref_at"))
             whole = tb.texts(batch.column("text"))
             for w in tb.chunks(batch.column("text")):
                 n = max(0, len(w.start) - window + 1)
@@ -158,22 +161,22 @@ def _parse(window: int):
                 for r in range(w.hi - w.lo):
                     words = next(whole).split()
                     own = slice(w.first[r], max(w.first[r], w.first[r + 1] - window + 1))  # its windows
-                    at, ref = _everywhere(h1[own], h2[own], np.asarray(hits[w.lo + r].values),
-                                          np.asarray(refs[w.lo + r].values))
-                    found = factors(at, ref, window)
+                    first, ref, spot = (np.asarray(c[w.lo + r].values) for c in (hits, refs, spots))
+                    at, which = _everywhere(h1[own], h2[own], first)
+                    found = factors(at, ref[which], spot[which], window)
                     gone = np.zeros(len(words) + 1, np.int32)
-                    for start, length, _ in found:
+                    for start, length, *_ in found:
                         gone[start] += 1
                         gone[start + length] -= 1
                     keep = np.flatnonzero(np.cumsum(gone)[:-1] == 0)
                     out.append((len(words) - len(keep), digest([words[k] for k in keep]),
-                                [{"start": s, "length": n, "ref": r_} for s, n, r_ in found]))
+                                [{"start": s, "length": n, "ref": r_, "ref_start": q} for s, n, r_, q in found]))
             cols = list(zip(*out)) if out else [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("nth"), pa.array(cols[0], pa.int64()),
                  pa.array(cols[1], pa.string()),
                  pa.array(cols[2], pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32()),
-                                                       ("ref", pa.int64())])))],
+                                                       ("ref", pa.int64()), ("ref_start", pa.int32())])))],
                 names=["doc_id", "nth", "n_removed", "kept_sha256", "factors"])
     return run
 
@@ -183,10 +186,12 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
 
     A word goes when a window of ``window`` words that covers it also stands
     in a document with a smaller doc_id; judged on the input. ``factors``
-    lists (start, length, ref doc_id) of the spans that go. Null and empty
+    lists (start, length, ref, ref_start) of the spans that go: the words from
+    ``start`` on are those of document ``ref`` from ``ref_start`` on. Null and empty
     texts have no words. Rows with equal doc_id are not earlier than each
     other; repeated rows give equal rows. A row with null doc_id is neither
     earlier nor later than another: it keeps all words and is no reference.
+    Where rows with different texts share a doc_id, ``ref_start`` is in one of them.
     Other columns are ignored; an empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -211,20 +216,21 @@ def remove_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     pairs = docs.where("doc_id is not null").join(asked, "doc_id").select("doc_id", "nth", "sha", "anchors", "text")
     blocks = written(map_batches(pairs, _same_words, "doc_id long, nth int, anchors array<long>, text string"), "blocks")
     windows = written(map_batches(blocks, _windows(window), "h1 long, h2 long, doc_id long, nth int, at int"), "windows")
-    first = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("ref"), F.max("doc_id").alias("last")) \
-        .where("ref < last").select("h1", "h2", "ref")
+    first = windows.groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("ref"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("ref_at")) \
+        .where("ref < last").select("h1", "h2", "ref", "ref_at")
     first = written(first, "first")
     hits = windows.join(first, ["h1", "h2"]).where("ref < doc_id").groupBy("doc_id", "nth") \
-        .agg(F.collect_set(F.struct("at", "ref")).alias("hits"))
-    hits = hits.select("doc_id", "nth", F.col("hits.at").alias("at"), F.col("hits.ref").alias("ref"))
+        .agg(F.collect_set(F.struct("at", "ref", "ref_at")).alias("hits"))
+    hits = hits.select("doc_id", "nth", *[F.col(f"hits.{c}").alias(c) for c in ("at", "ref", "ref_at")])
     parsed = map_batches(blocks.select("doc_id", "nth", "text").join(hits, ["doc_id", "nth"]), _parse(window),
                          "doc_id long, nth int, n_removed long, kept_sha256 string, "
-                         "factors array<struct<start: int, length: int, ref: long>>").dropDuplicates(["doc_id", "nth"])
+                         "factors array<struct<start: int, length: int, ref: long, ref_start: int>>").dropDuplicates(["doc_id", "nth"])
     whole = state.where("copy").select("doc_id", "nth", "sha", "n_words").distinct() \
         .join(copies, "sha").select(
             "doc_id", "nth", F.col("n_words").alias("n_removed"), F.lit(digest([])).alias("kept_sha256"),
             F.array(F.struct(F.lit(0).alias("start"), F.col("n_words").cast("int").alias("length"),
-                             F.col("first").alias("ref"))).alias("factors"))
+                             F.col("first").alias("ref"), F.lit(0).alias("ref_start"))).alias("factors"))
     gone = parsed.unionByName(whole)
     return state.drop("anchors", "copy").join(gone, ["doc_id", "nth"], "left").select(
         "doc_id", "n_words", F.coalesce("n_removed", F.lit(0)).cast("long").alias("n_removed"),

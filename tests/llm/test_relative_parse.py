@@ -55,13 +55,45 @@ def test_factors_cover_what_goes(spark, words):
     a, b = words(80, 1), words(90, 2)
     got = relative_parse.remove_repeats(make(spark, [(1, a), (2, b), (3, "x " + a + " " + b + " y")]), 50)
     f = [tuple(x) for x in got.where("doc_id = 3").first().factors]
-    assert f == [(1, 80, 1), (81, 90, 2)]
+    assert f == [(1, 80, 1, 0), (81, 90, 2, 0)]
 
 
 def test_factors_are_checked_at_their_boundary():
     # windows 0-4 stand in document 1, 5-9 in document 2: the second factor starts inside the first
-    f = relative_parse.factors(np.arange(10), np.array([1] * 5 + [2] * 5), 50)
-    assert f == [(0, 54, 1), (5, 54, 2)]
+    f = relative_parse.factors(np.arange(10), np.array([1] * 5 + [2] * 5), np.arange(10), 50)
+    assert f == [(0, 54, 1, 0), (5, 54, 2, 5)]
+    # in one document, but not one after the other there
+    f = relative_parse.factors(np.arange(4), np.array([1] * 4), np.array([7, 8, 30, 31]), 50)
+    assert f == [(0, 51, 1, 7), (2, 51, 1, 30)]
+
+
+def test_factors_stand_in_the_reference_and_are_the_longest(spark, words):
+    """Each factor is the reference's words, and neither end can be moved within the text that is first there."""
+    rng = np.random.default_rng(9)
+    passages = [words(int(n), 200 + int(n)) for n in (60, 75, 90, 140)]
+    rows = []
+    for i in range(40):
+        parts = [words(int(rng.integers(0, 25)), 3000 + i)]
+        for k in rng.integers(0, 4, 3):
+            w = passages[k].split()
+            lo = int(rng.integers(0, 8))
+            parts += [" ".join(w[lo:len(w) - int(rng.integers(0, 8))]), words(int(rng.integers(0, 3)), 6000 + i)]
+        rows.append((i, " ".join(parts)))
+    docs = {i: t.split() for i, t in rows}
+    first = {}
+    for i in sorted(docs):
+        for k in range(len(docs[i]) - 49):
+            first.setdefault(tuple(docs[i][k:k + 50]), (i, k))
+    many = 0
+    for r in relative_parse.remove_repeats(make(spark, rows), 50).collect():
+        w = docs[r.doc_id]
+        for f in r.factors or []:
+            many += 1
+            assert w[f.start:f.start + f.length] == docs[f.ref][f.ref_start:f.ref_start + f.length] and f.ref < r.doc_id
+            assert first[tuple(w[f.start:f.start + 50])] == (f.ref, f.ref_start)
+            after = tuple(w[f.start + f.length - 49:f.start + f.length + 1])
+            assert len(after) < 50 or first[after] != (f.ref, f.ref_start + f.length - 49)
+    assert many > 60
 
 
 def test_empty_table(spark):
