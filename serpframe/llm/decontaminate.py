@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serpframe.llm import textblocks as tb
-from serpframe.llm.tables import appended, map_batches
+from serpframe.llm.tables import appended, free_name, map_batches, written
 
 FILTER_BITS = 20
 
@@ -124,15 +124,14 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, block_byt
 
     ``distance`` counts word edits; ``end_word`` is the document's word after
     the first stretch at that distance. Null and empty texts, and items
-    without words, match nothing. Rows that repeat a doc_id or an item_id are
-    joined: the smallest distance counts. Other columns are ignored; an empty
+    without words, match nothing; texts are read whole. Rows that repeat a doc_id or an item_id are
+    joined: the smallest distance counts, then the fewest words, then the first end. Other columns are ignored; an empty
     table on either side gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
-    out = None
-    for index in _indexes(items, rate, block_bytes):
 
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
+    def found(index) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ix = index.value
             for batch in batches:
                 for w, h in word_hashes(batch.column(1)):
@@ -145,34 +144,55 @@ def contaminated(docs: DataFrame, items: DataFrame, rate: float = 0.1, block_byt
                              pa.array([len(ix.words[i]) for i in item], pa.int64()), pa.array(end, pa.int64())],
                             names=["doc_id", "item_id", "distance", "item_words", "end_word"])
 
-        got = map_batches(docs, run, "doc_id long, item_id long, distance long, item_words long, end_word long")
-        out = got if out is None else out.unionByName(got)
+        return map_batches(docs, run, "doc_id long, item_id long, distance long, item_words long, end_word long")
+
     best = F.min(F.struct("distance", "item_words", "end_word")).alias("best")
-    return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+    return _by_block(items, rate, block_bytes, found).groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
 
+def _by_block(items: DataFrame, rate: float, block_bytes: int, found) -> DataFrame:
+    """``found`` of the broadcast index of each block of about ``block_bytes`` of items, one block after the other.
 
-def _indexes(items: DataFrame, rate: float, block_bytes: int) -> list:
-    """The broadcast index of each block of items; a block holds about ``block_bytes`` of text."""
+    The driver and the tasks hold one block at a time: what a block finds is
+    written before the next one is read, unless there is only one.
+    """
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    out = []
+    out = None
     for b in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == b).collect()
-        out.append(items.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part], rate)))
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        sent = items.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part], rate))
+        got = found(sent)
+        if blocks > 1:
+            got = written(got, "block-matches")
+            sent.destroy()
+        out = got if out is None else out.unionByName(got)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, rate: float = 0.1, block_bytes: int = 8 << 20) -> DataFrame:
-    """The rows of ``docs`` that no item matches, all columns; rows with null text stay."""
-    indexes = _indexes(items, rate, block_bytes)
-
-    def flags(col: pa.Array) -> list[pa.Array]:
-        hit = np.zeros(len(col), bool)
-        for w, h in word_hashes(col):
-            for index in indexes:
-                for row, *_ in _matches(index.value, w, h):
-                    hit[w.lo + row] = True
-        return [pa.array(hit)]
-
-    return appended(docs, "text", "is_contaminated boolean", flags).where("not is_contaminated").drop("is_contaminated")
+    """The rows of ``docs`` that no item matches, with all their columns, whatever their names.
+
+    Rows with null or empty text stay; texts are read whole; repeated rows
+    fare alike, ties are no matter; an empty table gives no rows, an empty
+    table of items keeps all.
+    """
+    flag, row = free_name("is_contaminated", docs.columns), free_name("row", docs.columns)
+
+    def flagged(rows: DataFrame, index) -> DataFrame:
+        def flags(col: pa.Array) -> list[pa.Array]:
+            hit = np.zeros(len(col), bool)
+            for w, h in word_hashes(col):
+                for at, *_ in _matches(index.value, w, h):
+                    hit[w.lo + at] = True
+            return [pa.array(hit)]
+
+        return appended(rows, "text", f"{flag} boolean", flags)
+
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size <= block_bytes:  # one pass, no row numbers
+        return _by_block(items, rate, max(block_bytes, 1), lambda index: flagged(docs, index).where(f"not {flag}").drop(flag))
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    hits = _by_block(items, rate, block_bytes, lambda index: flagged(numbered.select(row, "text"), index).where(flag).select(row))
+    return numbered.join(hits.distinct(), row, "left_anti").drop(row)

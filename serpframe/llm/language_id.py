@@ -319,8 +319,8 @@ def _classifier():
     return classify
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` with lang_pred, score and accepted.
+def predict(docs: DataFrame, model: Model, names: tuple[str, str, str] = ("lang_pred", "score", "accepted")) -> DataFrame:
+    """The rows of ``docs`` with lang_pred, score and accepted, or ``names`` in their place.
 
     ``und`` with score 0 and not accepted: null, empty, or no letter in the
     text. ``accepted`` is false where the confidence or the familiarity is
@@ -330,5 +330,5 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
     classify = _classifier()
-    return appended(docs, "text", "lang_pred string, score double, accepted boolean",
-                    lambda col: classify(sent.value, col))
+    fields = ", ".join(f"{n} {t}" for n, t in zip(names, ("string", "double", "boolean")))
+    return appended(docs, "text", fields, lambda col: classify(sent.value, col))

@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import re
 from bisect import bisect_right, insort
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from serpframe.llm.boosting import Booster
-from serpframe.llm.tables import appended
+from serpframe.llm.tables import appended, free_name, named
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -279,23 +280,37 @@ def examples(n: int = 6000) -> tuple[np.ndarray, np.ndarray]:
     return _sentences(n)[:2]
 
 
+def threshold(p: np.ndarray, truth: np.ndarray, precision: float, odds: float) -> float:
+    """The lowest limit on ``p`` that keeps the precision, half way to the next candidate; 2 if there is none."""
+    order = np.argsort(-p, kind="stable")
+    ranked, right = p[order], truth[order]
+    kept = np.cumsum(right)
+    good = np.flatnonzero(kept >= precision * (kept + odds * np.cumsum(1 - right)))
+    below = np.append(ranked, 0.0)
+    return float(below[good[-1]] + below[good[-1] + 1]) / 2 if len(good) else 2.0
+
+
+@lru_cache(maxsize=1)
+def redactor() -> Redactor:
+    """The redactor with its usual settings, trained once in a driver."""
+    return Redactor()
+
+
 class Redactor:
-    """The trees and, for each kind, the threshold that a candidate must reach."""
+    """The trees and, for each kind, the threshold that a candidate must reach.
 
-    def __init__(self, precision: float = 0.995):
+    Thresholds are calibrated on sentences that the trees have not seen: the
+    lowest one at which ``precision`` of what it lets through is right, where
+    a wrong candidate counts ``odds`` times, as texts hold that many more
+    plain numbers than the sentences do.
+    """
+
+    def __init__(self, precision: float = 0.995, odds: float = 10.0):
         x, y, of = _sentences(6000)
         fold = of % 8 >= 6  # whole sentences, both kinds of them
         self.trees = Booster().fit(x[~fold], y[~fold])
         p, truth, kind = self.trees.probability(x[fold]), y[fold], x[fold][:, 0]
-        self.least = []
-        for k in range(len(KINDS)):
-            mine = kind == k
-            order = np.argsort(-p[mine])
-            ranked, right = p[mine][order], np.cumsum(truth[mine][order])
-            good = np.flatnonzero(right >= precision * np.arange(1, len(ranked) + 1))
-            # half way to the next candidate, which would spoil the precision
-            below = np.append(ranked, 0.0)
-            self.least.append(max(0.95, float(below[good[-1]] + below[good[-1] + 1]) / 2) if len(good) else 2.0)
+        self.least = [threshold(p[kind == k], truth[kind == k], precision, odds) for k in range(len(KINDS))]
         self.lowest = min(self.least)
 
     def added(self, text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -385,15 +400,20 @@ def find(docs: DataFrame) -> DataFrame:
     Repeated rows give equal rows; other columns are ignored; an empty table
     gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(Redactor())
+    sent = docs.sparkSession.sparkContext.broadcast(redactor())
     fields = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long"
     return appended(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "text", fields,
                     lambda col: _examine(sent.value, col, False)).drop("text")
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with all spans of the text replaced and n_chars counted anew; null texts stay null."""
-    sent = docs.sparkSession.sparkContext.broadcast(Redactor())
-    out = appended(docs, "text", "clean_text string", lambda col: _examine(sent.value, col, True))
-    return out.withColumn("text", F.col("clean_text")).withColumn(
-        "n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    """The rows of ``docs`` with all spans of the text replaced and n_chars counted anew; null texts stay null.
+
+    Empty texts stay empty, repeated rows give equal rows, an empty table no
+    rows. All other columns pass through, whatever their names.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(redactor())
+    clean = free_name("clean_text", docs.columns)
+    out = appended(docs, "text", f"{clean} string", lambda col: _examine(sent.value, col, True))
+    new = {"text": F.col(clean), "n_chars": F.char_length(clean).cast("long")}
+    return out.select(*[new[c].alias(c) if c in new else named(c) for c in docs.columns])

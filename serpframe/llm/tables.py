@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from serpframe.session import scratch_path
 
@@ -16,7 +17,7 @@ BATCH_ROWS = 1000
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def map_batches(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable, schema: StructType | str) -> DataFrame:
     """``df.mapInArrow`` in batches of ``BATCH_ROWS`` rows at most.
 
     Spark takes the size from the session when the plan runs, so the session's
@@ -81,6 +82,19 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or with underscores behind it if a column has it."""
+    have = {c.lower() for c in taken}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
+def named(name: str) -> Column:
+    """The column of that name, whatever characters are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -89,15 +103,16 @@ def appended(df: DataFrame, column: str, fields: str, fn: Callable[[pa.Array], l
     """``df`` with new columns that ``fn`` makes from Arrow batches of ``column``; no shuffle.
 
     ``fields`` is the DDL of the new columns; they take the place of columns
-    of the same name.
+    of the same name. Columns may have any name.
     """
-    names = [f.split()[0] for f in fields.split(",")]
-    df = df.drop(*[n for n in names if n != column])
-    old = df.schema.names
+    new = StructType.fromDDL(fields)
+    df = df.drop(*[n for n in new.names if n != column])
+    old, at = df.schema.names, df.schema.names.index(column)
+    plain = df.toDF(*[f"c{k}" for k in range(len(old))])
+    out = StructType([*plain.schema.fields, *[StructField(f"n{k}", f.dataType) for k, f in enumerate(new.fields)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch.column(old.index(column)))], names=[*old, *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch.column(at))], names=out.names)
 
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return map_batches(df, run, f"{ddl}, {fields}")
+    return map_batches(plain, run, out).toDF(*old, *new.names)

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 from llm_helpers import EDGE, make, words  # noqa: F401
 from serpframe.llm import decontaminate
 
@@ -73,3 +74,20 @@ def test_empty_tables(spark):
     assert decontaminate.contaminated(make(spark, []), make_items(spark, [(1, "a b")])).count() == 0
     assert decontaminate.contaminated(make(spark, [(1, "a b")]), make_items(spark, [])).count() == 0
     assert decontaminate.clean(make(spark, [(1, "a b"), (1, "a b")]), make_items(spark, [])).count() == 2
+
+
+def test_blocks_of_items_one_after_the_other(spark, words):  # noqa: F811
+    """Small blocks find what one block finds, and keep every column and row of the others."""
+    items = [(i, words(12, 400 + i)) for i in range(12)] + [(3, words(12, 403)), (99, None), (98, "")]
+    rows = [(i, words(20, i) + " " + (items[i % 12][1] if i % 3 == 0 else "") + " " + words(9, 50 + i)) for i in range(40)]
+    rows += [(1, rows[1][1]), (None, rows[0][1]), (50, None), (51, "")]
+    docs = make(spark, rows).withColumn("is_contaminated", F.lit("mine")).withColumn("row", F.lit(5)).withColumn("a`b.c", F.lit(1))
+    queries = spark.createDataFrame(items, "item_id long, text string")
+    key = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    one, many = (decontaminate.contaminated(docs, queries, block_bytes=b) for b in (1 << 20, 150))
+    assert key(one) == key(many) and one.count() >= 14
+    one, many = (decontaminate.clean(docs, queries, block_bytes=b) for b in (1 << 20, 150))
+    assert one.columns == many.columns == docs.columns and key(one) == key(many)
+    assert {r.doc_id for r in one.collect()} == {i for i in range(40) if i % 3} | {50, 51}
+    assert one.where("is_contaminated = 'mine' and row = 5").count() == one.count()
+    assert decontaminate.clean(docs, queries.limit(0)).count() == len(rows)

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from llm_helpers import EDGE, make, words  # noqa: F401
 
 import corpus_pipeline
@@ -74,3 +75,19 @@ def test_pipeline_on_empty_tables(spark, tmp_path):
     make(spark, []).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_pipeline_passes_clashing_columns_on(spark, words, tmp_path):  # noqa: F811
+    names = ["score", "accepted", "lang_pred", "is_contaminated", "clean_text", "copies_of", "row", "component_id", "kept"]
+    docs = make(spark, [(i, words(40, i)) for i in range(60)]).select("doc_id", "text", "lang", "source", "n_chars")
+    for k, n in enumerate(names):
+        docs = docs.withColumn(n, F.lit(k))
+    spark.createDataFrame([(1, words(30, 900))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    at = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        at = stage(spark, at, str(tmp_path))
+        assert at.columns == docs.columns, name
+    rows = at.collect()
+    assert len(rows) == 60 and all([r[n] for n in names] == list(range(len(names))) for r in rows)
+    last = corpus_pipeline.STAGES[-1][1](spark, at, str(tmp_path))
+    assert set(docs.columns) <= set(last.columns)

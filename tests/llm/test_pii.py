@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from llm_helpers import EDGE, make, words  # noqa: F401
 from serpframe.llm import pii
 
@@ -117,3 +118,28 @@ def test_stretches_of_a_run_and_short_ipv6_are_proposed():
     assert [s[0] for s in model.added("host 2001:db8::1 is up", [])] == [1]
     t = "1:" * 30 + " (555) 234-8811 (555) 234-8812 and " + "1.2 " * 30
     assert model.added_all([t, "", t], [[], [], []])[0] == model.added(t, [])
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    docs = make(spark, [(1, "mail a.b@c.de now"), (2, None), (3, "")]).withColumn("clean_text", F.lit("mine")) \
+        .withColumn("spans", F.lit(4)).withColumn("x.y", F.lit(2))
+    out = pii.redacted(docs)
+    assert out.columns == docs.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == "mail [EMAIL] now" and got[1].n_chars == 16 and got[2].text is None and got[3].text == ""
+    assert all(r.clean_text == "mine" and r.spans == 4 and r["x.y"] == 2 for r in got.values())
+
+
+def test_thresholds_keep_the_precision():
+    rng = np.random.default_rng(6)
+    truth = (rng.random(4000) < 0.3).astype(float)
+    p = np.clip(0.6 * truth + 0.2 + rng.normal(0, 0.15, 4000), 0, 1)
+    for precision, odds in ((0.9, 1), (0.99, 1), (0.99, 10)):
+        least = pii.threshold(p, truth, precision, odds)
+        kept = p >= least
+        assert truth[kept].sum() >= precision * (truth[kept].sum() + odds * (1 - truth[kept]).sum())
+        lower = p >= least - 0.02
+        assert truth[lower].sum() < (precision + 0.02) * (truth[lower].sum() + odds * (1 - truth[lower]).sum())
+    assert pii.threshold(np.array([0.9]), np.array([0.0]), 0.9, 1) == 2.0
+    least = pii.redactor().least
+    assert len(set(least)) > 1 and all(0.05 < x < 1 for x in least)  # each kind has its own
