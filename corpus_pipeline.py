@@ -10,17 +10,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from serpframe.llm import decontaminate, language_id, mixing, near_dups, pii
-from serpframe.llm.tables import read_table, written
+from serpframe.llm.tables import free_name, named, read_table, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected go; a null lang is filled in.
 
     Rejected are null and empty texts, texts without letters, and those that
-    the model is too uncertain about. Repeated rows fare alike.
+    the model is too uncertain about. Repeated rows fare alike; other columns
+    pass through, whatever their names.
     """
-    out = language_id.predict(docs, language_id.train(docs)).where("accepted")
-    return out.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    lang, score, accepted = names = tuple(free_name(n, docs.columns) for n in ("lang_pred", "score", "accepted"))
+    out = language_id.predict(docs, language_id.train(docs), names).where(accepted)
+    return out.select(*[F.coalesce("lang", lang).alias(c) if c == "lang" else named(c) for c in docs.columns])
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
