@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from serpframe.llm.tables import components, written
 from serpframe.llm.textblocks import mix
@@ -241,8 +242,8 @@ def _first_meeting(x, y, dims, units, where, table, cell, tables, scale, margin)
     return keep
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.93, tables: int = 6, scale: float = 5.0,
-                 margin: float = 0.12) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.93, tables: int = 8, scale: float = 5.0,
+                 margin: float = 0.25) -> DataFrame:
     """One row per vec_id: vec_id, n_links, component_id, kept.
 
     Vectors link when their labels are equal and not null, their lengths are
@@ -253,7 +254,9 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, tables: int = 6, scal
     null vec_id come back each with no links, null component_id and kept true.
     Other columns are ignored; an empty table gives no rows.
     """
-    vec = F.col("embedding").cast("array<float>")
+    given = vectors.schema["embedding"].dataType
+    single = isinstance(given, ArrayType) and isinstance(given.elementType, FloatType)
+    vec = F.col("embedding").cast("array<float>" if single else "array<double>")  # doubles stay doubles
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"),
                           vec.alias("vec"))
     sound = F.col("label").isNotNull() & F.col("vec").isNotNull() & (F.size("vec") > 0) \
