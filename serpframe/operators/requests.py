@@ -3,10 +3,12 @@ refetch rule over a request log."""
 
 from __future__ import annotations
 
-from typing import Sequence
+from typing import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,38 +131,69 @@ def cache_lookup_asof(requests: DataFrame, responses: DataFrame, ttl_seconds: in
                         given(age, "age_s"), served.alias("served"))
 
 
-# A chunk of a key's time line spans this many TTLs; a task holds the distinct
-# seconds of one chunk at most.
+# A chunk of a key's time line spans this many TTLs, so it holds this many
+# fetches at most; a task goes through all its chunks at once.
 CHUNK_TTLS = 64
+#: Rows of whole chunks that a task works on together.
+TOGETHER = 1 << 19
 
 
-def _next_fetch(secs: np.ndarray, ttl: int) -> np.ndarray:
-    """Index of the fetch after each second; ``len(secs)`` when there is none in the chunk."""
-    return np.searchsorted(secs, secs + ttl, side="right")
+def _whole_chunks(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole chunks out of batches sorted by chunk, with the number of each row's chunk."""
+    held: list[pa.RecordBatch] = []
+
+    def numbered(t: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        new = np.zeros(t.num_rows, bool)
+        for c in (key, "_chunk"):
+            col = t.column(c).combine_chunks()
+            new[1:] |= pc.not_equal(col[1:], col[:-1]).to_numpy(zero_copy_only=False)
+        return t, np.cumsum(new)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) < TOGETHER:
+            continue
+        t, group = numbered(pa.Table.from_batches(held))
+        cut = int(np.searchsorted(group, group[-1]))  # the last chunk may go on
+        if cut:
+            yield t.slice(0, cut), group[:cut]
+        held = t.slice(cut).to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield numbered(pa.Table.from_batches(held))
+
+
+def _next_fetch(group: np.ndarray, secs: np.ndarray, ttl: int) -> np.ndarray:
+    """Row of the fetch after each row's, in its chunk; itself where there is none."""
+    low = secs.min()
+    line = group * (int(secs.max() - low) + ttl + 2) + (secs - low)
+    after = np.searchsorted(line, line + ttl, side="right")
+    here = np.arange(len(secs))
+    inside = np.minimum(after, len(secs) - 1)
+    return np.where((after < len(secs)) & (group[inside] == group), inside, here)
 
 
 def _chunk_entries(ttl: int, span: int, key: str):
-    """Where the scan can enter a chunk, and the last fetch it then makes there.
+    """Where the scan can enter each chunk, and the last fetch it then makes there.
 
     The fetch before lies ahead of the chunk, so the scan enters within the
     chunk's first ``ttl`` seconds or at the first second after them.
     """
-    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
-        secs = np.sort(pdf["_sec"].to_numpy())
-        last = np.append(np.arange(len(secs)), len(secs))
-        nxt = np.append(_next_fetch(secs, ttl), len(secs))
-        step = np.where(nxt == len(secs), np.arange(len(nxt)), nxt)
-        while True:  # pointer jumping: log2(fetches) rounds
-            far = step[step]
-            if (far == step).all():
-                break
-            step = far
-        last = step[:-1]
-        start = int(pdf["_chunk"].iloc[0]) * span
-        n = int(np.searchsorted(secs, start + ttl, side="right")) + 1
-        return pd.DataFrame({key: pdf[key].iloc[0], "_chunk": pdf["_chunk"].iloc[0], "_sec": secs[:n],
-                             "_last": secs[last[:n]]})
-    return fn
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in _whole_chunks(batches, key):
+            secs, chunk = t.column("_sec").to_numpy(), t.column("_chunk").to_numpy()
+            last = _next_fetch(group, secs, ttl)
+            while True:  # pointer jumping: log2(fetches) rounds
+                far = last[last]
+                if (far == last).all():
+                    break
+                last = far
+            early = secs <= chunk * span + ttl
+            early[1:] |= (group[1:] == group[:-1]) & early[:-1]
+            early[0] = True
+            early[1:] |= group[1:] != group[:-1]
+            at = np.flatnonzero(early)
+            yield from t.take(at).append_column("_last", pa.array(secs[last[at]])).to_batches()
+    return run
 
 
 def _link_chunks(ttl: int, key: str):
@@ -178,18 +211,19 @@ def _link_chunks(ttl: int, key: str):
 
 
 def _chunk_fetches(ttl: int, key: str):
-    """All fetch seconds of a chunk from the second the scan enters it."""
-    def fn(secs: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
-        if not len(entry) or not len(secs):
-            return secs.iloc[:0][[key, "_sec"]]
-        s = np.sort(secs["_sec"].to_numpy())
-        nxt = _next_fetch(s, ttl)
-        keep, i = [], int(np.searchsorted(s, entry["_sec"].iloc[0]))
-        while i < len(s):
-            keep.append(i)
-            i = int(nxt[i])
-        return pd.DataFrame({key: secs[key].iloc[0], "_sec": s[keep]})
-    return fn
+    """All fetch seconds of each chunk from its row marked ``_in`` on; chunks without one have none."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t, group in _whole_chunks(batches, key):
+            secs = t.column("_sec").to_numpy()
+            following = _next_fetch(group, secs, ttl)
+            at = np.flatnonzero(t.column("_in").to_numpy())
+            found = [at]
+            while len(at):  # a step for each fetch of a chunk, all chunks at once
+                at, was = following[at], at
+                at = at[at != was]
+                found.append(at)
+            yield from t.take(np.concatenate(found)).select([key, "_sec"]).to_batches()
+    return run
 
 
 def ttl_refetch_filter(df: DataFrame, key: str, ts: str, ttl_seconds: int,
@@ -201,10 +235,12 @@ def ttl_refetch_filter(df: DataFrame, key: str, ts: str, ttl_seconds: int,
 
     Only the distinct (key, second) pairs take part in the scan. A key's time
     line is cut into chunks of ``CHUNK_TTLS`` TTLs, so a key with a huge share
-    of the rows is many groups: each chunk says where the scan leaves it for
-    every second at which it can enter, those few rows are followed over the
-    chunks of a key, and the chunks then list their fetches. The log's rows
-    are joined to the fetch seconds at the end; the first row of each counts.
+    of the rows is many groups. A key with one chunk is entered at its first second.
+    Of the others, each chunk says where the scan leaves it for
+    every second at which it can enter, and those few rows are followed over the
+    chunks of a key. The chunks then list their fetches, all that a task holds
+    at once. The log's rows are joined to the fetch seconds at the end; the
+    first row of each counts.
     """
     ttl = int(ttl_seconds)
     span = max(1, CHUNK_TTLS * max(ttl, 1))
@@ -212,10 +248,16 @@ def ttl_refetch_filter(df: DataFrame, key: str, ts: str, ttl_seconds: int,
     rows = df.withColumn("_sec", _epoch_s(F.col(ts))).filter(F.col(key).isNotNull() & F.col("_sec").isNotNull())
     secs = rows.select(key, "_sec").distinct() \
         .withColumn("_chunk", F.floor(F.col("_sec") / span).cast("bigint"))
-    entries = secs.groupBy(key, "_chunk").applyInPandas(
+    keys = secs.groupBy(key).agg(F.min("_sec").alias("_first"), F.min("_chunk").alias("_lo"), F.max("_chunk").alias("_hi"))
+    by = [key, "_chunk", "_sec"]
+    many = secs.join(keys.where("_lo < _hi").select(key), key, "left_semi").select(by)
+    entries = many.repartition(key, "_chunk").sortWithinPartitions(*by).mapInArrow(
         _chunk_entries(ttl, span, key), f"`{key}` {kt}, _chunk bigint, _sec bigint, _last bigint")
-    entered = entries.groupBy(key).applyInPandas(_link_chunks(ttl, key), f"`{key}` {kt}, _chunk bigint, _sec bigint")
-    fetches = secs.groupBy(key, "_chunk").cogroup(entered.groupBy(key, "_chunk")).applyInPandas(
+    entered = entries.groupBy(key).applyInPandas(_link_chunks(ttl, key), f"`{key}` {kt}, _chunk bigint, _sec bigint") \
+        .unionByName(keys.where("_lo = _hi").select(key, F.col("_lo").alias("_chunk"), F.col("_first").alias("_sec")))
+    marked = secs.select(*by, F.lit(0).alias("_in")).unionByName(entered.select(*by, F.lit(1).alias("_in"))) \
+        .groupBy(*by).agg(F.max("_in").alias("_in"))
+    fetches = marked.repartition(key, "_chunk").sortWithinPartitions(*by).mapInArrow(
         _chunk_fetches(ttl, key), f"`{key}` {kt}, _sec bigint")
     order = [F.col(ts)] + ([F.col(tiebreak)] if tiebreak else [])
     payload = F.struct(*[F.col(c) for c in df.columns])

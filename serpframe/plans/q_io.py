@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from serpframe.operators import compose, dedup, flatten, metrics, results, rollups
 from serpframe.plans import duck as D
 from serpframe.plans.fixtures import view, with_views
-from serpframe.plans.inputs import landed_pages
+from serpframe.plans.inputs import landed_pages, raw_records
 from serpframe.plans.q_ops import TTL, _JOB, QUOTA
 from serpframe.plans.q_results import _CANDS, _M, _WEB, _deduped, _g2_sql
 from serpframe.plans.q_text import _DUCK_AUDIT
@@ -310,9 +310,20 @@ def _body(key: str) -> str:
     return ORACLES[key].removeprefix(with_views("", "v_raw_flat"))
 
 
+def _content(spark, root, names):
+    """Rows and a sum over the content of each table under ``root``."""
+    out = None
+    for name in names:
+        text = F.md5(F.concat_ws("|", *_TABLES[name]))
+        part = spark.read.parquet(os.path.join(root, name)).agg(
+            F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint")).alias("content")) \
+            .select(F.lit(name).alias("table_name"), "n", "content")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @register("write_result_tables", _tables_sql())
 def q_write_result_tables(spark, sf):
-    from serpframe.plans.inputs import raw_records
     raw = raw_records(view(spark, sf, "v_raw_flat"))
     tables = {"organic_results": flatten.flatten_organic(raw, "raw", now_col()),
               "people_also_ask": flatten.flatten_paa(raw, "raw", now_col()),
@@ -320,14 +331,15 @@ def q_write_result_tables(spark, sf):
               "paid_results": flatten.flatten_paid(raw, "raw", now_col()),
               "ai_overview": flatten.flatten_ai_overview(raw, "raw", now_col())}
     root = scratch_path(spark, "tables")
-    out = None
-    for name in W.write_result_tables(tables, root):
-        text = F.md5(F.concat_ws("|", *_TABLES[name]))
-        part = spark.read.parquet(os.path.join(root, name)).agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.conv(F.substring(text, 1, 8), 16, 10).cast("bigint")).alias("content")) \
-            .select(F.lit(name).alias("table_name"), "n", "content")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return _content(spark, root, W.write_result_tables(tables, root))
+
+
+@register("write_results", _tables_sql())
+def q_write_results(spark, sf):
+    """The tables out of a snapshot that is written first."""
+    raw = raw_records(view(spark, sf, "v_raw_flat"))
+    root = scratch_path(spark, "results")
+    return _content(spark, root, W.write_results(raw, root, "raw", now_col()))
 
 
 @register("write_query_audit", with_views(

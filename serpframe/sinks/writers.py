@@ -5,12 +5,14 @@ gathered on the driver."""
 from __future__ import annotations
 
 import os
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 from typing import Mapping
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
+from serpframe.operators import flatten
 from serpframe.session import remove_folder
 
 # ---------------------------------------------------------------- fixed values
@@ -40,21 +42,34 @@ def write_result_tables(tables: Mapping[str, DataFrame], path: str, fmt: str = "
                         mode: str = "overwrite") -> list[str]:
     """The five flat tables under one root; organic always, the other four
     only when they have rows. Each table is computed once: it is written with
-    its row count observed, and the folder of an empty one is removed."""
-    written = []
-    for name in RESULT_TABLES:
-        df = tables.get(name)
-        if df is None:
-            continue
-        rows = Observation(name)
-        out = os.path.join(path, name)
+    its row count observed, and the folder of an empty one is removed. The
+    tables are written side by side, so one's last tasks do not hold up the next."""
+    def one(name: str) -> bool:
+        df, out, rows = tables[name], os.path.join(path, name), Observation(name)
         df.observe(rows, F.count(F.lit(1)).alias("n")).write.mode(mode).format(fmt) \
             .options(header=True, **(CSV_DIALECT if fmt == "csv" else {})).save(out)
         if name == "organic_results" or rows.get["n"]:
-            written.append(name)
-        else:
-            remove_folder(df.sparkSession, out)
-    return written
+            return True
+        remove_folder(df.sparkSession, out)
+        return False
+
+    names = [n for n in RESULT_TABLES if tables.get(n) is not None]
+    with ThreadPoolExecutor(max(1, len(names))) as pool:
+        return [n for n, kept in zip(names, pool.map(one, names)) if kept]
+
+
+def write_results(records: DataFrame, path: str, record_col: str = "record", now: Column | None = None,
+                  fmt: str = "parquet", mode: str = "overwrite") -> list[str]:
+    """The nested snapshot and the five flat tables of result records under one root.
+
+    The records are computed once, for the snapshot ``records``; each table
+    reads from it only the fields it needs. Returns the tables written.
+    """
+    root = write_unified_snapshot(records, os.path.join(path, "records"), mode)
+    back = records.sparkSession.read.schema(records.schema).parquet(root)
+    make = dict(zip(RESULT_TABLES, (flatten.flatten_organic, flatten.flatten_paa, flatten.flatten_related,
+                                    flatten.flatten_paid, flatten.flatten_ai_overview)))
+    return write_result_tables({n: f(back, record_col, now) for n, f in make.items()}, path, fmt, mode)
 
 
 def export_name(job_id: str, ext: str, now: datetime | None = None) -> str:

@@ -122,3 +122,42 @@ def test_all_pages_together_are_the_table(spark):
     assert all(got == by_range[n - 1] for n, got in by_page)
     with pytest.raises(ValueError):
         browse.page_results(df, 1, 10)
+
+
+def refetched(rows, ttl):
+    """(id, key, second) of the rows that fetch, by a plain loop."""
+    last, out = {}, []
+    for i, k, t in sorted(rows, key=lambda r: (r[2], r[0])):
+        if k is not None and t is not None and (k not in last or t - last[k] > ttl):
+            last[k] = t
+            out.append((i, k, t))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("ttl", [0, 1, 3, 50])
+def test_ttl_refetch_equals_a_loop(spark, ttl):
+    import random
+    rng = random.Random(ttl)
+    rows = [(i, rng.choice(["hot"] * 6 + ["a", "b", "far", None]), rng.randrange(2000)) for i in range(3000)]
+    rows += [(5000 + i, "far", 10**9 + 7 * i) for i in range(40)] + [(6000, "late", 10**12 // 1000), (6001, "hot", None)]
+    df = spark.createDataFrame(rows, "id int, key string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    got = sorted((r.id, r.key, r.t) for r in requests.ttl_refetch_filter(df, "key", "ts", ttl, "id").collect())
+    assert got == refetched([r for r in rows if r[2] is not None], ttl)
+
+
+def test_chunks_that_go_over_batches(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    monkeypatch.setattr(requests, "TOGETHER", 7)
+    rng = np.random.default_rng(3)
+    rows = sorted({(int(k), int(t) // 640, int(t)) for k, t in zip(rng.integers(0, 4, 600), rng.integers(0, 4000, 600))})
+    table = pa.table({"k": [r[0] for r in rows], "_chunk": [r[1] for r in rows], "_sec": [r[2] for r in rows]})
+    first = [i == 0 or r[:2] != rows[i - 1][:2] for i, r in enumerate(rows)]
+    table = table.append_column("_in", pa.array([int(x) for x in first], pa.int32()))
+    for size in (1, 5, 1000):
+        got = pa.Table.from_batches(requests._chunk_fetches(10, "k")(iter(table.to_batches(max_chunksize=size))))
+        want = []
+        for i, (k, c, t) in enumerate(rows):
+            if first[i] or t - want[-1][1] > 10:
+                want.append((k, t))
+        assert sorted(zip(got["k"].to_pylist(), got["_sec"].to_pylist())) == sorted(want)
