@@ -119,10 +119,12 @@ class Model:
         return z / z.sum(1, keepdims=True)
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: int = 8, rate: float = 8.0,
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, least_steps: int = 512, rate: float = 8.0,
         max_reject: float = 0.001, max_loss: float = 0.005) -> Model:
     """Train on (language, n-gram ids, counts) rows in a fixed order; every fifth row calibrates.
 
+    The rows are gone through 8 times, or more often (150 times at most) where ``least_steps`` batches need it.
+
     Rows without a language are out of any and calibrate only.
     """
     rng = np.random.default_rng(3)
@@ -148,6 +150,7 @@ def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], dim: int = 16, epochs: i
         w = np.concatenate([rows[i][2] / max(1, rows[i][2].sum()) for i in pick]).astype(np.float32)
         return ids, w, np.repeat(np.arange(len(pick)), n), n
 
+    epochs = int(np.clip(-(-least_steps * 32 // max(1, len(train))), 8, 150))
     steps = epochs * -(-len(train) // 32)
     step = 0
     for _ in range(epochs):
