@@ -45,14 +45,15 @@ def read_queries_text(spark: SparkSession, path: str) -> DataFrame:
             .filter(F.col("original_input") != ""))
 
 
-def read_queries_csv(spark: SparkSession, path: str, na_values=None) -> DataFrame:
-    """CSV with a header: quotes doubled inside quoted cells, cells may span
-    lines. A ``query``/``queries`` column (first in order, matched trimmed and
+def read_queries_csv(spark: SparkSession, path: str, na_values=None, multi_line: bool = True) -> DataFrame:
+    """CSV with a header: quotes doubled inside quoted cells. Cells may span
+    lines, which makes a file one task; with ``multi_line=False`` a file is
+    read by as many tasks as it has splits, and a line break ends the row. A ``query``/``queries`` column (first in order, matched trimmed and
     case-insensitive) holds ready queries; otherwise the cells of each row are
     composed into one query. Header names are free: dots, and names the
     reader uses itself, do no harm."""
     na = PANDAS_NA if na_values is None else list(na_values)
-    raw = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=True).csv(path)
+    raw = spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line).csv(path)
     names = raw.columns
     quoted = [F.col("`" + n.replace("`", "``") + "`") for n in names]
     at = next((k for k, n in enumerate(names) if n.strip().lower() in QUERY_COLUMNS), None)
@@ -159,8 +160,8 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    """Dispatch on the file extension; a missing file or an unknown extension is an error."""
+def read_queries(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Dispatch on the file extension; a missing file or an unknown extension is an error. ``multi_line`` is for CSV."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no queries file at {path}")
     ext = os.path.splitext(path.rstrip("/"))[1].lower()
@@ -169,7 +170,7 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     if ext in (".jsonl", ".ndjson"):
         return read_queries_json(spark, path, lines=True)
     if ext == ".csv":
-        return read_queries_csv(spark, path)
+        return read_queries_csv(spark, path, multi_line=multi_line)
     if ext == ".txt":
         return read_queries_text(spark, path)
     raise ValueError(f"cannot read queries from {ext or path!r}: expected .json, .jsonl, .csv or .txt")

@@ -25,6 +25,21 @@ def test_csv_made_by_pandas(spark, tmp_path):
     assert texts(SQ.read_queries_csv(spark, str(tmp_path / "m.csv"))) == ['"x y" (r1 OR r2)', "z"]
 
 
+def test_csv_without_line_breaks_splits(spark, tmp_path):
+    pd.DataFrame({"anchor": [f"q {i}, x" for i in range(400)], "role": ["a"] * 400}).to_csv(tmp_path / "q.csv", index=False)
+    names = {"spark.sql.files.maxPartitionBytes": "500", "spark.sql.files.openCostInBytes": "1"}
+    was = {k: spark.conf.get(k, None) for k in names}
+    for k, v in names.items():
+        spark.conf.set(k, v)
+    try:
+        whole, split = (SQ.read_queries(spark, str(tmp_path / "q.csv"), multi_line=m) for m in (True, False))
+        assert texts(split) == texts(whole) == [f'"q {i}, x" (a)' for i in range(400)]
+        assert split.rdd.getNumPartitions() > 5 and whole.rdd.getNumPartitions() == 1
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_csv_for_pandas(spark, tmp_path):
     rows = [(1, 'say "b", then c', " kept "), (2, "two\nlines", None), (3, "\\", "x")]
     W.write_csv(spark.createDataFrame(rows, "n int, title string, t string").coalesce(1), str(tmp_path / "o"))
