@@ -252,6 +252,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, tables: int = 8, scal
     nothing. Rows that repeat a vec_id count once; if their vectors or labels
     differ, one of them counts (smallest label, then vector hash). Rows with
     null vec_id come back each with no links, null component_id and kept true.
+    Vectors of any length are compared whole; a cosine of just ``cosine`` links.
     Other columns are ignored; an empty table gives no rows.
     """
     given = vectors.schema["embedding"].dataType

@@ -95,7 +95,8 @@ class Rollup:
         that is held is a revision. Rows that repeat a doc_id within a batch:
         equal rows count once, of different ones the first by kind, source,
         lang and token count. Rows with null doc_id or other kinds are left
-        out. Null source and lang are groups of their own. Extra columns are
+        out. Null source and lang are groups of their own. A null or empty text
+        is a document of no tokens; texts of any length are counted whole. Extra columns are
         ignored; an empty batch is committed empty.
         """
         change = changes.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("kind"), F.col("source"),
