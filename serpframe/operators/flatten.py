@@ -77,18 +77,19 @@ def flatten_organic(df: DataFrame, record_col: str = "record", now: Column | Non
     text = first_str(*texts) if texts else F.lit(None).cast("string")
     count = first_num(*counts) if counts else F.lit(None).cast("bigint")
     inferred = infer_followers(r, et)
-    missing = text.isNull() & count.isNull()
+    # one column for both, so that the search runs once a row
+    audience = F.when(text.isNull() & count.isNull(), inferred).otherwise(F.struct(text.alias("text"), count.alias("count")))
     pos = first_num(_as_int(_field(r, et, "position"), _ftype(et, "position")),
                     _as_int(_field(r, et, "rank"), _ftype(et, "rank")))
-    return x.select(
+    return x.withColumn("a", audience).select(
         *COMMON,
         pos.alias("position"),
         first_str(_field(r, et, "title"), _field(r, et, "resultTitle"), F.lit("")).alias("title"),
         first_str(_field(r, et, "url"), _field(r, et, "link"), F.lit("")).alias("url"),
         first_str(_field(r, et, "displayedUrl"), _field(r, et, "visibleUrl"), F.lit("")).alias("displayed_url"),
         first_str(_field(r, et, "snippet"), _field(r, et, "description"), F.lit("")).alias("snippet"),
-        F.when(missing, inferred["text"]).otherwise(text).alias("connections_text"),
-        F.when(missing, inferred["count"]).otherwise(count).alias("connections_count"),
+        F.col("a.text").alias("connections_text"),
+        F.col("a.count").alias("connections_count"),
     )
 
 

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from serpframe.operators import dedup, metrics, requests, results
+from serpframe.functions import followers as FO
+from serpframe.operators import browse, dedup, flatten, metrics, requests, results
 
 
 def test_page_cutoff_missing_total_keeps_page_one(spark):
@@ -161,3 +162,34 @@ def test_chunks_that_go_over_batches(monkeypatch):
             if first[i] or t - want[-1][1] > 10:
                 want.append((k, t))
         assert sorted(zip(got["k"].to_pylist(), got["_sec"].to_pylist())) == sorted(want)
+
+
+def test_export_reader_searches_a_text_once_a_pattern(spark):
+    """The word-first pattern stands twice for the match and twice for what is taken out of it, not for each use."""
+    rec = spark.createDataFrame([(([("t 500+ connections", "u")],),)],
+                                "record struct<searchResults: array<struct<snippet: string, url: string>>>")
+    plan = flatten.flatten_organic(rec)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(FO.EXPORT_PATTERNS[2][0]) == 3  # search, number, unit
+
+
+def test_export_reader_is_the_plain_one(spark):
+    """First text, first pattern: the same as all patterns tried one after the other over the whole text."""
+    texts = ["1,234 followers", "followers 500+ and 7 connections", "relations 5", "relationship 5", "5 relationships", "x5followers",
+             "2.5K connections", "1 234\u00a0567\u00a0K +  Followers!", "ng\u01b0\u1eddi  theo d\u00f5i 12", "12 k\u1ebft n\u1ed1i", "7 \u212a followers",
+             "\u0663 followers", "\u0e1c\u0e39\u0e49\u0e15\u0e34\u0e14\u0e15\u0e32\u0e21 9", "\u5173\u6ce8\u8005 3", "3\u5173\u6ce8\u8005x", "FOLLOWER\u017f 8", "no number followers",
+             "8 nothing", "followers: 5", "followers\n5", "1.2.3 follower 4 connection", "", None, "abonn\u00e9s 1 2 345 b", "12+ followersx 3 connections"]
+    df = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(zip(texts, texts[5:] + texts[:5]))], "k int, snippet string, title string")
+    rec = F.struct("snippet", "title")
+
+    def plain(t):
+        out = F.lit(None)
+        for pat, gnum, gsuf in reversed(FO.EXPORT_PATTERNS):
+            suf = F.regexp_extract(t, pat, gsuf) if gsuf else F.lit("")
+            hit = F.struct(F.trim(F.regexp_extract(t, pat, 0)).alias("text"),
+                           FO.parse_human_number(F.regexp_extract(t, pat, gnum), suf).alias("count"))
+            out = F.when(t.rlike(pat), hit).otherwise(out)
+        return out
+    dtype = df.select(rec.alias("r")).schema["r"].dataType
+    both = df.select("k", FO.infer_followers(rec, dtype).alias("i"), F.coalesce(plain(F.col("snippet")), plain(F.col("title"))).alias("p")).collect()
+    assert [(r.k, r.i) for r in both] == [(r.k, r.p) for r in both]
+    assert sum(r.i is not None for r in both) > 15
