@@ -7,7 +7,7 @@ from typing import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from serpframe.operators.ordered import in_order, total_order
+from serpframe.operators.ordered import in_order, total_order, written
 from serpframe.options import SearchOptions
 
 
@@ -23,7 +23,10 @@ def filter_results(df: DataFrame, text: str | None, cols: Sequence[str] = ("quer
 
 
 def ranged_pages(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``df`` in sorted ranges, written once, for ``page_of``: keep it to turn many pages."""
+    """``df`` in sorted ranges, written once, for ``page_of``: keep it to turn many pages.
+
+    ``df`` is gone over twice, to sample the ranges and to sort; write one that is dear to compute first (``written``).
+    """
     return in_order(df, total_order(df, order), "pages")
 
 
@@ -45,15 +48,15 @@ def page_results(df: DataFrame, page: int, per_page: int = 100, order: Sequence[
 
     Rows that tie in ``order`` are ordered by their other columns, so the pages
     together are the table, each row once. A first page is a top-k. For a
-    page further on, the rows are ranged into sorted partitions and written
-    once; the partitions are counted and only those that hold rows of the page
+    page further on, the rows are computed and written once, ranged into sorted
+    partitions and written again; the partitions are counted and only those that hold rows of the page
     are read on, so no task orders the rows of all pages before it. To turn
     many pages, keep ``ranged_pages`` and take ``page_of`` it.
     """
     page = max(1, int(page))
     if page <= 10:
         return df.orderBy(*total_order(df, order)).offset((page - 1) * per_page).limit(per_page)
-    return page_of(ranged_pages(df, order), page, per_page)
+    return page_of(ranged_pages(written(df, "rows"), order), page, per_page)
 
 
 def total_pages(df: DataFrame, per_page: int = 100) -> DataFrame:

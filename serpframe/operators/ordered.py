@@ -41,6 +41,13 @@ def total_order(df: DataFrame, order: Sequence[str]) -> list[Column]:
         + [name(f) if orderable(f.dataType) else F.to_json(F.struct(name(f))) for f in rest]
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back, for what goes over its rows several times."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def in_order(df: DataFrame, by: Sequence[Column | str], name: str, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """``df`` written in ranges sorted by ``by``, with ``_at``, which grows along the order, and ``_chunk``.
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from serpframe.operators import browse
 from serpframe.operators import platforms as P
+from serpframe.operators.ordered import written
 from serpframe.plans import duck as D
 from serpframe.plans.fixtures import view, with_views
 from serpframe.plans.q_results import _M, _CANDS, _g2_sql, q_flatten_organic
@@ -130,6 +131,7 @@ def q_page_results_ties(spark, sf):
     rows = q_flatten_organic(spark, sf)
     cols = [F.col("page").alias("result_page"), "position", "url", "connections_count"]
     rows = rows.select("query", "page", "position", *[c for c in rows.columns if c not in ("query", "page", "position")])
+    rows = written(rows, "rows")
     kept = browse.ranged_pages(rows, ("query",))
     turn = lambda n: browse.page_results(rows, n, 7, ("query",)) if n <= 10 else browse.page_of(kept, n, 7)
     pages = [turn(n).select(*cols, F.lit(n).cast("bigint").alias("turned")) for n in _TIE_PAGES]

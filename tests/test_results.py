@@ -193,3 +193,15 @@ def test_export_reader_is_the_plain_one(spark):
     both = df.select("k", FO.infer_followers(rec, dtype).alias("i"), F.coalesce(plain(F.col("snippet")), plain(F.col("title"))).alias("p")).collect()
     assert [(r.k, r.i) for r in both] == [(r.k, r.p) for r in both]
     assert sum(r.i is not None for r in both) > 15
+
+
+def test_far_page_computes_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    rows = spark.range(0, 500, numPartitions=4).mapInArrow(count, "id long")
+    assert [r.id for r in browse.page_results(rows, 20, 10, ("id",)).collect()] == list(range(190, 200))
+    assert seen.value == 500
