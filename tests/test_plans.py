@@ -41,3 +41,10 @@ def test_one_scan(spark, key):
 
 def test_quota_errors_are_parsed_once(spark):
     assert plan(spark, "parse_quota_errors").count("from_json") == 1
+
+
+@pytest.mark.parametrize("name", ["v_queries", "v_query_rows"])
+def test_query_texts_are_dealt_to_all_cores(spark, name):
+    """One small file, but more tasks than cores."""
+    from serpframe.plans.fixtures import view
+    assert view(spark, SF, name).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
