@@ -51,7 +51,8 @@ def query_audit(df: DataFrame, options: SearchOptions, now: Column | None = None
         flagged = a.withColumn("deduplicated", F.lit(False))
     else:
         firsts = a.groupBy("normalized_query_hash").agg(F.min(id_col).alias("_first_id"))
-        flagged = (a.join(firsts, "normalized_query_hash")
+        # no hash is null here; a plain equality would have each one computed again, where the table is read, to test that
+        flagged = (a.join(firsts.withColumnRenamed("normalized_query_hash", "_hash"), F.col("normalized_query_hash").eqNullSafe(F.col("_hash")))
                     .withColumn("deduplicated", F.col(id_col) != F.col("_first_id")))
     return flagged.select(id_col, F.col(col).alias("original_input"), "final_query",
                           "normalized_query_hash", ts.alias("timestamp"), "deduplicated")

@@ -48,3 +48,13 @@ def test_query_texts_are_dealt_to_all_cores(spark, name):
     """One small file, but more tasks than cores."""
     from serpframe.plans.fixtures import view
     assert view(spark, SF, name).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_audit_hashes_a_query_once_a_side(spark):
+    """Once for the first row of each hash and once for the rows; not again to see that it is not null."""
+    from serpframe.operators import dedup
+    from serpframe.options import SearchOptions
+    df = spark.createDataFrame([(1, "a b"), (2, "A  b"), (3, " "), (4, None), (5, "c")], "input_row_id int, original_input string")
+    out = dedup.query_audit(df, SearchOptions())
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("sha2(") == 2
+    assert {(r.input_row_id, r.deduplicated) for r in out.collect()} == {(1, False), (2, True), (5, False)}
