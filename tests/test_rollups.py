@@ -45,6 +45,36 @@ def test_a_long_span_goes_to_few_buckets(spark):
     assert level < spans.LEVELS - 1
 
 
+def _crowd(spark, n_points, n_spans):
+    """Points of five minutes, and spans of a day that hold most of them."""
+    held = spark.range(n_spans).select(F.col("id").alias("span"), (F.col("id") * 7919 % 300 + 50_000).alias("s")) \
+        .select("span", at("s").alias("start_at"), F.timestamp_seconds(F.col("s") + 86_400).alias("end_at"))
+    points = spark.range(n_points).select((F.col("id") * 1_000_003).alias("point"), (F.col("id") * 104_729 % 300 + 50_000).alias("t")) \
+        .select("point", at("t").alias("ts"))
+    return points, held
+
+
+def test_many_points_meet_many_spans_once(spark):
+    n, m = 2 * spans.TILE + 3, spans.TILE + 5
+    points, held = _crowd(spark, n, m)
+    held = held.unionByName(spark.range(m).select((F.col("id") + m).alias("span"), F.timestamp_seconds(F.col("id") % 300 + 50_000).alias("start_at"))
+                            .withColumn("end_at", F.col("start_at") + F.expr("interval 20 seconds")))
+    ends = [(i, i * 7919 % 300, i * 7919 % 300 + 86_400) for i in range(m)] + [(i + m, i % 300, i % 300 + 20) for i in range(m)]
+    got = spans.points_in_spans(points, held)
+    assert got.columns == ["point", "ts", "span", "start_at", "end_at"]
+    assert sorted((r.point, r.span) for r in got.collect()) == sorted(
+        (p * 1_000_003, j) for p in range(n) for j, s, e in ends if s <= p * 104_729 % 300 <= e)
+
+
+def test_written_pairs_take_a_part_of_a_byte(spark, tmp_path):
+    # points in the order of their pairs, each with all of its spans, took more the more spans there were
+    points, held = _crowd(spark, 600, 6_000)
+    got = spans.points_in_spans(points, held).select("point", "span", "start_at")
+    got.write.parquet(str(tmp_path / "pairs"))
+    size = sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet"))
+    assert size < 0.4 * spark.read.parquet(str(tmp_path / "pairs")).count()
+
+
 def test_incidents_close_after_the_gap(spark):
     rows = [("a", s, "quota_error") for s in (0, 100, 599, 1300, 5000)] + [("b", 50, "quota_error"), ("a", 2000, "done"), ("a", None, "quota_error")]
     df = spark.createDataFrame(rows, "job_id string, s long, outcome string").withColumn("ts", at("s"))
