@@ -75,6 +75,16 @@ def test_written_pairs_take_a_part_of_a_byte(spark, tmp_path):
     assert size < 0.4 * spark.read.parquet(str(tmp_path / "pairs")).count()
 
 
+def test_pairs_are_dealt_evenly_to_many_tasks(spark):
+    # the session would join up partitions of few bytes, and a bucket in few parts would be much of a task
+    points = spark.range(20_000).select(F.col("id").alias("point"), F.timestamp_seconds(F.col("id") * 13).alias("ts"))
+    held = spark.range(200).select(F.col("id").alias("span"), F.timestamp_seconds(F.col("id") * 800).alias("start_at"),
+                                   F.timestamp_seconds(F.col("id") * 800 + 86_400).alias("end_at"))
+    tasks = [r["count"] for r in spans.points_in_spans(points, held).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == sum((i * 800 + 86_400) // 13 - (i * 800 - 1) // 13 for i in range(200))
+    assert max(tasks) < sum(tasks) / 8
+
+
 def test_incidents_close_after_the_gap(spark):
     rows = [("a", s, "quota_error") for s in (0, 100, 599, 1300, 5000)] + [("b", 50, "quota_error"), ("a", 2000, "done"), ("a", None, "quota_error")]
     df = spark.createDataFrame(rows, "job_id string, s long, outcome string").withColumn("ts", at("s"))
