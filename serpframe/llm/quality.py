@@ -80,7 +80,7 @@ def _stats(w: tb.Words, raw: np.ndarray, hashes: np.ndarray, declared: np.ndarra
         else np.zeros(n)
     lines = _per_row(raw == 10, w.bounds) + 1
     stops = _per_row(np.isin(raw, list(b".!?")), w.bounds)
-    return np.stack([np.log1p(size), np.log1p(w.count), np.log1p(lines), declared, letters / ink, upper / ink, digits / ink,
+    return np.stack([np.log1p(size), np.log1p(w.count), np.log(1 + lines), declared, letters / ink, upper / ink, digits / ink,
                      symbols / ink, plain / ink, most / ink, np.bincount(of, w.end - w.start, n) / words, share(has_symbol),
                      share((ups == lets) & (lets > 1)), share(same), distinct / words, share(ups > 0),
                      np.log1p(w.count / lines), stops / words], 1)
